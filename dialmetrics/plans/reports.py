@@ -24,8 +24,10 @@ ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "
             "ninth", "tenth"]
 
 
-def _tweak(df: DataFrame) -> DataFrame:
-    return df.where(F.col("dialer_tweak") == "tweak")
+def _tweak(df: DataFrame, p: Params) -> DataFrame:
+    """T: ``dialer_tweak == 'tweak'``, written as the equal test on the date
+    (a date from the cut on) so it is a partition filter on the stored table."""
+    return df.where(F.col("placed_date") >= F.lit(p.cut).cast("date"))
 
 
 def _text_columns(values) -> list[str]:
@@ -80,19 +82,19 @@ def benefit_case(df: DataFrame, p: Params) -> DataFrame:
 
 def benefit_segs_week_long(df: DataFrame, p: Params) -> DataFrame:
     """T; per segment, week and period; the four ratios long as metric/value."""
-    b = benefit(_tweak(df), ["segs", "placed_week", "dialer_tweak"])
+    b = benefit(_tweak(df, p), ["segs", "placed_week", "dialer_tweak"])
     return to_long(b, BENEFIT_RATIOS, "metric", "value")
 
 
 def benefit_cat_week_long(df: DataFrame, p: Params) -> DataFrame:
     """P08."""
-    b = benefit(_tweak(df), ["pilot_cat", "placed_week"])
+    b = benefit(_tweak(df, p), ["pilot_cat", "placed_week"])
     return to_long(b, BENEFIT_RATIOS, "metric", "value")
 
 
 def benefit_week_long(df: DataFrame, p: Params) -> DataFrame:
     """Positions 7:9 of the original take three ratios; conversion stays a column."""
-    b = benefit(_tweak(df), ["placed_week"])
+    b = benefit(_tweak(df, p), ["placed_week"])
     return to_long(b, ["sales_to_dials", "sales_to_connects", "avg_dials"], "metric", "value")
 
 
@@ -100,22 +102,22 @@ def benefit_week_long(df: DataFrame, p: Params) -> DataFrame:
 
 def dials_by_date(df: DataFrame, p: Params) -> DataFrame:
     """P10."""
-    return count_rows(_tweak(df), ["placed_date"], "attempts")
+    return count_rows(_tweak(df, p), ["placed_date"], "attempts")
 
 
 def dials_by_date_segs(df: DataFrame, p: Params) -> DataFrame:
     """P11."""
-    return count_rows(_tweak(df), ["placed_date", "segs"], "attempts")
+    return count_rows(_tweak(df, p), ["placed_date", "segs"], "attempts")
 
 
 def dials_by_contact(df: DataFrame, p: Params) -> DataFrame:
     """P12."""
-    return count_rows(_tweak(df), ["placed_date", "segs", "is_contact"], "attempts")
+    return count_rows(_tweak(df, p), ["placed_date", "segs", "is_contact"], "attempts")
 
 
 def contacts_by_sale(df: DataFrame, p: Params) -> DataFrame:
     """Contacts only."""
-    sel = _tweak(df.where(F.col("is_contact") == 1))
+    sel = _tweak(df.where(F.col("is_contact") == 1), p)
     return count_rows(sel, ["placed_date", "segs", "is_sale", "pilot_cat"], "attempts")
 
 
@@ -132,7 +134,7 @@ def hour_rates(df: DataFrame, p: Params) -> DataFrame:
 
     The grand total is a window without keys over at most 24 aggregated rows.
     """
-    agg = contact_sale_rates(_tweak(df), ["placed_hour"], digits=None)
+    agg = contact_sale_rates(_tweak(df, p), ["placed_hour"], digits=None)
     agg = with_share(agg, "attempts", [], "attempt_perc", digits=None)
     return agg.select("placed_hour", "attempts", "contacts", "sales",
                       "attempt_perc", "contact_perc", "sales_perc")
@@ -166,32 +168,32 @@ def cases_history(df: DataFrame, p: Params) -> DataFrame:
 
 # -- attempt order -------------------------------------------------------------------------
 
-def _first_attempts(df: DataFrame, cap: int) -> DataFrame:
-    return _tweak(df.where(F.col("attempt_no") < cap))
+def _first_attempts(df: DataFrame, p: Params, cap: int) -> DataFrame:
+    return _tweak(df.where(F.col("attempt_no") < cap), p)
 
 
 def attempt_dist(df: DataFrame, p: Params) -> DataFrame:
     """P20: distinct cases per attempt number and segment."""
-    return (_first_attempts(df, p.attempt_cap).groupBy("attempt_no", "segs")
+    return (_first_attempts(df, p, p.attempt_cap).groupBy("attempt_no", "segs")
             .agg(S.r_n_distinct("id").alias("number")))
 
 
 def attempt_rates_long(df: DataFrame, p: Params) -> DataFrame:
     """Contact and sale rates (shares, 2 decimals), long over the rates."""
-    agg = contact_sale_rates(_first_attempts(df, p.attempt_cap), ["attempt_no", "segs"])
+    agg = contact_sale_rates(_first_attempts(df, p, p.attempt_cap), ["attempt_no", "segs"])
     return to_long(agg, ["contact_perc", "sales_perc"], "key", "value")
 
 
 def attempt_counts_long(df: DataFrame, p: Params) -> DataFrame:
     """Rates as percents; long over contacts and sales."""
-    agg = contact_sale_rates(_first_attempts(df, p.attempt_cap), ["attempt_no", "segs"], scale=100.0)
+    agg = contact_sale_rates(_first_attempts(df, p, p.attempt_cap), ["attempt_no", "segs"], scale=100.0)
     return to_long(agg, ["contacts", "sales"], "key", "value")
 
 
 # -- finish codes --------------------------------------------------------------------------
 
-def _result_dist(df: DataFrame, contact: int, min_perc) -> DataFrame:
-    sel = _tweak(df.where(F.col("is_contact") == contact))
+def _result_dist(df: DataFrame, p: Params, contact: int, min_perc) -> DataFrame:
+    sel = _tweak(df.where(F.col("is_contact") == contact), p)
     out = with_share(count_rows(sel, ["segs", "result_cat"]), "rows", ["segs"], "perc")
     if min_perc is not None:
         out = out.where(F.col("perc") > min_perc)
@@ -202,12 +204,12 @@ def _result_dist(df: DataFrame, contact: int, min_perc) -> DataFrame:
 
 def result_dist_noncontact(df: DataFrame, p: Params) -> DataFrame:
     """Finish-code categories of non-contacts, share per segment."""
-    return _result_dist(df, 0, None)
+    return _result_dist(df, p, 0, None)
 
 
 def result_dist_contact(df: DataFrame, p: Params) -> DataFrame:
     """The same for contacts, small shares left out."""
-    return _result_dist(df, 1, p.contact_share_min)
+    return _result_dist(df, p, 1, p.contact_share_min)
 
 
 def finish_codes(df: DataFrame, p: Params) -> DataFrame:
@@ -249,7 +251,7 @@ def att_sale(df: DataFrame, p: Params) -> DataFrame:
 
 def sales_per_week(df: DataFrame, p: Params) -> DataFrame:
     """T; talk hours, sales and sales per hour per segment and week (as text)."""
-    sel = _tweak(df.withColumn("placed_week", F.col("placed_week").cast("string")))
+    sel = _tweak(df.withColumn("placed_week", F.col("placed_week").cast("string")), p)
     return talk_time(sel, ["segs", "placed_week"])
 
 
@@ -285,7 +287,7 @@ def sales_hour_line(df: DataFrame, p: Params) -> DataFrame:
 
 def sales_per_hour(df: DataFrame, p: Params) -> DataFrame:
     """As P29 per hour of the day (as text)."""
-    sel = _tweak(df.withColumn("placed_hour", F.col("placed_hour").cast("string")))
+    sel = _tweak(df.withColumn("placed_hour", F.col("placed_hour").cast("string")), p)
     return talk_time(sel, ["segs", "placed_hour"])
 
 
@@ -342,7 +344,7 @@ def uncategorised(df: DataFrame, p: Params) -> DataFrame:
 def talk_time_by_result(df: DataFrame, p: Params) -> DataFrame:
     """T and week below the cap, both as text; hours (``length``), sales,
     sales per hour per segment, category and week."""
-    sel = _tweak(df.withColumn("placed_week", F.col("placed_week").cast("string")))
+    sel = _tweak(df.withColumn("placed_week", F.col("placed_week").cast("string")), p)
     sel = sel.where(F.col("placed_week") < F.lit(p.week_cap_text))
     return talk_time(sel, ["segs", "result_cat", "placed_week"], hours="length")
 
