@@ -1,8 +1,14 @@
 """Shares of a total (W03-W06) and category order.
 
-Shares are taken on aggregated rows, whose count is bounded by the key
-cardinalities (segments x categories, hours, ...), so a window over them is
-cheap even when it has no partition key.
+A share ``x / sum(x) over group`` is computed as an aggregation of the group
+totals joined back on the group keys (null-safe, since a missing key is a
+group of its own), not as a window: the totals are combined map-side, and the
+join back is broadcast by AQE when the measured totals are small, so no group's
+rows ever have to meet in one task -- a single selected segment with millions of
+distinct attempt sequences stays spread over all tasks.
+
+Only the grand total (no group keys) uses a window without partition; callers
+use it on aggregates bounded by a key cardinality (24 hours).
 """
 
 from __future__ import annotations
@@ -12,16 +18,34 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 
+_TOT = "_dm_total"
 
-def with_share(df: DataFrame, x: str, within, out: str, digits: int | None = 2,
-               scale: float = 1.0) -> DataFrame:
-    """``out = round(x / sum(x) over within * scale, digits)``."""
-    v = S.share(x, within)
+
+def _with_total(df: DataFrame, x: str, within) -> DataFrame:
+    """``df`` plus column ``_dm_total`` = sum of ``x`` over the ``within`` group."""
+    within = list(within)
+    if not within:
+        return df.withColumn(_TOT, F.sum(F.col(x)).over(Window.partitionBy()))
+    keys = {k: f"_dm_k{i}" for i, k in enumerate(within)}
+    totals = df.groupBy(*within).agg(F.sum(F.col(x)).alias(_TOT))
+    totals = totals.select(*[F.col(k).alias(a) for k, a in keys.items()], _TOT)
+    cond = [df[k].eqNullSafe(totals[a]) for k, a in keys.items()]
+    return df.join(totals, cond, "left").drop(*keys.values())
+
+
+def _finish(df: DataFrame, num: str, out: str, digits, scale: float) -> DataFrame:
+    v = S.ratio(num, _TOT)
     if scale != 1.0:
         v = v * scale
     if digits is not None:
         v = S.round_k(v, digits)
-    return df.withColumn(out, v)
+    return df.withColumn(out, v).drop(_TOT)
+
+
+def with_share(df: DataFrame, x: str, within, out: str, digits: int | None = 2,
+               scale: float = 1.0) -> DataFrame:
+    """``out = round(x / sum(x) over within * scale, digits)``; ``x`` a whole number."""
+    return _finish(_with_total(df, x, within), x, out, digits, scale)
 
 
 def hundredths(x) -> Column:
@@ -37,23 +61,22 @@ def with_exact_share_of_rounded(df: DataFrame, x: str, within, out: str,
     on the order in which rows meet; the share is then one division.
     """
     h = "_dm_h"
-    df = df.withColumn(h, hundredths(x))
-    v = S.share(h, within)
-    if scale != 1.0:
-        v = v * scale
-    if digits is not None:
-        v = S.round_k(v, digits)
-    return df.withColumn(out, v).drop(h)
+    out_df = _finish(_with_total(df.withColumn(h, hundredths(x)), h, within), h, out, digits, scale)
+    return out_df.drop(h)
 
 
 def category_order(df: DataFrame, category: str, value: str, out: str = "cat_order") -> DataFrame:
     """A08 (``reorder(category, value)``): rank of each category by the mean of
     ``value`` (a 2-decimal share), ascending, ties by name; null category last.
 
-    The mean is taken as whole hundredths / count, so it is exact.
+    Means are aggregated per category (an exact mean of whole hundredths), ranked
+    on that small table (finish-code categories: at most 7 plus missing), and
+    joined back.
     """
-    per_cat = Window.partitionBy(category)
-    mean = F.sum(hundredths(value)).over(per_cat) / F.count(F.lit(1)).over(per_cat)
-    df = df.withColumn("_dm_mean", mean)
+    means = df.groupBy(category).agg(
+        (F.sum(hundredths(value)) / F.count(F.lit(1))).alias("_dm_mean"))
     rank_w = Window.orderBy(F.col("_dm_mean").asc(), F.col(category).asc_nulls_last())
-    return df.withColumn(out, F.dense_rank().over(rank_w).cast("int")).drop("_dm_mean")
+    ranks = means.select(F.col(category).alias("_dm_cat"),
+                         F.dense_rank().over(rank_w).cast("int").alias(out))
+    return (df.join(ranks, df[category].eqNullSafe(ranks["_dm_cat"]), "left")
+            .drop("_dm_cat"))
