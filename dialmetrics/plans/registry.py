@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,15 +65,31 @@ REPORTS: dict[str, tuple[Callable, bool, str]] = {
 }
 
 
+# Built attempts plans per session: a DataFrame is an immutable, lazy plan, so the
+# same object can feed every report; each report still reads the tables when it
+# runs. Building the plan (analysis over py4j) costs more than running a report
+# on small inputs. Assumes the input tables do not change during the session;
+# ``clear_plan_cache()`` forgets the plans.
+_PLANS: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
+
+
+def clear_plan_cache() -> None:
+    _PLANS.clear()
+
+
 def load_attempts(spark: SparkSession, sf_dir: str, params: Params = FIXTURE,
                   extract: str = "current", hot_split: bool = True) -> DataFrame:
     """The attempts table of the test tables; ``extract="older"`` is the second
     extract (customers with a non-negative balance, no talk time)."""
-    if extract == "older":
-        raw = raw_extract(spark, sf_dir, min_acctbal=0, with_length=False)
-    else:
-        raw = raw_extract(spark, sf_dir)
-    return derive_attempts(raw, params, hot_split=hot_split)
+    per_session = _PLANS.setdefault(spark, {})
+    key = (sf_dir, params, extract, hot_split)
+    if key not in per_session:
+        if extract == "older":
+            raw = raw_extract(spark, sf_dir, min_acctbal=0, with_length=False)
+        else:
+            raw = raw_extract(spark, sf_dir)
+        per_session[key] = derive_attempts(raw, params, hot_split=hot_split)
+    return per_session[key]
 
 
 def run_report(name: str, spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
