@@ -5,7 +5,8 @@ landed as parquet partitioned by ``placed_date``; reports then read only the
 partitions they need: the period filter ``placed_date >= cut`` becomes a
 partition filter, and column pruning reads only the columns a report uses.
 
-Writing: rows are range-partitioned on (placed_date, id) before the write, so
+Writing: rows are range-partitioned on (placed_date, id, placed_time, event_id)
+before the write, so
 task sizes are even even when one day or one case holds a large share of all
 rows, each task writes few date folders, and files are sorted by case id
 (tight row-group statistics for case lookups).
@@ -51,8 +52,11 @@ def write_attempts(df: DataFrame, path: str, rows_per_file: int = 5_000_000,
     """Land the attempts table partitioned by ``placed_date``."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, F.col("placed_date"), F.col("id"))
-       .sortWithinPartitions("placed_date", "id", "placed_time")
+    # range key ends in (time, tie) so even one hot case on one day is split
+    order = [F.col("placed_date"), F.col("id"), F.col("placed_time")]
+    order += [F.col(c) for c in ("event_id",) if c in df.columns]
+    (df.repartitionByRange(n, *order)
+       .sortWithinPartitions(*order)
        .write.mode(mode)
        .option("maxRecordsPerFile", rows_per_file)
        .partitionBy("placed_date")
