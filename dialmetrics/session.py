@@ -15,6 +15,19 @@ RECOMMENDED_CONF = {
 }
 
 
+# Starting points for a large cluster (~100 TB of attempts): many shuffle
+# partitions that AQE coalesces to the advisory size, larger scan splits, and
+# skew handling for the customer join. Tune to the cluster; all plain Spark.
+CLUSTER_CONF = {
+    **RECOMMENDED_CONF,
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "dialmetrics",
                   extra: dict | None = None) -> SparkSession:
     b = (SparkSession.builder.master(master).appName(app)

@@ -57,3 +57,15 @@ def test_stream_landing_matches_batch(spark, tmp_path):
     q = start_landing(spark, raw_dir + "/*", out_dir, ck, FIXTURE, max_files_per_trigger=1)
     q.awaitTermination(120)
     _same(landed_attempts(spark, out_dir, FIXTURE), load_attempts(spark, SF001, FIXTURE))
+
+
+def test_runner_writes_every_report(spark, tmp_path):
+    from dialmetrics.plans.registry import REPORTS
+    from dialmetrics.plans.runner import main
+
+    out = str(tmp_path / "reports")
+    main(["--tables", SF001, "--params", "fixture", "--out", out, "--format", "parquet",
+          "--report", "benefit_segs", "--report", "benefit_segs_weeks_v1", "--report", "talk_time_share"])
+    assert sorted(os.listdir(out)) == ["benefit_segs", "benefit_segs_weeks_v1", "talk_time_share"]
+    assert spark.read.parquet(os.path.join(out, "benefit_segs")).count() > 0
+    assert len(REPORTS) == 48
