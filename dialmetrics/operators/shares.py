@@ -7,8 +7,8 @@ join back is broadcast by AQE when the measured totals are small, so no group's
 rows ever have to meet in one task -- a single selected segment with millions of
 distinct attempt sequences stays spread over all tasks.
 
-Only the grand total (no group keys) uses a window without partition; callers
-use it on aggregates bounded by a key cardinality (24 hours).
+The grand total (no group keys) is a scalar subquery: a distributed aggregate
+whose single value is inlined into the rows, with no window and no join.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ def _with_total(df: DataFrame, x: str, within) -> DataFrame:
     """``df`` plus column ``_dm_total`` = sum of ``x`` over the ``within`` group."""
     within = list(within)
     if not within:
-        return df.withColumn(_TOT, F.sum(F.col(x)).over(Window.partitionBy()))
+        # grand total as a scalar subquery: aggregated on the executors, one value inlined
+        return df.withColumn(_TOT, df.select(F.sum(F.col(x))).scalar())
     keys = {k: f"_dm_k{i}" for i, k in enumerate(within)}
     totals = df.groupBy(*within).agg(F.sum(F.col(x)).alias(_TOT))
     totals = totals.select(*[F.col(k).alias(a) for k, a in keys.items()], _TOT)

@@ -130,10 +130,7 @@ def sales_by_pilot(df: DataFrame, p: Params) -> DataFrame:
 # -- hour of day ---------------------------------------------------------------------------
 
 def hour_rates(df: DataFrame, p: Params) -> DataFrame:
-    """Per hour; share of all attempts and the two rates, unrounded.
-
-    The grand total is a window without keys over at most 24 aggregated rows.
-    """
+    """Per hour; share of all attempts and the two rates, unrounded."""
     agg = contact_sale_rates(_tweak(df, p), ["placed_hour"], digits=None)
     agg = with_share(agg, "attempts", [], "attempt_perc", digits=None)
     return agg.select("placed_hour", "attempts", "contacts", "sales",
