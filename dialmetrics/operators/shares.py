@@ -7,8 +7,10 @@ join back is broadcast by AQE when the measured totals are small, so no group's
 rows ever have to meet in one task -- a single selected segment with millions of
 distinct attempt sequences stays spread over all tasks.
 
-The grand total (no group keys) is a scalar subquery: a distributed aggregate
-whose single value is inlined into the rows, with no window and no join.
+The grand total (no group keys) is by default a scalar subquery: a distributed
+aggregate whose single value is inlined into the rows, with no window and no
+join. A caller whose input is bounded by a small key cardinality can ask for a
+key-less window instead, which saves the second pass.
 """
 
 from __future__ import annotations
@@ -21,11 +23,18 @@ from ..functions import semantics as S
 _TOT = "_dm_total"
 
 
-def _with_total(df: DataFrame, x: str, within) -> DataFrame:
-    """``df`` plus column ``_dm_total`` = sum of ``x`` over the ``within`` group."""
+def _with_total(df: DataFrame, x: str, within, grand: str = "subquery") -> DataFrame:
+    """``df`` plus column ``_dm_total`` = sum of ``x`` over the ``within`` group.
+
+    Grand total (``within`` empty): ``grand="subquery"`` aggregates it in a scalar
+    subquery, safe at any size but a second pass over the input;
+    ``grand="window"`` is a window without keys, one pass but one task, for
+    inputs whose row count is bounded by a small key cardinality.
+    """
     within = list(within)
     if not within:
-        # grand total as a scalar subquery: aggregated on the executors, one value inlined
+        if grand == "window":
+            return df.withColumn(_TOT, F.sum(F.col(x)).over(Window.partitionBy()))
         return df.withColumn(_TOT, df.select(F.sum(F.col(x))).scalar())
     keys = {k: f"_dm_k{i}" for i, k in enumerate(within)}
     totals = df.groupBy(*within).agg(F.sum(F.col(x)).alias(_TOT))
@@ -44,9 +53,9 @@ def _finish(df: DataFrame, num: str, out: str, digits, scale: float) -> DataFram
 
 
 def with_share(df: DataFrame, x: str, within, out: str, digits: int | None = 2,
-               scale: float = 1.0) -> DataFrame:
+               scale: float = 1.0, grand: str = "subquery") -> DataFrame:
     """``out = round(x / sum(x) over within * scale, digits)``; ``x`` a whole number."""
-    return _finish(_with_total(df, x, within), x, out, digits, scale)
+    return _finish(_with_total(df, x, within, grand), x, out, digits, scale)
 
 
 def hundredths(x) -> Column:

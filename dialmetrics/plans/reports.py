@@ -130,9 +130,13 @@ def sales_by_pilot(df: DataFrame, p: Params) -> DataFrame:
 # -- hour of day ---------------------------------------------------------------------------
 
 def hour_rates(df: DataFrame, p: Params) -> DataFrame:
-    """Per hour; share of all attempts and the two rates, unrounded."""
+    """Per hour; share of all attempts and the two rates, unrounded.
+
+    The grand total is a window without keys over the per-hour rows: at most 25
+    (hours 0-23 and missing), so one pass over the attempts suffices.
+    """
     agg = contact_sale_rates(_tweak(df, p), ["placed_hour"], digits=None)
-    agg = with_share(agg, "attempts", [], "attempt_perc", digits=None)
+    agg = with_share(agg, "attempts", [], "attempt_perc", digits=None, grand="window")
     return agg.select("placed_hour", "attempts", "contacts", "sales",
                       "attempt_perc", "contact_perc", "sales_perc")
 
