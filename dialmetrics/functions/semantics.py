@@ -68,18 +68,6 @@ def round_k(x, k: int = 2) -> Column:
     return F.rint(_c(x).cast("double") * scale) / scale
 
 
-def share(x, partition_by, zero: str = "inf") -> Column:
-    """``x / sum(x)`` over a window partitioned by ``partition_by`` columns.
-
-    An empty ``partition_by`` means the whole input; only use it on inputs whose
-    row count is bounded by a key cardinality (an aggregate over hours, say).
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*partition_by)
-    return ratio(x, F.sum(_c(x)).over(w), zero=zero)
-
-
 def to_int(x) -> Column:
     """R ``as.integer`` on text: ``"1.7"`` -> 1, ``"x"`` -> null."""
     return _c(x).try_cast("double").try_cast("int")
