@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 # Date formats accepted by the year-month-day parser, tried in this order.
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd")
+# Day-month-year formats (F03, birth dates; not applied by default).
+DMY_FORMATS = ("dd-MM-yyyy", "dd/MM/yyyy", "ddMMyyyy")
 # A timestamp must carry a full clock time; a date alone is a failed parse.
 TIMESTAMP_PATTERN = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$"
 
@@ -79,6 +81,11 @@ def parse_date(x, formats=DATE_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_date(x, f) for f in formats])
 
 
+def parse_dmy(x) -> Column:
+    """Day-month-year text to date (lubridate ``dmy``); ``--`` and bad text give null."""
+    return parse_date(x, DMY_FORMATS)
+
+
 def parse_timestamp(x) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` text to a zone-free timestamp; bad text gives null.
 

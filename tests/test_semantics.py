@@ -100,3 +100,9 @@ def test_v12_week_compared_as_text(spark):
     df = spark.createDataFrame([(w,) for w in [1, 2, 3, 9, 10, 19, 20, 25]], "w int")
     got = [r.w for r in df.where(F.col("w").cast("string") < F.lit("20")).collect()]
     assert got == [1, 2, 10, 19]  # '2' is a prefix of '20', so smaller; '3'-'9' are larger
+
+
+def test_f03_dmy_birth_dates(spark):
+    df = spark.createDataFrame([("01-02-1980",), ("--",), ("31-02-1980",), (None,)], "t string")
+    got = [r.d for r in df.select(S.parse_dmy("t").alias("d")).collect()]
+    assert got == [dt.date(1980, 2, 1), None, None, None]
