@@ -96,6 +96,20 @@ def parse_timestamp(x) -> Column:
     return F.when(x.rlike(TIMESTAMP_PATTERN), x.try_cast("timestamp_ntz"))
 
 
+def ntz_text(x, length: int = 19) -> Column:
+    """A zone-free timestamp as ``yyyy-MM-dd HH:mm:ss`` text (seconds truncated).
+
+    ``date_format`` would first cast to a session-zone timestamp, which moves
+    wall-clock times that fall in a daylight-saving gap; the string cast does not.
+    """
+    return F.substring(_c(x).cast("string"), 1, length)
+
+
+def clock_text(x) -> Column:
+    """``HH:mm:ss`` of a zone-free timestamp, without any time-zone conversion."""
+    return F.substring(_c(x).cast("string"), 12, 8)
+
+
 def r_week(d) -> Column:
     """lubridate ``week()``: complete 7-day blocks since 1 January, plus one.
 

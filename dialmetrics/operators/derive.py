@@ -73,7 +73,7 @@ def type_and_derive(raw: DataFrame, params: Params) -> DataFrame:
         "placed_date": F.to_date("placed_time"),
         "placed_week": S.r_week(F.col("placed_time")),
         "placed_month": F.month("placed_time"),
-        "placed_moment": F.date_format("placed_time", "HH:mm:ss"),
+        "placed_moment": S.clock_text("placed_time"),
         "placed_hour": F.hour("placed_time"),
         "pilot_cat": pilot_category("segs", params.control_segments),
         "result_cat": codes.code_category("result2"),

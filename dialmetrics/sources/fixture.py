@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.semantics import ntz_text
 from .extract import conform_extract
 
 # Market segment of the test customers -> model segment letter.
@@ -43,8 +44,6 @@ FIXTURE_FINISH_CODES = [
     "Agent Logout", "Onbekend", None,
 ]
 
-TS_TEXT = "yyyy-MM-dd HH:mm:ss"
-
 # Declared read schemas (the columns used): no schema-inference job per read,
 # and a changed file type fails loudly instead of flowing through.
 TABLE_SCHEMAS = {
@@ -106,10 +105,10 @@ def raw_extract(spark: SparkSession, sf_dir: str, min_acctbal=None,
         "BATCH_TYPE": F.concat(F.lit("B"), (F.col("user_id") % 3).cast("string")),
         "CUSTOMER_ATT": F.concat(F.lit("ATT"), (F.col("user_id") % 4).cast("string")),
         "CURRENT_SUB": F.col("n_name"),
-        "SUB_START_DATE": F.date_format("first_order_date", "yyyy-MM-dd"),
+        "SUB_START_DATE": F.to_date("first_order_date").cast("string"),
         "DATE_OF_BIRTH": F.when(F.col("user_id") % 7 == 0, F.lit("--")).otherwise(F.lit("01-02-1980")),
-        "CALLPLACEDTIME": F.date_format("ts", TS_TEXT),
-        "CALLANSWEREDTIME": F.when(contact, F.date_format(F.col("ts") + F.expr("INTERVAL 20 SECONDS"), TS_TEXT)),
+        "CALLPLACEDTIME": ntz_text("ts"),
+        "CALLANSWEREDTIME": F.when(contact, ntz_text(F.col("ts") + F.expr("INTERVAL 20 SECONDS"))),
         "ISCONTACT": F.when(contact, F.lit("1")).otherwise(F.lit("0")),
         "IS_SALE": F.when(F.col("event_type") == "purchase", F.lit("1")).otherwise(F.lit("0")),
         "FINISHCODE": finish,

@@ -106,3 +106,23 @@ def test_f03_dmy_birth_dates(spark):
     df = spark.createDataFrame([("01-02-1980",), ("--",), ("31-02-1980",), (None,)], "t string")
     got = [r.d for r in df.select(S.parse_dmy("t").alias("d")).collect()]
     assert got == [dt.date(1980, 2, 1), None, None, None]
+
+
+def test_wall_clock_kept_in_a_daylight_saving_gap(spark):
+    """02:30 on 2018-03-25 does not exist in Amsterdam; zone-free times keep it."""
+    from dialmetrics.operators.derive import type_and_derive
+    from dialmetrics.params import REFERENCE
+    from dialmetrics.sources.extract import conform_extract
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Amsterdam")
+    try:
+        raw = conform_extract(spark.createDataFrame(
+            [(1, "Z", "2018-03-25 02:30:05")], "CASE_ID_T long, SEGMENT string, CALLPLACEDTIME string"))
+        r = type_and_derive(raw, REFERENCE).select(
+            "placed_time", "placed_moment", "placed_hour", "placed_date", "dialer_tweak",
+            S.ntz_text("placed_time").alias("txt")).first()
+        assert r.placed_moment == "02:30:05" and r.placed_hour == 2 and r.txt == "2018-03-25 02:30:05"
+        assert r.placed_date == dt.date(2018, 3, 25) and r.dialer_tweak == "tweak"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
