@@ -103,3 +103,21 @@ def number_attempts(df: DataFrame, key: str = "id", time: str = "placed_time",
         hot_part = _sorted_number(hot_rows_df, key, time, tie, out, n_slices, max_broadcast_keys)
     cols = normal.columns
     return normal.unionByName(hot_part.select(*cols))
+
+
+def first_attempts(df: DataFrame, cap: int, key: str = "id", time: str = "placed_time",
+                   tie=("event_id",), out: str = "attempt_no") -> DataFrame:
+    """Attempts whose number (W01) is below ``cap``, numbered afresh.
+
+    Only timed attempts are numbered (a missing time never counts, as in W01),
+    with a plain ``row_number`` and a filter on it. That lets Catalyst insert
+    ``WindowGroupLimit`` on both sides of the shuffle: every map task keeps at
+    most ``cap - 1`` attempts per case before anything moves, so a long or hot
+    case cannot skew the shuffle, and no hot-case check is needed.
+    """
+    tie = tuple(t for t in tie if t in df.columns)
+    w = Window.partitionBy(key).orderBy(*_order(time, tie))
+    base = df.drop(out) if out in df.columns else df
+    return (base.where(F.col(time).isNotNull())
+            .withColumn(out, F.row_number().over(w))
+            .where(F.col(out) < cap))

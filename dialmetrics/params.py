@@ -39,6 +39,10 @@ class Params:
     week_cap_text: str = "20"
     # Months compared
     months: tuple = (2, 3, 4)
+    # first-k reports (P20-P22, P26, P41): True numbers the first attempts afresh
+    # (map-side top-k per case); False filters an attempt_no column that is
+    # already materialised, e.g. on the stored attempts table
+    renumber_first_attempts: bool = True
     # attempt numbering: cases above this many attempts are numbered by a
     # range-partitioned global sort instead of one window task per case
     hot_case_rows: int | None = 1_000_000

@@ -12,7 +12,9 @@ from ..params import FIXTURE, Params
 from ..sources.fixture import raw_extract
 from . import reports as R
 
-# name -> (report, reads attempt_no, extract): "current" or "older" (P04).
+# name -> (report, reads the derived attempt_no, extract): "current" or "older" (P04).
+# First-k reports number their own first attempts (``first_attempts``), so they
+# do not need the full numbering of the attempts table.
 REPORTS: dict[str, tuple[Callable, bool, str]] = {
     "attempts": (R.attempts, True, "current"),
     "extremes": (R.extremes, False, "current"),
@@ -34,13 +36,13 @@ REPORTS: dict[str, tuple[Callable, bool, str]] = {
     "hour_rates": (R.hour_rates, False, "current"),
     "case_history": (R.case_history, False, "current"),
     "cases_history": (R.cases_history, False, "current"),
-    "attempt_dist": (R.attempt_dist, True, "current"),
-    "attempt_rates_long": (R.attempt_rates_long, True, "current"),
-    "attempt_counts_long": (R.attempt_counts_long, True, "current"),
+    "attempt_dist": (R.attempt_dist, False, "current"),
+    "attempt_rates_long": (R.attempt_rates_long, False, "current"),
+    "attempt_counts_long": (R.attempt_counts_long, False, "current"),
     "result_dist_noncontact": (R.result_dist_noncontact, False, "current"),
     "result_dist_contact": (R.result_dist_contact, False, "current"),
     "finish_codes": (R.finish_codes, False, "current"),
-    "attempt_sequences": (R.attempt_sequences, True, "current"),
+    "attempt_sequences": (R.attempt_sequences, False, "current"),
     "att_contact": (R.att_contact, False, "current"),
     "att_sale": (R.att_sale, False, "current"),
     "sales_per_week": (R.sales_per_week, False, "current"),
@@ -55,7 +57,7 @@ REPORTS: dict[str, tuple[Callable, bool, str]] = {
     "hours_by_hour": (R.hours_by_hour, False, "current"),
     "sales_hour_by_hour_line": (R.sales_hour_by_hour_line, False, "current"),
     "birth_missing": (R.birth_missing, False, "current"),
-    "birth_missing_cases": (R.birth_missing_cases, True, "current"),
+    "birth_missing_cases": (R.birth_missing_cases, False, "current"),
     "uncategorised": (R.uncategorised, True, "current"),
     "talk_time_by_result": (R.talk_time_by_result, False, "current"),
     "talk_time_by_result_wide": (R.talk_time_by_result_wide, False, "current"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from ..operators import derive as D
 from ..operators.metrics import BENEFIT_RATIOS, benefit, contact_sale_rates, count_rows, talk_time
-from ..operators.numbering import number_attempts
+from ..operators.numbering import first_attempts, number_attempts
 from ..operators.reshape import sequence_text, to_long, to_wide
 from ..operators.shares import category_order, with_exact_share_of_rounded, with_share
 from ..params import Params
@@ -169,8 +169,15 @@ def cases_history(df: DataFrame, p: Params) -> DataFrame:
 
 # -- attempt order -------------------------------------------------------------------------
 
+def _first(df: DataFrame, p: Params, cap: int) -> DataFrame:
+    """Attempts numbered below ``cap`` (numbered over the whole case history)."""
+    if p.renumber_first_attempts:
+        return first_attempts(df, cap)
+    return df.where(F.col("attempt_no") < cap)
+
+
 def _first_attempts(df: DataFrame, p: Params, cap: int) -> DataFrame:
-    return _tweak(df.where(F.col("attempt_no") < cap), p)
+    return _tweak(_first(df, p, cap), p)
 
 
 def attempt_dist(df: DataFrame, p: Params) -> DataFrame:
@@ -224,7 +231,7 @@ def attempt_sequences(df: DataFrame, p: Params) -> DataFrame:
     each text per segment, kept when its rounded share reaches the threshold."""
     n = p.sequence_cap - 1
     names = [ORDINALS[i] if i < len(ORDINALS) else f"attempt_{i + 1}" for i in range(n)]
-    sel = (df.where((F.col("attempt_no") < p.sequence_cap) & (F.col("segs") == p.sequence_segment))
+    sel = (_first(df, p, p.sequence_cap).where(F.col("segs") == p.sequence_segment)
            .select("segs", "id", "result_cat", "attempt_no"))
     wide = to_wide(sel, "attempt_no", "result_cat", list(range(1, n + 1)), names=names)
     seq = (wide.withColumn("sequence", sequence_text(names))
@@ -332,7 +339,7 @@ def birth_missing(df: DataFrame, p: Params) -> DataFrame:
 
 def birth_missing_cases(df: DataFrame, p: Params) -> DataFrame:
     """The same over first attempts, i.e. per case."""
-    return _birth(df.where(F.col("attempt_no") == 1))
+    return _birth(_first(df, p, 2))
 
 
 def uncategorised(df: DataFrame, p: Params) -> DataFrame:

@@ -86,6 +86,8 @@ def main(argv=None) -> None:
 
     spark = SparkSession.builder.appName("dialmetrics-reports").getOrCreate()
     params = FIXTURE if args.params == "fixture" else REFERENCE
+    if args.store:
+        params = params.with_(renumber_first_attempts=False)  # attempt_no is materialised
     attempts, older = _attempts(spark, args, params)
     for p in run_all(attempts, params, args.out, args.format, older, args.report):
         print(p)

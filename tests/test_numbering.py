@@ -62,3 +62,13 @@ def test_numbers_are_one_to_n(spark):
                 F.count("*").alias("n"), F.count_distinct("attempt_no").alias("d")).collect())
     for r in chk:
         assert r.lo == 1 and r.hi == r.n == r.d
+
+
+def test_first_attempts_equal_full_numbering_below_cap(spark):
+    from dialmetrics.operators.numbering import first_attempts
+
+    df = _fixture(spark)
+    for cap in (1, 2, 5, 11, 400):
+        full = {(r.event_id, r.attempt_no) for r in number_attempts(df).where(F.col("attempt_no") < cap).collect()}
+        got = {(r.event_id, r.attempt_no) for r in first_attempts(df, cap).collect()}
+        assert got == full, cap

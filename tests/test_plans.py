@@ -28,3 +28,10 @@ def test_unused_first_order_join_is_pruned(spark):
 def test_scans_read_only_needed_columns(spark):
     plan = _plan(E.queries()["benefit_segs"](spark, SF001))
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan
+
+
+def test_first_k_reports_cut_cases_before_the_shuffle(spark):
+    for name in ["attempt_dist", "attempt_sequences", "birth_missing_cases"]:
+        df = E.queries()[name](spark, SF001)
+        plan = _plan(df)
+        assert "WindowGroupLimit" in plan and "Partial" in plan, name

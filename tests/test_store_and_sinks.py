@@ -25,8 +25,11 @@ def test_stored_attempts_give_same_reports_and_prune_dates(spark, tmp_path):
     write_attempts(live, path, num_partitions=4)
     stored = read_attempts(spark, path)
     _same(live, stored)
-    for fn in (R.benefit_segs_week_long, R.attempt_sequences, R.talk_time_share, R.hour_rates):
+    stored_p = FIXTURE.with_(renumber_first_attempts=False)
+    for fn in (R.benefit_segs_week_long, R.attempt_sequences, R.talk_time_share, R.hour_rates,
+               R.attempt_dist, R.birth_missing_cases, R.attempt_counts_long):
         _same(fn(live, FIXTURE), fn(stored, FIXTURE))
+        _same(fn(live, FIXTURE), fn(stored, stored_p))
     plan = R.dials_by_date(stored, FIXTURE)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(placed_date" in plan and "2024-01-11" in plan
 
