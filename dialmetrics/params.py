@@ -7,7 +7,7 @@ listed in FIXTURES.md section 3.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,36 @@ class Params:
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
 
+    def with_text(self, assignments) -> "Params":
+        """Overrides from ``name=value`` texts, typed by the current value:
+        ``cut=2018-03-12``, ``months=2,3,4``, ``case_ids=none``, ``hot_case_rows=500000``."""
+        kinds = {f.name: getattr(self, f.name) for f in fields(self)}
+        changes = {}
+        for a in assignments:
+            name, _, text = a.partition("=")
+            if name not in kinds:
+                raise KeyError(f"unknown parameter {name!r}")
+            changes[name] = _parse(text, kinds[name], name)
+        return replace(self, **changes)
+
+
+_INT_TUPLES = {"week_columns", "hour_columns", "months", "case_ids"}
+
+
+def _parse(text: str, current, name: str):
+    if text.lower() in ("none", "null"):
+        return None
+    if isinstance(current, bool):
+        return text.lower() in ("1", "true", "yes")
+    if isinstance(current, tuple) or name in _INT_TUPLES:
+        items = [t.strip() for t in text.split(",") if t.strip()]
+        return tuple(int(t) for t in items) if name in _INT_TUPLES else tuple(items)
+    if isinstance(current, int) or name == "hot_case_rows":
+        return int(text)
+    if isinstance(current, float):
+        return float(text)
+    return text
+
 
 REFERENCE = Params()
 

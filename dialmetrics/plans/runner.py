@@ -76,6 +76,8 @@ def main(argv=None) -> None:
     ap.add_argument("--upper-bound")
     ap.add_argument("--num-partitions", type=int)
     ap.add_argument("--params", choices=["reference", "fixture"], default="reference")
+    ap.add_argument("--set", action="append", default=[], metavar="NAME=VALUE",
+                    help="override a report parameter, e.g. --set cut=2018-03-12 --set months=2,3,4")
     ap.add_argument("--store", help="land the attempts table here first and read it back")
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", choices=["csv", "parquet"], default="csv")
@@ -85,7 +87,7 @@ def main(argv=None) -> None:
         ap.error("--jdbc-url needs --sql")
 
     spark = SparkSession.builder.appName("dialmetrics-reports").getOrCreate()
-    params = FIXTURE if args.params == "fixture" else REFERENCE
+    params = (FIXTURE if args.params == "fixture" else REFERENCE).with_text(args.set)
     if args.store:
         params = params.with_(renumber_first_attempts=False)  # attempt_no is materialised
     attempts, older = _attempts(spark, args, params)

@@ -72,3 +72,15 @@ def test_runner_writes_every_report(spark, tmp_path):
     assert sorted(os.listdir(out)) == ["benefit_segs", "benefit_segs_weeks_v1", "talk_time_share"]
     assert spark.read.parquet(os.path.join(out, "benefit_segs")).count() > 0
     assert len(REPORTS) == 48
+
+
+def test_params_from_text():
+    from dialmetrics.params import REFERENCE
+
+    p = REFERENCE.with_text(["cut=2024-01-11", "months=1,2", "case_ids=0,4", "attempt_cap=11",
+                             "contact_share_min=0.1", "segments=A,Z", "hot_case_rows=none",
+                             "renumber_first_attempts=false"])
+    assert p.cut == "2024-01-11" and p.months == (1, 2) and p.case_ids == (0, 4)
+    assert p.attempt_cap == 11 and p.contact_share_min == 0.1 and p.segments == ("A", "Z")
+    assert p.hot_case_rows is None and p.renumber_first_attempts is False
+    assert REFERENCE.with_text(["case_ids=none"]).case_ids is None
