@@ -2,7 +2,7 @@
 
 Written directly in SQL against the raw test tables (``events customer nation
 orders``), not generated from the Spark code: the finish-code rules below are
-spelled out as CASE expressions. Shared rules, in DuckDB terms:
+spelled out as CASE expressions (fixed values, in the dialer's list order). Shared rules, in DuckDB terms:
 
 * R sum: missing when any value is missing -> ``CASE WHEN count(x) = count(*)``
 * R distinct count: null counts as a value -> ``count(DISTINCT x) + max(x IS NULL)``
@@ -43,18 +43,38 @@ _RESULT2_SQL = """CASE result
       WHEN 'Number Changed (ISDN Cause Code 22)' THEN 'Number Changed'
       ELSE result END"""
 
-_RESULT_CAT_SQL = """CASE
-      WHEN result2 IN ('NoAnswer', 'GeenGehoor', 'No User Responding', 'NotReached') THEN 'No answer'
-      WHEN result2 = 'Voicemail' THEN 'Voicemail'
-      WHEN result2 = 'Afgehandeld' THEN 'Effective'
-      WHEN result2 IN ('Terugbellen', 'Bel Later Terug', 'Policy Scheduled') THEN 'Call back'
-      WHEN result2 IN ('Unassigned Number', 'Bad Number', 'Invalid Number Format', 'Number Changed') THEN 'Bad number'
-      WHEN result2 IN ('Busy', 'InGesprek') THEN 'Busy'
-      WHEN result2 IN ('No Circuit', 'System Hang Up', 'No Route To Destination', 'Reorder',
-                       'Call Rejected', 'Normal, Specified', 'Ineffective Other', 'Remote Hang Up',
-                       'NoLines', 'Agent not available for callback', 'Recovery On Timer Expiry',
-                       'Vacant Code', 'User Alerting No Answer', 'Failed to route call to agent.',
-                       'Incoming Calls Barred Within CUG', 'Agent Logout') THEN 'Technical'
+_RESULT_CAT_SQL = """CASE result2
+      WHEN 'NoAnswer' THEN 'No answer'
+      WHEN 'Voicemail' THEN 'Voicemail'
+      WHEN 'Afgehandeld' THEN 'Effective'
+      WHEN 'Terugbellen' THEN 'Call back'
+      WHEN 'No Circuit' THEN 'Technical'
+      WHEN 'System Hang Up' THEN 'Technical'
+      WHEN 'GeenGehoor' THEN 'No answer'
+      WHEN 'Bel Later Terug' THEN 'Call back'
+      WHEN 'Unassigned Number' THEN 'Bad number'
+      WHEN 'No User Responding' THEN 'No answer'
+      WHEN 'Busy' THEN 'Busy'
+      WHEN 'InGesprek' THEN 'Busy'
+      WHEN 'Bad Number' THEN 'Bad number'
+      WHEN 'No Route To Destination' THEN 'Technical'
+      WHEN 'Reorder' THEN 'Technical'
+      WHEN 'Call Rejected' THEN 'Technical'
+      WHEN 'NotReached' THEN 'No answer'
+      WHEN 'Policy Scheduled' THEN 'Call back'
+      WHEN 'Invalid Number Format' THEN 'Bad number'
+      WHEN 'Normal, Specified' THEN 'Technical'
+      WHEN 'Ineffective Other' THEN 'Technical'
+      WHEN 'Remote Hang Up' THEN 'Technical'
+      WHEN 'NoLines' THEN 'Technical'
+      WHEN 'Agent not available for callback' THEN 'Technical'
+      WHEN 'Recovery On Timer Expiry' THEN 'Technical'
+      WHEN 'Vacant Code' THEN 'Technical'
+      WHEN 'User Alerting No Answer' THEN 'Technical'
+      WHEN 'Number Changed' THEN 'Bad number'
+      WHEN 'Failed to route call to agent.' THEN 'Technical'
+      WHEN 'Incoming Calls Barred Within CUG' THEN 'Technical'
+      WHEN 'Agent Logout' THEN 'Technical'
       END"""
 
 

@@ -19,9 +19,9 @@ def test_conform_adds_missing_columns_typed(spark):
 
 
 def test_load_by_sql_text_over_views(spark, tmp_path):
-    raw_extract(spark, SF001).createOrReplaceTempView("xsell_extract")
+    raw_extract(spark, SF001).createOrReplaceTempView("dial_extract")
     sql = tmp_path / "extract.sql"
-    sql.write_text("SELECT *\nFROM xsell_extract\nWHERE SEGMENT = 'Z'\n")
+    sql.write_text("SELECT *\nFROM dial_extract\nWHERE SEGMENT = 'Z'\n")
     df = load_extract_sql(spark, str(sql))
     assert df.columns == RAW_COLUMNS + ["event_id"]
     assert df.count() == raw_extract(spark, SF001).where(F.col("SEGMENT") == "Z").count() > 0
