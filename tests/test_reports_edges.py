@@ -81,3 +81,38 @@ def test_round_half_even_matches_duckdb(spark, pairs):
     theirs = [r[0] for r in con.sql(
         "SELECT round_even((k::DOUBLE / n::DOUBLE) * 100 * 100, 0) / 100 FROM t ORDER BY k, n").fetchall()]
     assert ours == theirs
+
+
+def test_v4_missing_sorts_last_both_ways(spark):
+    df = spark.createDataFrame([("Busy",), (None,), (None,), ("Busy",), ("Voicemail",), (None,)], "result2 string")
+    assert [tuple(r) for r in R.finish_codes(df, FIXTURE).collect()] == [(None, 3), ("Busy", 2), ("Voicemail", 1)]
+    ex = spark.createDataFrame([(s, i) for s, i, n in [(None, 1, 20), ("A", 2, 18), ("A", 3, 30)] for _ in range(n)],
+                               "segs string, id long")
+    assert [(r.segs, r.id) for r in R.extremes(ex, FIXTURE).collect()] == [("A", 3), ("A", 2), (None, 1)]
+
+
+def test_v11_missing_key_is_a_group_and_v15_sums_are_bigint(spark):
+    df = spark.createDataFrame([(None, 1, 1, 1), (None, 2, 0, 0), ("A", 3, 1, 0)],
+                               "segs string, id long, is_contact int, is_sale int")
+    out = {r.segs: r for r in benefit(df, ["segs"]).collect()}
+    assert out[None].records == 2 and out[None].attempts == 2 and out[None].sales == 1
+    types = dict(benefit(df, ["segs"]).dtypes)
+    assert types["contacts"] == types["sales"] == types["records"] == types["attempts"] == "bigint"
+
+
+def test_v13_wide_columns_in_text_order(spark):
+    df = spark.createDataFrame([("A", w, float(w)) for w in (1, 2, 10)], "segs string, placed_week int, v double")
+    out = R.to_wide(df.withColumn("placed_week", F.col("placed_week").cast("string")), "placed_week", "v",
+                    R._text_columns([1, 2, 10]))
+    assert out.columns == ["segs", "1", "10", "2"]
+    assert tuple(out.first()) == ("A", 1.0, 10.0, 2.0)
+
+
+def test_talk_time_zero_hours(spark):
+    from dialmetrics.operators.metrics import talk_time
+
+    df = spark.createDataFrame([("A", 10, 1), ("C", 0, 0), ("E", None, 1)], "segs string, length long, is_sale int")
+    out = {r.segs: r for r in talk_time(df, ["segs"]).collect()}
+    assert out["A"].hours == 0.0 and out["A"].sales_hour == math.inf      # 10 s rounds to 0.00 h
+    assert out["C"].hours == 0.0 and math.isnan(out["C"].sales_hour)
+    assert out["E"].hours is None and out["E"].sales_hour is None
