@@ -84,3 +84,16 @@ def test_params_from_text():
     assert p.attempt_cap == 11 and p.contact_share_min == 0.1 and p.segments == ("A", "Z")
     assert p.hot_case_rows is None and p.renumber_first_attempts is False
     assert REFERENCE.with_text(["case_ids=none"]).case_ids is None
+
+
+def test_store_splits_a_hot_case_over_tasks(spark, tmp_path):
+    """One case holding a third of all attempts, all on one day, is written by several tasks."""
+    live = load_attempts(spark, SF001, FIXTURE, hot_split=False)
+    hot = live.withColumn("id", F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("id")))
+    day = hot.where(F.col("placed_date") == F.lit("2024-01-15").cast("date"))
+    path = str(tmp_path / "hot")
+    write_attempts(day, path, num_partitions=6)
+    per_file = (read_attempts(spark, path).where(F.col("id") == 7)
+                .groupBy(F.input_file_name()).count().collect())
+    total = sum(r["count"] for r in per_file)
+    assert len(per_file) >= 2 and max(r["count"] for r in per_file) < total
