@@ -14,12 +14,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def data_dictionary(df: DataFrame, descriptions: dict | None = None, var_types: dict | None = None,
+def _by_column(values, cols, what: str) -> dict:
+    """A dict by column name, from a dict or from a list in column order."""
+    if values is None:
+        return {}
+    if isinstance(values, dict):
+        return values
+    values = list(values)
+    if len(values) > len(cols):
+        raise ValueError(f"{what}: {len(values)} values for {len(cols)} columns")
+    return dict(zip(cols, values))
+
+
+def data_dictionary(df: DataFrame, descriptions=None, var_types=None,
                     max_options: int = 25) -> DataFrame:
-    descriptions = descriptions or {}
-    var_types = var_types or {}
+    """``descriptions`` / ``var_types``: dicts by column, or lists in column order
+    (type 0 = show the range, 1 = show the values)."""
     spark = df.sparkSession
     cols = df.columns
+    descriptions = _by_column(descriptions, cols, "descriptions")
+    var_types = _by_column(var_types, cols, "var_types")
     dtypes = dict(df.dtypes)
 
     # one pass: missing count, min and max (as text) of every column

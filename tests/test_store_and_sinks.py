@@ -97,3 +97,10 @@ def test_store_splits_a_hot_case_over_tasks(spark, tmp_path):
                 .groupBy(F.input_file_name()).count().collect())
     total = sum(r["count"] for r in per_file)
     assert len(per_file) >= 2 and max(r["count"] for r in per_file) < total
+
+
+def test_dictionary_from_positional_lists(spark):
+    df = spark.createDataFrame([(1, "A"), (2, "Z"), (3, "Z")], "id long, segs string")
+    d = {r.variable_name: r for r in data_dictionary(df, ["case", "segment"], [0, 1]).collect()}
+    assert d["segs"].description == "segment" and d["segs"].options == ["Z", "A"]
+    assert d["id"].min == "1" and d["id"].max == "3"
