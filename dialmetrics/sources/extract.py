@@ -57,16 +57,18 @@ def read_sql_file(path: str) -> str:
 def conform_extract(df: DataFrame, keep=("event_id",)) -> DataFrame:
     """Give an extract the 14 raw columns with their raw types.
 
-    Columns the source lacks are added as nulls of the right type (S02);
-    columns named in ``keep`` (a tie-break key, say) are carried along.
+    Names match regardless of case. Columns the source lacks are added as nulls
+    of the right type (S02); columns named in ``keep`` (a tie-break key, say)
+    are carried along.
     """
+    present = {c.lower(): c for c in df.columns}  # databases differ in name case
     cols = []
     for f in RAW_SCHEMA.fields:
-        if f.name in df.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+        if f.name.lower() in present:
+            cols.append(F.col(f"`{present[f.name.lower()]}`").cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    cols += [F.col(k) for k in keep if k in df.columns]
+    cols += [F.col(f"`{present[k.lower()]}`").alias(k) for k in keep if k.lower() in present]
     return df.select(*cols)
 
 

@@ -31,3 +31,9 @@ def test_older_extract_has_no_length_and_fewer_customers(spark):
     new, old = raw_extract(spark, SF001), raw_extract(spark, SF001, min_acctbal=0, with_length=False)
     assert old.where(F.col("LENGTH").isNotNull()).count() == 0
     assert old.count() <= new.count()
+
+
+def test_conform_matches_names_regardless_of_case(spark):
+    df = spark.createDataFrame([(5, "z", "1", 9)], "case_id_t long, segment string, Is_Sale string, EVENT_ID long")
+    r = conform_extract(df).first()
+    assert r.CASE_ID_T == 5 and r.SEGMENT == "z" and r.IS_SALE == "1" and r.event_id == 9
