@@ -116,3 +116,17 @@ def test_talk_time_zero_hours(spark):
     assert out["A"].hours == 0.0 and out["A"].sales_hour == math.inf      # 10 s rounds to 0.00 h
     assert out["C"].hours == 0.0 and math.isnan(out["C"].sales_hour)
     assert out["E"].hours is None and out["E"].sales_hour is None
+
+
+def test_old_and_new_extract_reports_align(spark):
+    """P03 against P04: same columns; the older extract covers a subset of customers."""
+    from dialmetrics.plans.registry import load_attempts
+
+    new, old = queries()["benefit_segs_weeks"](spark, SF001), queries()["benefit_segs_weeks_v1"](spark, SF001)
+    assert new.columns == old.columns
+    assert {(r.segs, r.key) for r in old.collect()} <= {(r.segs, r.key) for r in new.collect()}
+    a_new = load_attempts(spark, SF001, FIXTURE, "current", hot_split=False)
+    a_old = load_attempts(spark, SF001, FIXTURE, "older", hot_split=False)
+    assert a_old.select("customer").distinct().join(a_new.select("customer").distinct(), "customer",
+                                                    "left_anti").count() == 0
+    assert a_old.where(F.col("length").isNotNull()).count() == 0
