@@ -126,3 +126,11 @@ def test_wall_clock_kept_in_a_daylight_saving_gap(spark):
         assert r.placed_date == dt.date(2018, 3, 25) and r.dialer_tweak == "tweak"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_timestamp_needs_a_full_clock_time(spark):
+    df = spark.createDataFrame([("2024-01-03 10:11",), ("2024-01-03T10:11:12",), ("2024-02-30 10:11:12",),
+                                ("2024-01-03 10:11:12",)], "t string")
+    got = [r.ts for r in df.select(S.parse_timestamp("t").alias("ts")).collect()]
+    assert got[0] is None and got[1] == dt.datetime(2024, 1, 3, 10, 11, 12)
+    assert got[2] is None and got[3] == dt.datetime(2024, 1, 3, 10, 11, 12)
