@@ -1,7 +1,8 @@
 """Long and wide reshapes.
 
 ``to_wide`` takes the list of key values: the output schema is then fixed and no
-extra job has to find the distinct keys. It is written as one conditional
+extra job has to find the distinct keys (or ``None``: the values present, as
+``spread`` does). It is written as one conditional
 aggregation per value, a single ``groupBy`` with partial aggregation.
 """
 
@@ -24,10 +25,13 @@ def to_wide(df: DataFrame, key: str, value: str, values, names=None,
     """G02 (``spread``): one column per key value, other columns are row keys.
 
     ``values`` are the key values to turn into columns, in output order; cells
-    without a row stay null. ``names`` renames the new columns (R02). With
+    without a row stay null. ``values=None`` takes the values present in the
+    data, as ``spread`` does (one small extra job; the schema then follows the data). ``names`` renames the new columns (R02). With
     ``check_unique`` a cell fed by two rows raises, as ``spread`` does (G03).
     """
     rest = [c for c in df.columns if c not in (key, value)]
+    if values is None:
+        values = present_values(df, key)
     names = list(names) if names is not None else [str(v) for v in values]
     kcol = F.col(key)
     if check_unique:
@@ -39,6 +43,14 @@ def to_wide(df: DataFrame, key: str, value: str, values, names=None,
     return df.groupBy(*rest).agg(*aggs)
 
 
+def present_values(df: DataFrame, key: str) -> list:
+    """The non-null values of ``key`` in ``df``, sorted by the column's type
+    (text keys in text order). Meant for aggregated inputs, where the count is
+    bounded by the key's cardinality (weeks, hours, attempt numbers); this is
+    the same small job Spark's own ``pivot`` runs when given no values."""
+    return [r[0] for r in df.where(F.col(key).isNotNull()).select(key).distinct().orderBy(key).collect()]
+
+
 def sequence_text(cols, sep: str = ", "):
     """The cells of a wide row as one text, missing cells written ``NA``."""
     return S.paste_na(cols, sep)

@@ -21,9 +21,11 @@ class Params:
     # Weeks strictly above this, and these segments only
     week_floor: int = 5
     segments: tuple = ("A", "C", "E", "I", "Z")
-    # wide tables: the week / hour values that become columns, in output order
-    week_columns: tuple = tuple(range(1, 54))
-    hour_columns: tuple = tuple(range(0, 24))
+    # wide tables: the week / hour values that become columns; None = the values
+    # present in the data, as the original's spread does (the schema then follows
+    # the data); a tuple fixes the schema
+    week_columns: tuple | None = None
+    hour_columns: tuple | None = None
     # Case ids to show; None = every case
     case_ids: tuple | None = None
     # Attempt caps (strictly below)
@@ -87,5 +89,6 @@ FIXTURE = Params(
     cut="2024-01-11",
     week_floor=1,
     week_columns=(1, 2, 3, 4, 5),
+    hour_columns=tuple(range(0, 24)),
     months=(1, 2, 3),
 )

@@ -220,6 +220,8 @@ RATIOS = ["conversion", "sales_to_dials", "sales_to_connects", "avg_dials"]
 
 
 def oracle_sql(p: Params = FIXTURE) -> dict[str, str]:
+    if p.week_columns is None or p.hour_columns is None:
+        raise ValueError("the oracle needs fixed wide columns: set week_columns and hour_columns")
     segs_in = ", ".join(f"'{s}'" for s in p.segments)
     weeks_above = [w for w in p.week_columns if w > p.week_floor]
     week_txt = sorted(str(w) for w in p.week_columns)

@@ -30,9 +30,10 @@ def _tweak(df: DataFrame, p: Params) -> DataFrame:
     return df.where(F.col("placed_date") >= F.lit(p.cut).cast("date"))
 
 
-def _text_columns(values) -> list[str]:
-    """Wide-column names of a number turned into text, in text order."""
-    return sorted(str(v) for v in values)
+def _text_columns(values) -> list[str] | None:
+    """Wide-column names of a number turned into text, in text order (V13);
+    None stays None (the values present in the data, already in text order)."""
+    return None if values is None else sorted(str(v) for v in values)
 
 
 # -- P01 and variants -------------------------------------------------------------------
@@ -61,7 +62,7 @@ def benefit_segs_weeks(df: DataFrame, p: Params) -> DataFrame:
     sel = df.where((F.col("placed_week") > p.week_floor) & F.col("segs").isin(*p.segments))
     b = benefit(sel, ["segs", "placed_week"]).select("segs", "placed_week", *BENEFIT_RATIOS)
     long = to_long(b, BENEFIT_RATIOS, "key", "value")
-    weeks = [w for w in p.week_columns if w > p.week_floor]
+    weeks = None if p.week_columns is None else [w for w in p.week_columns if w > p.week_floor]
     return to_wide(long, "placed_week", "value", weeks)
 
 

@@ -27,3 +27,19 @@ def test_g03_two_rows_one_cell_raises(spark):
 def test_long_mixed_types_become_double(spark):
     df = spark.createDataFrame([("A", 1.5, 2)], "segs string, hours double, sales long")
     assert dict(to_long(df, ["hours", "sales"]).dtypes)["value"] == "double"
+
+
+def test_wide_columns_from_the_data_like_spread(spark):
+    from conftest import SF001
+    from dialmetrics.params import FIXTURE
+    from dialmetrics.plans import reports as R
+    from dialmetrics.plans.registry import load_attempts
+
+    df = load_attempts(spark, SF001, FIXTURE, hot_split=False)
+    free = FIXTURE.with_(week_columns=None, hour_columns=None)
+    fixed_w, free_w = R.sales_by_week(df, FIXTURE), R.sales_by_week(df, free)
+    assert free_w.columns == ["segs", "2", "3", "4", "5"]          # week 1 has no tweak rows
+    assert sorted(map(tuple, free_w.collect())) == sorted(map(tuple, fixed_w.drop("1").collect()))
+    hours = R.hours_by_hour(df, free).columns[1:]
+    assert hours == sorted(hours) and "10" in hours and hours.index("10") < hours.index("2")
+    assert R.benefit_segs_weeks(df, free).columns == ["segs", "key", "2", "3", "4", "5"]
