@@ -40,6 +40,8 @@ def to_wide(df: DataFrame, key: str, value: str, values, names=None,
         if dup:
             raise ValueError(f"to_wide: several rows share one cell of key {key!r}")
     aggs = [F.max(F.when(kcol == F.lit(v), F.col(value))).alias(n) for v, n in zip(values, names)]
+    if not aggs:  # no key values: only the row keys remain
+        return df.select(*rest).distinct()
     return df.groupBy(*rest).agg(*aggs)
 
 

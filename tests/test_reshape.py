@@ -43,3 +43,22 @@ def test_wide_columns_from_the_data_like_spread(spark):
     hours = R.hours_by_hour(df, free).columns[1:]
     assert hours == sorted(hours) and "10" in hours and hours.index("10") < hours.index("2")
     assert R.benefit_segs_weeks(df, free).columns == ["segs", "key", "2", "3", "4", "5"]
+
+
+def test_wide_with_no_key_values(spark):
+    df = spark.createDataFrame([("A", None, 1.0)], "segs string, k int, v double")
+    out = to_wide(df, "k", "v", None)
+    assert out.columns == ["segs"] and out.count() == 1
+
+
+def test_reference_parameters_run_on_the_fixture(spark):
+    """The original's own parameters (week floor 5, months 2-4) give empty but well-formed tables."""
+    from conftest import SF001
+    from dialmetrics.params import REFERENCE
+    from dialmetrics.plans import reports as R
+    from dialmetrics.plans.registry import load_attempts
+
+    df = load_attempts(spark, SF001, REFERENCE, hot_split=False)
+    assert R.benefit_segs_weeks(df, REFERENCE).count() == 0
+    assert R.month_compare(df, REFERENCE).count() == 0
+    assert R.sales_by_week(df, REFERENCE).count() > 0   # the cut is in 2018: all of 2024 is "tweak"
