@@ -3,6 +3,8 @@
     python -m dialmetrics.plans.runner --sql extract.sql --out /shared/reports
     python -m dialmetrics.plans.runner --parquet /shared/extract --store /shared/attempts --out ...
     python -m dialmetrics.plans.runner --tables /root/testdata/sf0.01 --params fixture --out ...
+    python -m dialmetrics.plans.runner --views /root/testdata/sf0.01 --sql examples/fixture_extract.sql \
+        --params fixture --out ...
 
 The extract is derived once (and, with ``--store``, landed partitioned by date
 and read back), then each report is written to ``<out>/<report name>`` as CSV
@@ -44,19 +46,38 @@ def run_all(attempts: DataFrame, params: Params, out_root: str, fmt: str = "csv"
     return written
 
 
+def register_views(spark: SparkSession, folder: str) -> list[str]:
+    """Register every ``<name>.parquet`` in ``folder`` as temporary view ``<name>``."""
+    import glob
+    import os
+
+    names = []
+    for path in sorted(glob.glob(os.path.join(folder, "*.parquet"))):
+        name = os.path.basename(path)[: -len(".parquet")]
+        spark.read.parquet(path).createOrReplaceTempView(name)
+        names.append(name)
+    return names
+
+
+def _load(spark: SparkSession, args, sql: str | None, parquet: str | None) -> DataFrame:
+    if args.jdbc_url and sql:
+        return load_extract_jdbc(spark, args.jdbc_url, open(sql).read(),
+                                 partition_column=args.partition_column, lower_bound=args.lower_bound,
+                                 upper_bound=args.upper_bound, num_partitions=args.num_partitions)
+    if sql:
+        return load_extract_sql(spark, sql)
+    return load_extract_parquet(spark, parquet)
+
+
 def _attempts(spark: SparkSession, args, params: Params) -> tuple[DataFrame, DataFrame | None]:
     older = None
+    if args.older_sql or args.older_parquet:
+        older = derive_attempts(_load(spark, args, args.older_sql, args.older_parquet), params)
     if args.tables:
         raw = raw_extract(spark, args.tables)
         older = derive_attempts(raw_extract(spark, args.tables, min_acctbal=0, with_length=False), params)
-    elif args.jdbc_url:
-        raw = load_extract_jdbc(spark, args.jdbc_url, open(args.sql).read(),
-                                partition_column=args.partition_column, lower_bound=args.lower_bound,
-                                upper_bound=args.upper_bound, num_partitions=args.num_partitions)
-    elif args.sql:
-        raw = load_extract_sql(spark, args.sql)
     else:
-        raw = load_extract_parquet(spark, args.parquet)
+        raw = _load(spark, args, args.sql, args.parquet)
     attempts = derive_attempts(raw, params)
     if args.store:
         write_attempts(attempts, args.store)
@@ -70,6 +91,9 @@ def main(argv=None) -> None:
     src.add_argument("--sql", help="extract query (.sql file) run by spark.sql, or by JDBC with --jdbc-url")
     src.add_argument("--parquet", help="extract landed as parquet")
     src.add_argument("--tables", help="folder with the test tables (events, customer, nation, orders)")
+    ap.add_argument("--older-sql", help="the second, older extract (P04), as SQL")
+    ap.add_argument("--older-parquet", help="the second, older extract (P04), as parquet")
+    ap.add_argument("--views", help="register each <name>.parquet of this folder as view <name> first")
     ap.add_argument("--jdbc-url")
     ap.add_argument("--partition-column")
     ap.add_argument("--lower-bound")
@@ -87,6 +111,8 @@ def main(argv=None) -> None:
         ap.error("--jdbc-url needs --sql")
 
     spark = SparkSession.builder.appName("dialmetrics-reports").getOrCreate()
+    if args.views:
+        register_views(spark, args.views)
     params = (FIXTURE if args.params == "fixture" else REFERENCE).with_text(args.set)
     if args.store:
         params = params.with_(renumber_first_attempts=False)  # attempt_no is materialised

@@ -41,12 +41,15 @@ RAW_COLUMNS = [f.name for f in RAW_SCHEMA.fields]
 
 
 def clean_query_text(text_or_lines) -> str:
-    """One line of SQL from a file's lines, line breaks removed.
+    """Query text from a file's lines, carriage returns removed.
 
-    Lines are joined with a blank so that words at line ends do not fuse.
+    Lines are joined with a line feed: words at line ends cannot fuse, and a
+    ``--`` comment still ends at its line (joining with blanks would let it
+    swallow the rest of the query). A trailing ``;`` is dropped.
     """
     lines = text_or_lines.splitlines() if isinstance(text_or_lines, str) else list(text_or_lines)
-    return " ".join(re.sub(r"[\r\n]", "", ln) for ln in lines).strip()
+    text = "\n".join(re.sub(r"[\r\n]", "", ln) for ln in lines).strip()
+    return text[:-1].rstrip() if text.endswith(";") else text
 
 
 def read_sql_file(path: str) -> str:

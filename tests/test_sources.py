@@ -5,9 +5,9 @@ from dialmetrics.sources.extract import RAW_COLUMNS, clean_query_text, conform_e
 from dialmetrics.sources.fixture import raw_extract
 
 
-def test_clean_query_text_joins_lines_with_blank():
-    assert clean_query_text("SELECT a\r\nFROM t\nWHERE x = 1") == "SELECT a FROM t WHERE x = 1"
-    assert clean_query_text(["SELECT a", "FROM t"]) == "SELECT a FROM t"
+def test_clean_query_text_keeps_lines_apart():
+    assert clean_query_text("SELECT a\r\nFROM t\nWHERE x = 1;\n") == "SELECT a\nFROM t\nWHERE x = 1"
+    assert clean_query_text(["SELECT a -- note", "FROM t"]) == "SELECT a -- note\nFROM t"
 
 
 def test_conform_adds_missing_columns_typed(spark):
@@ -37,3 +37,18 @@ def test_conform_matches_names_regardless_of_case(spark):
     df = spark.createDataFrame([(5, "z", "1", 9)], "case_id_t long, segment string, Is_Sale string, EVENT_ID long")
     r = conform_extract(df).first()
     assert r.CASE_ID_T == 5 and r.SEGMENT == "z" and r.IS_SALE == "1" and r.event_id == 9
+
+
+def test_sql_file_extract_equals_dataframe_extract(spark):
+    """S01 end to end: the fixture extract as a .sql file over views equals the DataFrame build."""
+    import os
+
+    from compare import canon
+    from conftest import ROOT
+    from dialmetrics.plans.runner import register_views
+
+    assert {"events", "customer", "nation", "orders"} <= set(register_views(spark, SF001))
+    a = load_extract_sql(spark, os.path.join(ROOT, "examples", "fixture_extract.sql"))
+    b = raw_extract(spark, SF001)
+    assert a.dtypes == b.dtypes
+    assert canon([tuple(r) for r in a.collect()], a.columns) == canon([tuple(r) for r in b.collect()], b.columns)
