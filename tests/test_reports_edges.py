@@ -130,3 +130,75 @@ def test_old_and_new_extract_reports_align(spark):
     assert a_old.select("customer").distinct().join(a_new.select("customer").distinct(), "customer",
                                                     "left_anti").count() == 0
     assert a_old.where(F.col("length").isNotNull()).count() == 0
+
+
+def _r_benefit(rows):
+    """Plain-Python statement of the R benefit block, for the property test."""
+    import numpy as np
+
+    def rnd(x):
+        return None if x is None else float(np.rint(x * 100) / 100)
+
+    def div(n, d):
+        if n is None or d is None:
+            return None
+        if d == 0:
+            return math.nan if n == 0 else math.copysign(math.inf, n)
+        return n / d
+
+    def rsum(vals):
+        return None if any(v is None for v in vals) else sum(vals)
+
+    out = {}
+    for segs in {r[0] for r in rows}:
+        g = [r for r in rows if r[0] == segs]
+        records, attempts = len({r[1] for r in g}), len(g)
+        contacts, sales = rsum([r[2] for r in g]), rsum([r[3] for r in g])
+        pct = lambda n, d: rnd(None if div(n, d) is None else div(n, d) * 100)
+        out[segs] = (records, attempts, contacts, sales, pct(sales, records), pct(sales, attempts),
+                     pct(sales, contacts), rnd(div(attempts, records)))
+    return out
+
+
+def _same_value(a, b):
+    if isinstance(a, float) and isinstance(b, float) and math.isnan(a) and math.isnan(b):
+        return True
+    return a == b
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["A", "Z", None]), st.sampled_from([1, 2, 3, 4, None]),
+                          st.sampled_from([0, 1, 1, None]), st.sampled_from([0, 0, 1, None])),
+                min_size=1, max_size=40))
+def test_benefit_matches_r_rules_with_missing_values(spark, rows):
+    df = spark.createDataFrame(rows, "segs string, id long, is_contact int, is_sale int")
+    got = {r.segs: (r.records, r.attempts, r.contacts, r.sales, r.conversion, r.sales_to_dials,
+                    r.sales_to_connects, r.avg_dials) for r in benefit(df, ["segs"]).collect()}
+    want = _r_benefit(rows)
+    assert got.keys() == want.keys()
+    for k in want:
+        assert all(_same_value(a, b) for a, b in zip(got[k], want[k])), (k, got[k], want[k])
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["A", "Z", None]), st.sampled_from([0, 5, 17, 18, 3600, 7200, None]),
+                          st.sampled_from([0, 1, None])), min_size=1, max_size=30))
+def test_talk_time_matches_r_rules_with_missing_values(spark, rows):
+    import numpy as np
+
+    from dialmetrics.operators.metrics import talk_time
+
+    df = spark.createDataFrame(rows, "segs string, length long, is_sale int")
+    got = {r.segs: (r.hours, r.sales, r.sales_hour) for r in talk_time(df, ["segs"]).collect()}
+    for segs in {r[0] for r in rows}:
+        g = [r for r in rows if r[0] == segs]
+        secs = None if any(r[1] is None for r in g) else sum(r[1] for r in g)
+        sales = None if any(r[2] is None for r in g) else sum(r[2] for r in g)
+        hours = None if secs is None else float(np.rint(secs / 3600 * 100) / 100)
+        if sales is None or hours is None:
+            sph = None
+        elif hours == 0:
+            sph = math.nan if sales == 0 else math.inf
+        else:
+            sph = float(np.rint(sales / hours * 100) / 100)
+        assert all(_same_value(a, b) for a, b in zip(got[segs], (hours, sales, sph))), (segs, got[segs])
