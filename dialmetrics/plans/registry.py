@@ -76,6 +76,8 @@ _PLANS: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
 
 def clear_plan_cache() -> None:
+    """Forget the built attempts plans and unpersist the shared report aggregates."""
+    R.clear_shared()
     _PLANS.clear()
 
 

@@ -8,6 +8,9 @@ sorts its output (``arrange``) sort here; the rest leave order to the sink.
 
 from __future__ import annotations
 
+import weakref
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,29 @@ ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "
             "ninth", "tenth"]
 
 
+# Small aggregates that several reports derive from (as the original reuses
+# sales.data for five tables): computed once per attempts DataFrame and kept with
+# cache(). They are bounded by key cardinalities (segments x weeks, hours or
+# categories); lost blocks are recomputed from lineage.
+_SHARED: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
+
+
+def _shared(df: DataFrame, p: Params, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    per_df = _SHARED.setdefault(df, {})
+    key = (name, p)
+    if key not in per_df:
+        per_df[key] = build().cache()
+    return per_df[key]
+
+
+def clear_shared() -> None:
+    """Unpersist and forget the shared aggregates."""
+    for per_df in list(_SHARED.values()):
+        for cached in per_df.values():
+            cached.unpersist()
+    _SHARED.clear()
+
+
 def _tweak(df: DataFrame, p: Params) -> DataFrame:
     """T: ``dialer_tweak == 'tweak'``, written as the equal test on the date
     (a date from the cut on) so it is a partition filter on the stored table."""
@@ -136,10 +162,12 @@ def hour_rates(df: DataFrame, p: Params) -> DataFrame:
     The grand total is a window without keys over the per-hour rows: at most 25
     (hours 0-23 and missing), so one pass over the attempts suffices.
     """
-    agg = contact_sale_rates(_tweak(df, p), ["placed_hour"], digits=None)
-    agg = with_share(agg, "attempts", [], "attempt_perc", digits=None, grand="window")
-    return agg.select("placed_hour", "attempts", "contacts", "sales",
-                      "attempt_perc", "contact_perc", "sales_perc")
+    def build():
+        agg = contact_sale_rates(_tweak(df, p), ["placed_hour"], digits=None)
+        agg = with_share(agg, "attempts", [], "attempt_perc", digits=None, grand="window")
+        return agg.select("placed_hour", "attempts", "contacts", "sales",
+                          "attempt_perc", "contact_perc", "sales_perc")
+    return _shared(df, p, "hour_rates", build)
 
 
 def hour_rates_long(df: DataFrame, p: Params) -> DataFrame:
@@ -260,8 +288,10 @@ def att_sale(df: DataFrame, p: Params) -> DataFrame:
 
 def sales_per_week(df: DataFrame, p: Params) -> DataFrame:
     """T; talk hours, sales and sales per hour per segment and week (as text)."""
-    sel = _tweak(df.withColumn("placed_week", F.col("placed_week").cast("string")), p)
-    return talk_time(sel, ["segs", "placed_week"])
+    def build():
+        sel = _tweak(df.withColumn("placed_week", F.col("placed_week").cast("string")), p)
+        return talk_time(sel, ["segs", "placed_week"])
+    return _shared(df, p, "sales_per_week", build)
 
 
 def _by_week(df: DataFrame, p: Params, value: str) -> DataFrame:
@@ -296,8 +326,10 @@ def sales_hour_line(df: DataFrame, p: Params) -> DataFrame:
 
 def sales_per_hour(df: DataFrame, p: Params) -> DataFrame:
     """As P29 per hour of the day (as text)."""
-    sel = _tweak(df.withColumn("placed_hour", F.col("placed_hour").cast("string")), p)
-    return talk_time(sel, ["segs", "placed_hour"])
+    def build():
+        sel = _tweak(df.withColumn("placed_hour", F.col("placed_hour").cast("string")), p)
+        return talk_time(sel, ["segs", "placed_hour"])
+    return _shared(df, p, "sales_per_hour", build)
 
 
 def _by_hour(df: DataFrame, p: Params, value: str) -> DataFrame:
@@ -353,9 +385,11 @@ def uncategorised(df: DataFrame, p: Params) -> DataFrame:
 def talk_time_by_result(df: DataFrame, p: Params) -> DataFrame:
     """T and week below the cap, both as text; hours (``length``), sales,
     sales per hour per segment, category and week."""
-    sel = _tweak(df.withColumn("placed_week", F.col("placed_week").cast("string")), p)
-    sel = sel.where(F.col("placed_week") < F.lit(p.week_cap_text))
-    return talk_time(sel, ["segs", "result_cat", "placed_week"], hours="length")
+    def build():
+        sel = _tweak(df.withColumn("placed_week", F.col("placed_week").cast("string")), p)
+        sel = sel.where(F.col("placed_week") < F.lit(p.week_cap_text))
+        return talk_time(sel, ["segs", "result_cat", "placed_week"], hours="length")
+    return _shared(df, p, "talk_time_by_result", build)
 
 
 def talk_time_by_result_wide(df: DataFrame, p: Params) -> DataFrame:
