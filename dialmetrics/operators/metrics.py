@@ -40,18 +40,20 @@ def benefit(df: DataFrame, keys, case: str = "id") -> DataFrame:
     })
 
 
-def contact_sale_rates(df: DataFrame, keys, scale: float = 1.0, digits: int | None = 2,
-                       names=("attempts", "contacts", "sales", "contact_perc", "sales_perc")) -> DataFrame:
-    """Attempts, contacts, sales and the two rates contacts/attempts, sales/contacts.
-
-    ``scale=100`` gives percents; ``digits=None`` leaves the rates unrounded.
-    """
-    a, c, s, cp, sp = names
-    agg = df.groupBy(*keys).agg(
+def contact_sale_counts(df: DataFrame, keys, names=("attempts", "contacts", "sales")) -> DataFrame:
+    """Attempts (rows), contacts and sales (R sums) per key combination."""
+    a, c, s = names
+    return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias(a),
         S.r_sum("is_contact").alias(c),
         S.r_sum("is_sale").alias(s),
     )
+
+
+def with_rates(agg: DataFrame, scale: float = 1.0, digits: int | None = 2,
+               names=("attempts", "contacts", "sales", "contact_perc", "sales_perc")) -> DataFrame:
+    """Add contacts/attempts and sales/contacts to an aggregate of those counts."""
+    a, c, s, cp, sp = names
     cr = S.ratio(c, a) * scale if scale != 1.0 else S.ratio(c, a)
     sr = S.ratio(s, c) * scale if scale != 1.0 else S.ratio(s, c)
     if digits is not None:
@@ -59,6 +61,15 @@ def contact_sale_rates(df: DataFrame, keys, scale: float = 1.0, digits: int | No
     return agg.withColumns({cp: cr, sp: sr})
 
 
+def contact_sale_rates(df: DataFrame, keys, scale: float = 1.0, digits: int | None = 2,
+                       names=("attempts", "contacts", "sales", "contact_perc", "sales_perc")) -> DataFrame:
+    """Attempts, contacts, sales and the two rates contacts/attempts, sales/contacts.
+
+    ``scale=100`` gives percents; ``digits=None`` leaves the rates unrounded.
+    """
+    return with_rates(contact_sale_counts(df, keys, names[:3]), scale, digits, names)
+
+
 def talk_time(df: DataFrame, keys, hours: str = "hours") -> DataFrame:
     """Talk hours (2 decimals), sales, and sales per (rounded) hour."""
     agg = df.groupBy(*keys).agg(

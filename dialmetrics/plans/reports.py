@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..operators import derive as D
-from ..operators.metrics import BENEFIT_RATIOS, benefit, contact_sale_rates, count_rows, talk_time
+from ..operators.metrics import (
+    BENEFIT_RATIOS, benefit, contact_sale_rates, count_rows, talk_time, with_rates,
+)
 from ..operators.numbering import first_attempts, number_attempts
 from ..operators.reshape import sequence_text, to_long, to_wide
 from ..operators.shares import category_order, with_exact_share_of_rounded, with_share
@@ -126,26 +128,40 @@ def benefit_week_long(df: DataFrame, p: Params) -> DataFrame:
 
 
 # -- daily counts ------------------------------------------------------------------------
+# P10-P13 are sums over one table of the period's attempt counts per day, segment,
+# contact, sale and group (row counts add up exactly), so those attempts are read
+# once, and on the stored table only the period's date partitions.
+
+_DAY_KEYS = ["placed_date", "segs", "is_contact", "is_sale", "pilot_cat"]
+
+
+def _daily(df: DataFrame, p: Params) -> DataFrame:
+    return _shared(df, p, "daily_counts", lambda: count_rows(_tweak(df, p), _DAY_KEYS, "n"))
+
+
+def _sum_counts(base: DataFrame, keys, name: str) -> DataFrame:
+    return base.groupBy(*keys).agg(F.sum("n").alias(name))
+
 
 def dials_by_date(df: DataFrame, p: Params) -> DataFrame:
     """P10."""
-    return count_rows(_tweak(df, p), ["placed_date"], "attempts")
+    return _sum_counts(_daily(df, p), ["placed_date"], "attempts")
 
 
 def dials_by_date_segs(df: DataFrame, p: Params) -> DataFrame:
     """P11."""
-    return count_rows(_tweak(df, p), ["placed_date", "segs"], "attempts")
+    return _sum_counts(_daily(df, p), ["placed_date", "segs"], "attempts")
 
 
 def dials_by_contact(df: DataFrame, p: Params) -> DataFrame:
     """P12."""
-    return count_rows(_tweak(df, p), ["placed_date", "segs", "is_contact"], "attempts")
+    return _sum_counts(_daily(df, p), ["placed_date", "segs", "is_contact"], "attempts")
 
 
 def contacts_by_sale(df: DataFrame, p: Params) -> DataFrame:
     """Contacts only."""
-    sel = _tweak(df.where(F.col("is_contact") == 1), p)
-    return count_rows(sel, ["placed_date", "segs", "is_sale", "pilot_cat"], "attempts")
+    sel = _daily(df, p).where(F.col("is_contact") == 1)
+    return _sum_counts(sel, ["placed_date", "segs", "is_sale", "pilot_cat"], "attempts")
 
 
 def sales_by_pilot(df: DataFrame, p: Params) -> DataFrame:
@@ -209,29 +225,47 @@ def _first_attempts(df: DataFrame, p: Params, cap: int) -> DataFrame:
     return _tweak(_first(df, p, cap), p)
 
 
+def _by_attempt(df: DataFrame, p: Params) -> DataFrame:
+    """P20-P22 share one aggregate of the first attempts per attempt number and segment."""
+    def build():
+        sel = _first_attempts(df, p, p.attempt_cap)
+        return sel.groupBy("attempt_no", "segs").agg(
+            S.r_n_distinct("id").alias("number"),
+            F.count(F.lit(1)).alias("attempts"),
+            S.r_sum("is_contact").alias("contacts"),
+            S.r_sum("is_sale").alias("sales"))
+    return _shared(df, p, "by_attempt", build)
+
+
 def attempt_dist(df: DataFrame, p: Params) -> DataFrame:
     """P20: distinct cases per attempt number and segment."""
-    return (_first_attempts(df, p, p.attempt_cap).groupBy("attempt_no", "segs")
-            .agg(S.r_n_distinct("id").alias("number")))
+    return _by_attempt(df, p).select("attempt_no", "segs", "number")
 
 
 def attempt_rates_long(df: DataFrame, p: Params) -> DataFrame:
     """Contact and sale rates (shares, 2 decimals), long over the rates."""
-    agg = contact_sale_rates(_first_attempts(df, p, p.attempt_cap), ["attempt_no", "segs"])
+    agg = with_rates(_by_attempt(df, p).drop("number"))
     return to_long(agg, ["contact_perc", "sales_perc"], "key", "value")
 
 
 def attempt_counts_long(df: DataFrame, p: Params) -> DataFrame:
     """Rates as percents; long over contacts and sales."""
-    agg = contact_sale_rates(_first_attempts(df, p, p.attempt_cap), ["attempt_no", "segs"], scale=100.0)
+    agg = with_rates(_by_attempt(df, p).drop("number"), scale=100.0)
     return to_long(agg, ["contacts", "sales"], "key", "value")
 
 
 # -- finish codes --------------------------------------------------------------------------
 
+def _result_counts(df: DataFrame, p: Params) -> DataFrame:
+    """P23/P24 share the period's row counts per segment, category and contact flag."""
+    return _shared(df, p, "result_counts",
+                   lambda: count_rows(_tweak(df, p), ["segs", "result_cat", "is_contact"]))
+
+
 def _result_dist(df: DataFrame, p: Params, contact: int, min_perc) -> DataFrame:
-    sel = _tweak(df.where(F.col("is_contact") == contact), p)
-    out = with_share(count_rows(sel, ["segs", "result_cat"]), "rows", ["segs"], "perc")
+    rows = (_result_counts(df, p).where(F.col("is_contact") == contact)
+            .select("segs", "result_cat", "rows"))
+    out = with_share(rows, "rows", ["segs"], "perc")
     if min_perc is not None:
         out = out.where(F.col("perc") > min_perc)
     return (category_order(out, "result_cat", "perc")
@@ -272,16 +306,21 @@ def attempt_sequences(df: DataFrame, p: Params) -> DataFrame:
 
 # -- customer attribute ---------------------------------------------------------------------
 
+def _att_counts(df: DataFrame, p: Params) -> DataFrame:
+    """P27/P28 share row counts per customer attribute, contact and sale flag."""
+    return _shared(df, p, "att_counts", lambda: count_rows(df, ["customer_att", "is_contact", "is_sale"], "n"))
+
+
 def att_contact(df: DataFrame, p: Params) -> DataFrame:
     """Contact split per customer attribute, 3 decimals."""
-    return with_share(count_rows(df, ["customer_att", "is_contact"]), "rows",
-                      ["customer_att"], "contact_perc", digits=3)
+    rows = _sum_counts(_att_counts(df, p), ["customer_att", "is_contact"], "rows")
+    return with_share(rows, "rows", ["customer_att"], "contact_perc", digits=3)
 
 
 def att_sale(df: DataFrame, p: Params) -> DataFrame:
     """P28."""
-    return with_share(count_rows(df, ["customer_att", "is_sale"]), "rows",
-                      ["customer_att"], "sale_perc", digits=3)
+    rows = _sum_counts(_att_counts(df, p), ["customer_att", "is_sale"], "rows")
+    return with_share(rows, "rows", ["customer_att"], "sale_perc", digits=3)
 
 
 # -- talk time (A07) ------------------------------------------------------------------------
