@@ -285,7 +285,7 @@ def result_dist_contact(df: DataFrame, p: Params) -> DataFrame:
 
 def finish_codes(df: DataFrame, p: Params) -> DataFrame:
     """P25: rows per cleaned finish code, most first."""
-    return (count_rows(df, ["result2"])
+    return (_sum_counts(_profile(df, p), ["result2"], "rows")
             .orderBy(F.col("rows").desc(), F.col("result2").asc_nulls_last()))
 
 
@@ -306,20 +306,24 @@ def attempt_sequences(df: DataFrame, p: Params) -> DataFrame:
 
 # -- customer attribute ---------------------------------------------------------------------
 
-def _att_counts(df: DataFrame, p: Params) -> DataFrame:
-    """P27/P28 share row counts per customer attribute, contact and sale flag."""
-    return _shared(df, p, "att_counts", lambda: count_rows(df, ["customer_att", "is_contact", "is_sale"], "n"))
+def _profile(df: DataFrame, p: Params) -> DataFrame:
+    """P25, P27, P28 and P40 are sums over one table of row counts per segment,
+    birth-date flag, customer attribute, contact, sale and finish code (all rows,
+    no period filter): one read of the attempts for the four."""
+    keys = ["segs", "no_birth", "customer_att", "is_contact", "is_sale", "result2"]
+    return _shared(df, p, "profile_counts", lambda: count_rows(
+        df.withColumn("no_birth", D.birth_missing("date_of_birth")), keys, "n"))
 
 
 def att_contact(df: DataFrame, p: Params) -> DataFrame:
     """Contact split per customer attribute, 3 decimals."""
-    rows = _sum_counts(_att_counts(df, p), ["customer_att", "is_contact"], "rows")
+    rows = _sum_counts(_profile(df, p), ["customer_att", "is_contact"], "rows")
     return with_share(rows, "rows", ["customer_att"], "contact_perc", digits=3)
 
 
 def att_sale(df: DataFrame, p: Params) -> DataFrame:
     """P28."""
-    rows = _sum_counts(_att_counts(df, p), ["customer_att", "is_sale"], "rows")
+    rows = _sum_counts(_profile(df, p), ["customer_att", "is_sale"], "rows")
     return with_share(rows, "rows", ["customer_att"], "sale_perc", digits=3)
 
 
@@ -399,19 +403,19 @@ def sales_hour_by_hour_line(df: DataFrame, p: Params) -> DataFrame:
 
 # -- birth date, uncategorised ---------------------------------------------------------------
 
-def _birth(df: DataFrame) -> DataFrame:
-    rows = count_rows(df.withColumn("no_birth", D.birth_missing("date_of_birth")), ["segs", "no_birth"])
+def _birth_share(rows: DataFrame) -> DataFrame:
     return with_share(rows, "rows", ["segs"], "no_birth_perc")
 
 
 def birth_missing(df: DataFrame, p: Params) -> DataFrame:
     """Share of attempts without a birth date, per segment."""
-    return _birth(df)
+    return _birth_share(_sum_counts(_profile(df, p), ["segs", "no_birth"], "rows"))
 
 
 def birth_missing_cases(df: DataFrame, p: Params) -> DataFrame:
     """The same over first attempts, i.e. per case."""
-    return _birth(_first(df, p, 2))
+    first = _first(df, p, 2).withColumn("no_birth", D.birth_missing("date_of_birth"))
+    return _birth_share(count_rows(first, ["segs", "no_birth"]))
 
 
 def uncategorised(df: DataFrame, p: Params) -> DataFrame:

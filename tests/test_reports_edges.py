@@ -85,6 +85,8 @@ def test_round_half_even_matches_duckdb(spark, pairs):
 
 def test_v4_missing_sorts_last_both_ways(spark):
     df = spark.createDataFrame([("Busy",), (None,), (None,), ("Busy",), ("Voicemail",), (None,)], "result2 string")
+    df = df.select("result2", F.lit("A").alias("segs"), F.lit("--").alias("date_of_birth"),
+                   F.lit("ATT0").alias("customer_att"), F.lit(0).alias("is_contact"), F.lit(0).alias("is_sale"))
     assert [tuple(r) for r in R.finish_codes(df, FIXTURE).collect()] == [(None, 3), ("Busy", 2), ("Voicemail", 1)]
     ex = spark.createDataFrame([(s, i) for s, i, n in [(None, 1, 20), ("A", 2, 18), ("A", 3, 30)] for _ in range(n)],
                                "segs string, id long")
