@@ -19,19 +19,15 @@ def count_rows(df: DataFrame, keys, name: str = "rows") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def benefit(df: DataFrame, keys, case: str = "id") -> DataFrame:
-    """Records (distinct cases), attempts, contacts, sales and four ratios.
+def _benefit_counts(case: str):
+    return [S.r_n_distinct(case).alias("records"),
+            F.count(F.lit(1)).alias("attempts"),
+            S.r_sum("is_contact").alias("contacts"),
+            S.r_sum("is_sale").alias("sales")]
 
-    ``conversion = sales/records*100``, ``sales_to_dials = sales/attempts*100``,
-    ``sales_to_connects = sales/contacts*100``, ``avg_dials = attempts/records``,
-    all rounded half-even to 2 decimals. ``keys=[]`` gives one overall row.
-    """
-    agg = df.groupBy(*keys).agg(
-        S.r_n_distinct(case).alias("records"),
-        F.count(F.lit(1)).alias("attempts"),
-        S.r_sum("is_contact").alias("contacts"),
-        S.r_sum("is_sale").alias("sales"),
-    )
+
+def benefit_ratios(agg: DataFrame) -> DataFrame:
+    """The four 2-decimal ratios of the benefit block, from its four counts."""
     return agg.withColumns({
         "conversion": S.round_k(S.ratio("sales", "records") * 100, 2),
         "sales_to_dials": S.round_k(S.ratio("sales", "attempts") * 100, 2),
@@ -40,6 +36,38 @@ def benefit(df: DataFrame, keys, case: str = "id") -> DataFrame:
     })
 
 
+def benefit(df: DataFrame, keys, case: str = "id") -> DataFrame:
+    """Records (distinct cases), attempts, contacts, sales and four ratios.
+
+    ``conversion = sales/records*100``, ``sales_to_dials = sales/attempts*100``,
+    ``sales_to_connects = sales/contacts*100``, ``avg_dials = attempts/records``,
+    all rounded half-even to 2 decimals. ``keys=[]`` gives one overall row.
+    """
+    return benefit_ratios(df.groupBy(*keys).agg(*_benefit_counts(case)))
+
+
+def benefit_sets(df: DataFrame, grains, case: str = "id") -> DataFrame:
+    """The benefit counts for several key sets in one aggregation (GROUPING SETS).
+
+    One read of the input serves every set; each set's distinct count is taken
+    from the rows, never added up from another set. ``_gid`` tells the sets
+    apart (a missing key value stays distinct from a rolled-up column); pick one
+    with ``benefit_grain``.
+    """
+    cols = list(dict.fromkeys(c for g in grains for c in g))
+    return (df.groupingSets([list(g) for g in grains], *cols)
+            .agg(*_benefit_counts(case), F.grouping_id().alias("_gid")))
+
+
+def benefit_grain(sets: DataFrame, grains, i: int) -> DataFrame:
+    """The benefit block (counts and ratios) of key set ``grains[i]`` from ``benefit_sets``."""
+    cols = list(dict.fromkeys(c for g in grains for c in g))
+    keys = list(grains[i])
+    gid = sum(1 << (len(cols) - 1 - j) for j, c in enumerate(cols) if c not in keys)
+    picked = sets.where(F.col("_gid") == gid).select(*keys, "records", "attempts", "contacts", "sales")
+    return benefit_ratios(picked)
+
+
 def contact_sale_counts(df: DataFrame, keys, names=("attempts", "contacts", "sales")) -> DataFrame:
     """Attempts (rows), contacts and sales (R sums) per key combination."""
     a, c, s = names

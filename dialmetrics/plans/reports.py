@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from ..operators import derive as D
 from ..operators.metrics import (
-    BENEFIT_RATIOS, benefit, contact_sale_rates, count_rows, talk_time, with_rates,
+    BENEFIT_RATIOS, benefit, benefit_grain, benefit_sets, contact_sale_rates, count_rows, talk_time,
+    with_rates,
 )
 from ..operators.numbering import first_attempts, number_attempts
 from ..operators.reshape import sequence_text, to_long, to_wide
@@ -80,9 +81,26 @@ def extremes(df: DataFrame, p: Params) -> DataFrame:
 
 # -- benefit tracking (A05) ---------------------------------------------------------------
 
+# P02, P05 and P06 (intended total) are one GROUPING SETS aggregation over all
+# attempts; P07-P09 one over the period's attempts. The results are a handful of
+# rows, shared by the reports of each family.
+_ALL_GRAINS = [["segs"], ["pilot_cat"], []]
+_WEEK_GRAINS = [["segs", "placed_week", "dialer_tweak"], ["pilot_cat", "placed_week"], ["placed_week"]]
+
+
+def _benefit_all(df: DataFrame, p: Params, i: int) -> DataFrame:
+    sets = _shared(df, p, "benefit_all", lambda: benefit_sets(df, _ALL_GRAINS))
+    return benefit_grain(sets, _ALL_GRAINS, i)
+
+
+def _benefit_weeks(df: DataFrame, p: Params, i: int) -> DataFrame:
+    sets = _shared(df, p, "benefit_weeks", lambda: benefit_sets(_tweak(df, p), _WEEK_GRAINS))
+    return benefit_grain(sets, _WEEK_GRAINS, i)
+
+
 def benefit_segs(df: DataFrame, p: Params) -> DataFrame:
     """P02."""
-    return benefit(df, ["segs"])
+    return _benefit_all(df, p, 0)
 
 
 def benefit_segs_weeks(df: DataFrame, p: Params) -> DataFrame:
@@ -96,12 +114,12 @@ def benefit_segs_weeks(df: DataFrame, p: Params) -> DataFrame:
 
 def benefit_cat(df: DataFrame, p: Params) -> DataFrame:
     """P05."""
-    return benefit(df, ["pilot_cat"])
+    return _benefit_all(df, p, 1)
 
 
 def benefit_total(df: DataFrame, p: Params) -> DataFrame:
     """P06 as intended: one overall row."""
-    return benefit(df, [])
+    return _benefit_all(df, p, 2)
 
 
 def benefit_case(df: DataFrame, p: Params) -> DataFrame:
@@ -111,20 +129,18 @@ def benefit_case(df: DataFrame, p: Params) -> DataFrame:
 
 def benefit_segs_week_long(df: DataFrame, p: Params) -> DataFrame:
     """T; per segment, week and period; the four ratios long as metric/value."""
-    b = benefit(_tweak(df, p), ["segs", "placed_week", "dialer_tweak"])
-    return to_long(b, BENEFIT_RATIOS, "metric", "value")
+    return to_long(_benefit_weeks(df, p, 0), BENEFIT_RATIOS, "metric", "value")
 
 
 def benefit_cat_week_long(df: DataFrame, p: Params) -> DataFrame:
     """P08."""
-    b = benefit(_tweak(df, p), ["pilot_cat", "placed_week"])
-    return to_long(b, BENEFIT_RATIOS, "metric", "value")
+    return to_long(_benefit_weeks(df, p, 1), BENEFIT_RATIOS, "metric", "value")
 
 
 def benefit_week_long(df: DataFrame, p: Params) -> DataFrame:
     """Positions 7:9 of the original take three ratios; conversion stays a column."""
-    b = benefit(_tweak(df, p), ["placed_week"])
-    return to_long(b, ["sales_to_dials", "sales_to_connects", "avg_dials"], "metric", "value")
+    return to_long(_benefit_weeks(df, p, 2), ["sales_to_dials", "sales_to_connects", "avg_dials"],
+                   "metric", "value")
 
 
 # -- daily counts ------------------------------------------------------------------------

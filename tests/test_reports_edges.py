@@ -204,3 +204,17 @@ def test_talk_time_matches_r_rules_with_missing_values(spark, rows):
         else:
             sph = float(np.rint(sales / hours * 100) / 100)
         assert all(_same_value(a, b) for a, b in zip(got[segs], (hours, sales, sph))), (segs, got[segs])
+
+
+def test_benefit_sets_equal_separate_aggregations(spark):
+    from dialmetrics.operators.metrics import benefit_grain, benefit_sets
+
+    rows = [("A", "trial", 1, 1, 0), ("A", "trial", 1, 0, 0), (None, "error", 2, 1, 1), ("Z", "control", 3, None, 0),
+            ("Z", "control", None, 1, 1), (None, "error", 4, 0, 0)]
+    df = spark.createDataFrame(rows, "segs string, pilot_cat string, id long, is_contact int, is_sale int")
+    grains = [["segs"], ["pilot_cat"], [], ["segs", "pilot_cat"]]
+    sets = benefit_sets(df, grains)
+    for i, g in enumerate(grains):
+        a, b = benefit_grain(sets, grains, i), benefit(df, g)
+        assert a.columns == b.columns
+        assert canon([tuple(r) for r in a.collect()], a.columns) == canon([tuple(r) for r in b.collect()], b.columns)
