@@ -35,3 +35,26 @@ def test_first_k_reports_cut_cases_before_the_shuffle(spark):
         df = E.queries()[name](spark, SF001)
         plan = _plan(df)
         assert "WindowGroupLimit" in plan and "Partial" in plan, name
+
+
+def test_no_cross_joins_in_any_report(spark):
+    for name, fn in E.queries().items():
+        plan = _plan(fn(spark, SF001))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_keyless_windows_only_over_bounded_aggregates(spark):
+    """A window without partition keys moves its input to one task; only the per-hour
+    rows of hour_rates (at most 25) and the per-category means (at most 8) may use one."""
+    import re
+
+    allowed = {"hour_rates", "hour_rates_long", "result_dist_noncontact", "result_dist_contact"}
+    keyed = re.compile(r"\], \[[^\]]+\], \[[^\]]*\]$")  # "..., [partition keys], [order]" at the end
+    seen = set()
+    for name, fn in E.queries().items():
+        windows = [ln.strip() for ln in _plan(fn(spark, SF001)).splitlines() if "Window [" in ln]
+        keyless = [w for w in windows if not keyed.search(w)]
+        assert not keyless or name in allowed, (name, keyless)
+        if keyless:
+            seen.add(name)
+    assert seen == allowed  # the check does find the known ones
