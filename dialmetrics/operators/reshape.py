@@ -45,6 +45,21 @@ def to_wide(df: DataFrame, key: str, value: str, values, names=None,
     return df.groupBy(*rest).agg(*aggs)
 
 
+def to_wide_coded(df: DataFrame, key: str, value: str, values, names, codes) -> DataFrame:
+    """``to_wide`` for a text value drawn from a known list ``codes``.
+
+    The text is replaced by its 1-based position in ``codes`` before the pivot
+    and put back after it: ``max`` over a number is a hash aggregation, while
+    ``max`` over text needs a sort-based one. A text not in ``codes`` raises no
+    error but comes back null, so only use it where the list is complete.
+    """
+    arr = F.array(*[F.lit(c) for c in codes])
+    coded = df.withColumn(value, F.array_position(arr, F.col(value)).cast("int"))
+    wide = to_wide(coded, key, value, values, names)
+    return wide.withColumns({
+        n: F.when(F.col(n) > 0, F.element_at(arr, F.col(n))) for n in names})
+
+
 def present_values(df: DataFrame, key: str) -> list:
     """The non-null values of ``key`` in ``df``, sorted by the column's type
     (text keys in text order). Meant for aggregated inputs, where the count is

@@ -21,7 +21,8 @@ from ..operators.metrics import (
     with_rates,
 )
 from ..operators.numbering import first_attempts, number_attempts
-from ..operators.reshape import sequence_text, to_long, to_wide
+from ..functions.codes import CODE_CATEGORY
+from ..operators.reshape import sequence_text, to_long, to_wide, to_wide_coded
 from ..operators.shares import category_order, with_exact_share_of_rounded, with_share
 from ..params import Params
 
@@ -312,7 +313,8 @@ def attempt_sequences(df: DataFrame, p: Params) -> DataFrame:
     names = [ORDINALS[i] if i < len(ORDINALS) else f"attempt_{i + 1}" for i in range(n)]
     sel = (_first(df, p, p.sequence_cap).where(F.col("segs") == p.sequence_segment)
            .select("segs", "id", "result_cat", "attempt_no"))
-    wide = to_wide(sel, "attempt_no", "result_cat", list(range(1, n + 1)), names=names)
+    categories = sorted(set(CODE_CATEGORY.values()))  # every value result_cat can take
+    wide = to_wide_coded(sel, "attempt_no", "result_cat", list(range(1, n + 1)), names, categories)
     seq = (wide.withColumn("sequence", sequence_text(names))
            .groupBy("segs", "sequence").agg(F.count(F.lit(1)).alias("freq")))
     return (with_share(seq, "freq", ["segs"], "freq_perc")

@@ -62,3 +62,15 @@ def test_reference_parameters_run_on_the_fixture(spark):
     assert R.benefit_segs_weeks(df, REFERENCE).count() == 0
     assert R.month_compare(df, REFERENCE).count() == 0
     assert R.sales_by_week(df, REFERENCE).count() > 0   # the cut is in 2018: all of 2024 is "tweak"
+
+
+def test_coded_wide_equals_text_wide(spark):
+    from dialmetrics.operators.reshape import to_wide_coded
+
+    df = spark.createDataFrame([("Z", 1, 1, "Busy"), ("Z", 1, 2, None), ("Z", 1, 3, "Effective"), ("Z", 2, 1, "Voicemail")],
+                               "segs string, id long, k int, v string")
+    names = ["first", "second", "third", "fourth"]
+    a = to_wide(df, "k", "v", [1, 2, 3, 4], names)
+    b = to_wide_coded(df, "k", "v", [1, 2, 3, 4], names, ["Busy", "Effective", "Voicemail"])
+    assert a.columns == b.columns and sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    assert "SortAggregate" not in b._jdf.queryExecution().executedPlan().toString()
