@@ -82,10 +82,11 @@ def extremes(df: DataFrame, p: Params) -> DataFrame:
 
 # -- benefit tracking (A05) ---------------------------------------------------------------
 
-# P02, P05 and P06 (intended total) are one GROUPING SETS aggregation over all
-# attempts; P07-P09 one over the period's attempts. The results are a handful of
-# rows, shared by the reports of each family.
-_ALL_GRAINS = [["segs"], ["pilot_cat"], []]
+# P02, P03, P05 and P06 (intended total) are one GROUPING SETS aggregation over
+# all attempts; P07-P09 one over the period's attempts. The results are a handful
+# of rows, shared by the reports of each family. P03's filters are on its own
+# grouping keys, so they can follow the aggregation.
+_ALL_GRAINS = [["segs"], ["pilot_cat"], [], ["segs", "placed_week"]]
 _WEEK_GRAINS = [["segs", "placed_week", "dialer_tweak"], ["pilot_cat", "placed_week"], ["placed_week"]]
 
 
@@ -106,8 +107,9 @@ def benefit_segs(df: DataFrame, p: Params) -> DataFrame:
 
 def benefit_segs_weeks(df: DataFrame, p: Params) -> DataFrame:
     """Ratios per segment and week, long by ratio, wide by week."""
-    sel = df.where((F.col("placed_week") > p.week_floor) & F.col("segs").isin(*p.segments))
-    b = benefit(sel, ["segs", "placed_week"]).select("segs", "placed_week", *BENEFIT_RATIOS)
+    b = (_benefit_all(df, p, 3)
+         .where((F.col("placed_week") > p.week_floor) & F.col("segs").isin(*p.segments))
+         .select("segs", "placed_week", *BENEFIT_RATIOS))
     long = to_long(b, BENEFIT_RATIOS, "key", "value")
     weeks = None if p.week_columns is None else [w for w in p.week_columns if w > p.week_floor]
     return to_wide(long, "placed_week", "value", weeks)
