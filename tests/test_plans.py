@@ -26,8 +26,12 @@ def test_unused_first_order_join_is_pruned(spark):
 
 
 def test_scans_read_only_needed_columns(spark):
+    # a standalone report: case id and segment only
+    plan = _plan(E.queries()["extremes"](spark, SF001))
+    assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan
+    # a shared family (P02, P03, P05, P06): the union of what its members need, read once
     plan = _plan(E.queries()["benefit_segs"](spark, SF001))
-    assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
 
 
 def test_first_k_reports_cut_cases_before_the_shuffle(spark):
