@@ -88,6 +88,8 @@ def load_extract_jdbc(spark: SparkSession, url: str, sql: str, properties: dict
     """S01 against a database. With ``partition_column`` the query is read as
     ``num_partitions`` range slices in parallel (the ``query`` option cannot be
     combined with partitioning, so the SQL becomes a derived table)."""
+    if partition_column and None in (lower_bound, upper_bound, num_partitions):
+        raise ValueError("a JDBC partition column needs lower_bound, upper_bound and num_partitions")
     reader = spark.read.format("jdbc").option("url", url).option("fetchsize", fetch_size)
     for k, v in (properties or {}).items():
         reader = reader.option(k, v)
@@ -96,7 +98,7 @@ def load_extract_jdbc(spark: SparkSession, url: str, sql: str, properties: dict
         reader = (reader.option("dbtable", f"({sql}) extract_q")
                   .option("partitionColumn", partition_column)
                   .option("lowerBound", lower_bound).option("upperBound", upper_bound)
-                  .option("numPartitions", num_partitions or 1))
+                  .option("numPartitions", num_partitions))
     else:
         reader = reader.option("query", sql)
     return conform_extract(reader.load(), keep)

@@ -52,3 +52,12 @@ def test_sql_file_extract_equals_dataframe_extract(spark):
     b = raw_extract(spark, SF001)
     assert a.dtypes == b.dtypes
     assert canon([tuple(r) for r in a.collect()], a.columns) == canon([tuple(r) for r in b.collect()], b.columns)
+
+
+def test_jdbc_partitioning_needs_bounds(spark):
+    import pytest
+
+    from dialmetrics.sources.extract import load_extract_jdbc
+
+    with pytest.raises(ValueError):
+        load_extract_jdbc(spark, "jdbc:none://nowhere", "SELECT 1", partition_column="CASE_ID_T")
