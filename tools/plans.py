@@ -67,7 +67,7 @@ How to read them at 100 TB:
   totals, so the attempts are read once.
 * First-k reports (`attempt_*`, `birth_missing_cases`) show `group_limit`: each case is cut to its
   first attempts inside every map task before the shuffle by case.
-* `cached` = reads of a shared base aggregate (`cache()`): report families (P02/P05/P06,
+* `cached` = reads of a shared base aggregate (`cache()`): report families (P02/P03/P05/P06,
   P07-P09 by grouping sets; P10-P13, P15/P16,
   P20-P22, P23/P24, P25/P27/P28/P40, P29-P34, P35-P39, P43-P46) compute their base once per attempts
   table; the counts shown for a family member include the base's plan the first time.
