@@ -62,3 +62,39 @@ def test_keyless_windows_only_over_bounded_aggregates(spark):
         if keyless:
             seen.add(name)
     assert seen == allowed  # the check does find the known ones
+
+
+def test_hot_customer_partition_is_split_by_aqe(spark):
+    """One customer with a third of all events: with a shuffle join (as at scale), AQE
+    splits that customer's partition of events over several tasks."""
+    from pyspark.sql import functions as F
+
+    from conftest import SF01
+    from dialmetrics.sources.fixture import _table, customer_dimension
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.enabled": "true",
+            "spark.sql.adaptive.skewJoin.enabled": "true",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        ev = (_table(spark, SF01, "events").repartition(16)   # several map tasks, as a large scan has
+              .withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id"))))
+        dim = customer_dimension(spark, SF01)
+        out = (ev.join(dim, ev.user_id == dim.c_custkey, "inner").groupBy("c_mktsegment")
+               .agg(F.count("*"), F.sum("value"), F.max("ts"), F.sum("event_id"), F.max("event_type")))
+        out.collect()
+        final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "SortMergeJoin(skew=true)" in final and "AQEShuffleRead skewed" in final
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
