@@ -19,6 +19,11 @@ a large share of all rows would become one straggler task. So cases above
 5. number = offset + (id - first id in slice) + 1.
 
 The result is exact and equal to the window for every case.
+
+Cost: the check is one extra aggregation pass (attempts per case, combined
+map-side). Only when hot cases exist is the input read again for each of the two
+paths, plus one checkpoint write of the hot cases' rows. On the stored attempts
+table the number is already materialised, so reports pay none of this.
 """
 
 from __future__ import annotations
