@@ -24,6 +24,9 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.files.maxPartitionBytes": "512m",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    # split a hot key's partition even where that costs an extra shuffle: one key
+    # holding a large share of the rows would otherwise be one straggler task
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
