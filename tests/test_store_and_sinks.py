@@ -104,3 +104,15 @@ def test_dictionary_from_positional_lists(spark):
     d = {r.variable_name: r for r in data_dictionary(df, ["case", "segment"], [0, 1]).collect()}
     assert d["segs"].description == "segment" and d["segs"].options == ["Z", "A"]
     assert d["id"].min == "1" and d["id"].max == "3"
+
+
+def test_case_reports_push_the_id_filter_to_the_store(spark, tmp_path):
+    path = str(tmp_path / "attempts")
+    write_attempts(load_attempts(spark, SF001, FIXTURE), path, num_partitions=4)
+    stored = read_attempts(spark, path)
+    p = FIXTURE.with_(case_ids=(0, 4, 8))
+    for fn in (R.case_history, R.cases_history):
+        out = fn(stored, p)
+        assert {r.id for r in out.select("id").distinct().collect()} <= {0, 4, 8}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [In(id, [0,4,8])" in plan or "In(id" in plan.split("PushedFilters:")[1][:200]
