@@ -92,5 +92,6 @@ def derive_attempts(raw: DataFrame, params: Params, hot_split: bool = True,
     df = type_and_derive(raw, params)
     extra = [t for t in tie if t in df.columns]
     df = number_attempts(df, "id", "placed_time", tie=extra, out="attempt_no", missing="null",
-                         hot_rows=params.hot_case_rows if hot_split else None)
+                         hot_rows=params.hot_case_rows if hot_split else None,
+                         within=params.case_partition)
     return df.select(*ATTEMPT_COLUMNS, *extra)

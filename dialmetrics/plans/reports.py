@@ -220,14 +220,16 @@ def case_history(df: DataFrame, p: Params) -> DataFrame:
     """Attempts of the chosen cases in time order, numbered 1..n
     (attempts without a time numbered last)."""
     out = number_attempts(_cases(df, p).drop("attempt_no"), "id", "placed_time",
-                          tie=("event_id",), missing="last", hot_rows=p.hot_case_rows)
+                          tie=("event_id",), missing="last", hot_rows=p.hot_case_rows,
+                          within=p.case_partition)
     return out.select(*df.columns).orderBy("id", F.col("placed_time").asc_nulls_last(), "event_id")
 
 
 def cases_history(df: DataFrame, p: Params) -> DataFrame:
     """The chosen cases with the number recomputed (null time -> no number)."""
     out = number_attempts(_cases(df, p).drop("attempt_no"), "id", "placed_time",
-                          tie=("event_id",), missing="null", hot_rows=p.hot_case_rows)
+                          tie=("event_id",), missing="null", hot_rows=p.hot_case_rows,
+                          within=p.case_partition)
     return out.select(*df.columns).orderBy("id", F.col("placed_time").asc_nulls_last(), "event_id")
 
 
@@ -236,7 +238,7 @@ def cases_history(df: DataFrame, p: Params) -> DataFrame:
 def _first(df: DataFrame, p: Params, cap: int) -> DataFrame:
     """Attempts numbered below ``cap`` (numbered over the whole case history)."""
     if p.renumber_first_attempts:
-        return first_attempts(df, cap)
+        return first_attempts(df, cap, within=p.case_partition)
     return df.where(F.col("attempt_no") < cap)
 
 

@@ -53,5 +53,5 @@ def landed_attempts(spark: SparkSession, out_dir: str, params: Params) -> DataFr
     """The landed rows with the attempt number over each case's full history."""
     df = spark.read.parquet(out_dir).withColumn("placed_date", F.col("placed_date").cast("date"))
     df = number_attempts(df, "id", "placed_time", tie=("event_id",), missing="null",
-                         hot_rows=params.hot_case_rows)
+                         hot_rows=params.hot_case_rows, within=params.case_partition)
     return df.select(*ATTEMPT_COLUMNS, "event_id")

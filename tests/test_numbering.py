@@ -72,3 +72,18 @@ def test_first_attempts_equal_full_numbering_below_cap(spark):
         full = {(r.event_id, r.attempt_no) for r in number_attempts(df).where(F.col("attempt_no") < cap).collect()}
         got = {(r.event_id, r.attempt_no) for r in first_attempts(df, cap).collect()}
         assert got == full, cap
+
+
+def test_numbering_within_customer_changes_no_number(spark):
+    from dialmetrics.operators.numbering import first_attempts
+
+    df = _fixture(spark).withColumn("customer", (F.col("id") / 2).cast("long"))  # a case has one customer
+    for missing in ("null", "last"):
+        for hot in (None, 20):
+            a = {(r.event_id, r.attempt_no) for r in number_attempts(df, missing=missing, hot_rows=hot).collect()}
+            b = {(r.event_id, r.attempt_no) for r in number_attempts(
+                df, missing=missing, hot_rows=hot, rows_per_slice=37, within=("customer",)).collect()}
+            assert a == b, (missing, hot)
+    a = {(r.event_id, r.attempt_no) for r in first_attempts(df, 5).collect()}
+    b = {(r.event_id, r.attempt_no) for r in first_attempts(df, 5, within=("customer",)).collect()}
+    assert a == b

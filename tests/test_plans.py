@@ -98,3 +98,29 @@ def test_hot_customer_partition_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_numbering_reuses_the_customer_join_partitioning(spark):
+    """With a shuffle join (as at scale), numbering within (customer, case) needs no
+    shuffle of its own: one exchange fewer than numbering by case alone."""
+    from conftest import SF01
+    from dialmetrics.operators.derive import derive_attempts
+    from dialmetrics.params import FIXTURE
+    from dialmetrics.sources.fixture import raw_extract
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        counts = {}
+        for flag in (False, True):
+            df = derive_attempts(raw_extract(spark, SF01), FIXTURE.with_(case_within_customer=flag),
+                                 hot_split=False).select("id", "attempt_no", "segs")
+            df.collect()
+            final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            counts[flag] = final.count("Exchange hashpartitioning")
+        assert counts[True] == counts[False] - 1
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
