@@ -74,3 +74,18 @@ def test_coded_wide_equals_text_wide(spark):
     b = to_wide_coded(df, "k", "v", [1, 2, 3, 4], names, ["Busy", "Effective", "Voicemail"])
     assert a.columns == b.columns and sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
     assert "SortAggregate" not in b._jdf.queryExecution().executedPlan().toString()
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["A", "C", None]), st.integers(1, 5),
+                          st.one_of(st.none(), st.floats(-5, 5, allow_nan=False)),
+                          st.one_of(st.none(), st.floats(-5, 5, allow_nan=False))),
+                min_size=1, max_size=12, unique_by=lambda r: (r[0], r[1])))
+def test_long_then_wide_gives_the_table_back(spark, rows):
+    df = spark.createDataFrame(rows, "segs string, w int, x double, y double")
+    back = to_wide(to_long(df, ["x", "y"], "key", "value"), "key", "value", ["x", "y"])
+    assert sorted(map(tuple, back.select("segs", "w", "x", "y").collect()), key=str) == sorted(rows, key=str)
