@@ -40,9 +40,9 @@ from .text import need, spare
 SAMPLE_ROWS = 10_000
 FEATURES = 2_048
 MIN_ROWS = 5            # labelled documents that a word must stand in
-L2 = 2.0
+L2 = 0.3
 STEPS = 400
-REJECT = 0.5            # expected severity from which a document is toxic
+REJECT = 0.25           # expected severity from which a document is toxic (see tests: held-out rows)
 SEED = "toxicity-1"
 
 WORD = re.compile(r"[^\W_]+")
