@@ -6,10 +6,11 @@ rate of a source is target / size. A document is emitted ``floor(rate)`` times,
 plus one hash-seeded Bernoulli copy with probability ``rate - floor(rate)``.
 
 All of it is built-in column functions. The corpus is read twice (sums, then
-copies); what moves between tasks is one partial sum per source and task, and
-one row per source comes back to the documents in a join. That table's size is
-the number of sources, so no broadcast is asked for: the planner measures it
-and, where it is large, joins by shuffle and splits a hot source.
+copies); what moves between tasks is one partial sum per source and task. The
+targets, one row per source, are checkpointed and counted: up to
+``BROADCAST_SOURCES`` of them are broadcast to the documents, which then stay
+where they are; beyond that the join is by shuffle, where the planner splits a
+hot source.
 
 Defined results: a null text has 0 words; null sources form one source, last in
 order; documents of a source without any word have rate 0 and give no copy
@@ -22,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .text import draw, need, spare, word_count
 
 WEIGHTS = (5, 2, 1)     # by order of source, repeating
 BUDGET = 1.5            # share of all words that the mix takes
 MAX_RATE = 2.0          # no source beyond this many times its size
 SEED = "mix-1"
+BROADCAST_SOURCES = 200_000     # rows of targets (about 100 bytes each) that may be broadcast
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET,
@@ -76,11 +79,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_rate: floa
     sized = docs.withColumn(added["size"], word_count("text"))
     targets = source_targets(sized.select("source", F.col(added["size"]).alias("size")),
                              weights, budget, max_rate)
+    ensure_checkpoint_dir(docs.sparkSession)
+    targets = targets.checkpoint()
+    few = targets.count() <= BROADCAST_SOURCES
     key = spare(docs, "mix_source")
     targets = targets.select(F.col("source").alias(key),
                              F.col("source_size").alias(added["source_size"]),
                              F.col("target").alias(added["target"]))
-    joined = sized.join(targets, sized["source"].eqNullSafe(targets[key]), "left").drop(key)
+    side = F.broadcast(targets) if few else targets
+    joined = sized.join(side, sized["source"].eqNullSafe(side[key]), "left").drop(key)
     rate = F.coalesce(F.try_divide(F.col(added["target"]), F.col(added["source_size"])), F.lit(0.0))
     # rows without an id are told apart by their text
     own = F.when(F.col("doc_id").isNull(), F.col("text"))
