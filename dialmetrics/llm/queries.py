@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, license_scan, mixing, sharding, simhash, toxicity
+from . import ann, bpe, fingerprints, license_scan, mixing, sharding, simhash, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.screen(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def tokenizer_path() -> str:
+    """The tokenizer's file: ``$TOKENIZER_PATH``, or that of the installed public tokenizers."""
+    if path := os.environ.get("TOKENIZER_PATH"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(_docs(spark, sf_dir), tokenizer_path())
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_docs(spark, sf_dir))
 
@@ -49,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op8_bpe": op8_bpe,
     "op10_fingerprints": op10_fingerprints,
 }
 
