@@ -39,11 +39,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import blocks, from_bytes, pack, to_bytes, unpack
 from .text import need
 
 BLOCK_BYTES = 8_000_000     # text of a block
@@ -126,45 +125,7 @@ def pieces(content: str) -> list[bytes]:
     return out
 
 
-# ---- blocks
-
-def pack(items: list[bytes]) -> bytes:
-    lengths = np.fromiter(map(len, items), np.uint32, len(items))
-    return zstandard.compress(np.uint32(len(items)).tobytes() + lengths.tobytes() + b"".join(items), 1)
-
-
-def unpack(packed: bytes) -> list[bytes]:
-    raw = zstandard.decompress(packed)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    ends = (np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
-    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
-
-
-def blocks(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[tuple[int, pa.Table]]:
-    """Numbered runs of rows of about ``size`` bytes of text, however the batches are cut."""
-    first = TaskContext.get().partitionId() << 32
-    held, total, n = [], 0, 0
-    for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
-        start = 0
-        for i, k in enumerate(lengths.tolist()):
-            total += k
-            if total >= size:
-                held.append(batch.slice(start, i + 1 - start))
-                yield first + n, pa.Table.from_batches(held)
-                held, total, n, start = [], 0, n + 1, i + 1
-        if start < batch.num_rows:
-            held.append(batch.slice(start))
-    if held:
-        yield first + n, pa.Table.from_batches(held)
-
-
-def to_bytes(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
+# ---- the words of a block
 
 def distinct(splitter: Splitter, texts: pa.ChunkedArray, buckets: int) -> list[list[str]]:
     """A block's distinct words by bucket, in a fixed order (that of their first place)."""
@@ -230,7 +191,7 @@ def encode(docs: DataFrame, content: str, text: str = "text", out: str = "ids",
                                              names=["block", "rows"])
 
     def place(block: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = pa.ipc.open_stream(block.column("rows")[0].as_py()).read_all()
+        rows = from_bytes(block.column("rows")[0].as_py())
         splitter, table = Splitter(content), {}
         asked = distinct(splitter, rows.column(text), buckets)
         got = {b: (a, m) for b, a, m in zip(answers.column("bucket").to_pylist(), answers.column("answers").to_pylist(),
