@@ -228,28 +228,38 @@ def groups(cell: np.ndarray, fp: np.ndarray, home: np.ndarray, side: np.ndarray,
     return fp[some], fp[label[some]]
 
 
+def pieces_of_work(rows: DataFrame, cell: tuple[str, ...], item: str, cell_rows: int) -> DataFrame:
+    """``rows`` plus ``work``, what compares its rows with each other, and ``side``.
+
+    A cell is one piece (side -1). One of more than ``cell_rows`` rows is cut into
+    slices by a hash of the item; each pair of slices is a piece, in which rows are
+    compared with rows of the other side, and each slice by itself (side -1) one more.
+    """
+    names = {c: spare(rows, f"cell_{c}") for c in cell}
+    # at most rows / cell_rows cells
+    large = (rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
+             .select(*[F.col(c).alias(n) for c, n in names.items()],
+                     F.ceil(F.col("n") / cell_rows).cast("int").alias("slices")))
+    same = [rows[c] == large[n] for c, n in names.items()]
+    rows = rows.join(large, same, "left").drop(*names.values())
+    own = F.when(F.col("slices").isNull(), F.lit(-1)).otherwise(
+        F.pmod(F.xxhash64(item), F.col("slices")).cast("int"))
+    other = F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(-1)))
+                      .otherwise(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = rows.withColumn("slice", own).withColumn("other", other)
+    work = F.xxhash64(*cell, F.least("slice", "other"), F.greatest("slice", "other"))
+    side = F.when(F.col("slice") == F.col("other"), -1).otherwise(F.col("slice"))
+    return rows.withColumn("work", work).withColumn("side", side).drop("slices", "slice", "other")
+
+
 def link(fps: DataFrame, max_bits: int = MAX_BITS, trees: int = TREES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``node, label``: memberships in linked groups of the distinct fingerprints ``fp``."""
     n = fps.count()
     levels = depth(n, trees)
-    rows = visits(fps, max_bits, trees, levels)
-    # cells above cell_rows: at most rows / cell_rows of them
-    hot = (rows.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
-           .select(F.col("tree").alias("t"), F.col("cell").alias("c"),
-                   F.ceil(F.col("n") / cell_rows).cast("int").alias("slices")))
-    rows = rows.join(hot, (rows["tree"] == hot["t"]) & (rows["cell"] == hot["c"]), "left").drop("t", "c")
-    # "slice" is -1 in whole cells; else the row takes part in its slice's pairs with all slices
-    own = F.when(F.col("slices").isNull(), F.lit(-1)).otherwise(
-        F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
-    other = F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(-1)))
-                      .otherwise(F.sequence(F.lit(0), F.col("slices") - 1)))
-    rows = rows.withColumn("slice", own).withColumn("other", other).withColumn(
-        "work", F.xxhash64("tree", "cell", F.least("slice", "other"), F.greatest("slice", "other")))
-    rows = rows.select("fp", "home", "work", F.when(F.col("slice") == F.col("other"), -1)
-                       .otherwise(F.col("slice")).alias("side"))
+    rows = pieces_of_work(visits(fps, max_bits, trees, levels), ("tree", "cell"), "fp", cell_rows)
     per_row = trees * (1 + sum(1 for _ in offsets(levels, max_bits // trees)))
     shards = max(1, math.ceil(n * per_row / SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod("work", F.lit(shards)))
+    rows = rows.select("fp", "home", "work", "side", F.pmod("work", F.lit(shards)).alias("shard"))
 
     def search(table: pa.Table) -> pa.Table:
         node, label = groups(table["work"].to_numpy(), table["fp"].to_numpy(), table["home"].to_numpy(),
