@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd")
 # Day-month-year formats (F03, birth dates; not applied by default).
 DMY_FORMATS = ("dd-MM-yyyy", "dd/MM/yyyy", "ddMMyyyy")
-# A timestamp must carry a full clock time ("yyyy-MM-dd HH:mm:ss" is 19
-# characters); a date alone is a failed parse, as in lubridate's ymd_hms.
-MIN_TIMESTAMP_LENGTH = 19
+# Year-month-day texts with a full clock time (a date alone is a failed parse, as
+# in lubridate's ymd_hms): separated, with one- or two-digit parts, and compact.
+_CLOCK = r"([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2}(?:\.[0-9]+)?)"
+SEPARATED_TIME = r"^\s*([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})[ T]+" + _CLOCK + r"\s*$"
+COMPACT_TIME = r"^\s*([0-9]{4})([0-9]{2})([0-9]{2})[ T]*([0-9]{2}):?([0-9]{2}):?([0-9]{2}(?:\.[0-9]+)?)\s*$"
 
 
 def _c(x) -> Column:
@@ -32,17 +34,17 @@ def _c(x) -> Column:
 
 
 def r_sum(x, na_rm: bool = False) -> Column:
-    """Group sum; missing as soon as one value is missing unless ``na_rm``."""
+    """Group sum; missing as soon as one value is missing unless ``na_rm``; 0 over no rows."""
     x = _c(x)
     if na_rm:
         return F.sum(x)
-    return F.when(F.count(x) == F.count(F.lit(1)), F.sum(x))
+    return F.when(F.count(x) == F.count(F.lit(1)), F.coalesce(F.sum(x), F.lit(0)))
 
 
 def r_n_distinct(x) -> Column:
     """Exact distinct count where null is one more value."""
     x = _c(x)
-    return F.count_distinct(x) + F.max(x.isNull().cast("int"))
+    return F.count_distinct(x) + F.coalesce(F.max(x.isNull().cast("int")), F.lit(0))
 
 
 def ratio(n, d, zero: str = "inf") -> Column:
@@ -88,14 +90,17 @@ def parse_dmy(x) -> Column:
 
 
 def parse_timestamp(x) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` text to a zone-free timestamp; bad text gives null.
+    """Year-month-day and clock text (``2018-03-12 09:05:00``, ``2018/3/12 9:05:00``,
+    ``20180312 090500``) to a zone-free timestamp; bad text gives null.
 
     ``timestamp_ntz`` keeps the wall-clock value as written, so calendar fields
     do not depend on the session time zone of whatever cluster runs the job.
     """
     x = _c(x)
-    # a length test instead of a regex: cheap per row, and try_cast checks the rest
-    return F.when(F.length(x) >= MIN_TIMESTAMP_LENGTH, x.try_cast("timestamp_ntz"))
+    parts = r"$1-$2-$3 $4:$5:$6"
+    return (F.when(x.rlike(SEPARATED_TIME), F.regexp_replace(x, SEPARATED_TIME, parts))
+            .when(x.rlike(COMPACT_TIME), F.regexp_replace(x, COMPACT_TIME, parts))
+            .try_cast("timestamp_ntz"))
 
 
 def ntz_text(x, length: int = 19) -> Column:

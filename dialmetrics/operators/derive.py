@@ -1,9 +1,8 @@
 """The typed ``attempts`` table from a raw extract.
 
-All derivations are column expressions in two projections, then one window
-for the attempt number. The number is taken over *all* attempts of a case,
-before any period filter. A report that does not read ``attempt_no`` loses
-the window to column pruning, so it pays no shuffle by case.
+All derivations are column expressions in two projections; then the attempt
+number is joined on (numbering.py). The number is taken over *all* attempts of a
+case, before any period filter.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions import semantics as S
 from ..params import Params
-from .numbering import number_attempts
+from .numbering import TIE_COLUMNS, number_attempts
 
 # Raw names -> report names.
 RENAMES = {
@@ -81,17 +80,17 @@ def type_and_derive(raw: DataFrame, params: Params) -> DataFrame:
     return df.withColumn("dialer_tweak", period_flag("placed_date", params.cut))
 
 
-def derive_attempts(raw: DataFrame, params: Params, hot_split: bool = True,
-                    tie=("event_id",)) -> DataFrame:
+def derive_attempts(raw: DataFrame, params: Params, numbered: bool = True,
+                    tie=TIE_COLUMNS) -> DataFrame:
     """The 24-column attempts table (plus tie-break columns present in ``raw``).
 
-    ``hot_split`` runs the hot-case check of ``number_attempts`` (one small
-    aggregation job, done when this is called). Without it the number is a plain
-    window, which column pruning removes when a report never reads it.
+    ``numbered=False`` leaves the number out (null) for reports that do not read
+    it or number their own first attempts: they then pay for no join or window.
     """
     df = type_and_derive(raw, params)
     extra = [t for t in tie if t in df.columns]
-    df = number_attempts(df, "id", "placed_time", tie=extra, out="attempt_no", missing="null",
-                         hot_rows=params.hot_case_rows if hot_split else None,
-                         within=params.case_partition)
+    if numbered:
+        df = number_attempts(df, "id", "placed_time", tie=tie, out="attempt_no", missing="null")
+    else:
+        df = df.withColumn("attempt_no", F.lit(None).cast("int"))
     return df.select(*ATTEMPT_COLUMNS, *extra)

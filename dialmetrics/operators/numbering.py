@@ -1,132 +1,103 @@
-"""Attempt numbering within a case.
-
-``row_number`` over ``Window.partitionBy(case)`` runs each case in one task.
-That is right for ordinary cases (a handful of attempts), but one case holding
-a large share of all rows would become one straggler task. So cases above
-``hot_rows`` attempts are numbered differently:
-
-1. count attempts per case (partial aggregation, tiny output) and pick the hot
-   cases; there are at most ``total_rows / hot_rows`` of them, so that list has a
-   proven size bound and is broadcast (above ``max_broadcast_keys`` it is joined
-   by shuffle instead);
-2. ordinary cases keep the window;
-3. hot cases are range-partitioned on (case, time, tie) -- balanced slices, a hot
-   case spread over many tasks -- sorted inside each slice and given
-   ``monotonically_increasing_id``; that is written once to the session's
-   reliable checkpoint folder so the ids survive executor loss;
-4. per (case, slice): row count and first id; a running sum over slices gives the
-   offset of each slice within its case (at most ``hot cases + slices`` rows);
-5. number = offset + (id - first id in slice) + 1.
-
-The result is exact and equal to the window for every case.
-
-Cost: the check is one extra aggregation pass (attempts per case, combined
-map-side). Only when hot cases exist is the input read again for each of the two
-paths, plus one checkpoint write of the hot cases' rows. On the stored attempts
-table the number is already materialised, so reports pay none of this.
+"""Attempt numbering within a case (W01, W02): one plan for every size.
+
+``row_number`` over ``Window.partitionBy(case)`` brings a whole case into one
+task, and a case (or the rows without a case id) may hold a large share of all
+rows. So attempts are numbered within (case, hour of the day they were placed):
+
+1. attempts are counted per (case, hour), combined map-side;
+2. a running sum over a case's hours says how many attempts came before an hour;
+   a case has as many rows there as hours in which it was dialled;
+3. each attempt's number is that sum plus its ``row_number`` within (case, hour).
+
+Counts, join and window all use the keys (case, hour), so the attempts move once
+and the hours of a hot case, customer or missing id spread over all tasks. What
+is left in one task is one case in one hour. Nothing runs while the plan is
+built, no size is tested and nothing is broadcast by hint.
+
+Attempts without a time belong to no hour. In W01 they get no number; in W02
+they come after the timed ones, by the tie-break. Where that is a whole number
+(an event id), ranges of ``TIE_RANGE`` of it take the place of hours, so they
+spread as well.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+TIE_RANGE = 65_536
 
-_MONO = "_dm_mono"
-_SLICE = "_dm_slice"
+# Order of attempts of one case placed in the same second: the tie-break column
+# where the extract has one, else all that tells two attempts apart. Rows equal
+# in all of these are interchangeable, so the numbers repeat from run to run.
+TIE_COLUMNS = ("event_id",)
+TIE_FALLBACK = ("answered_time", "length", "result", "is_contact", "is_sale", "customer", "segs",
+                "batch", "customer_att", "sub", "sub_start_date", "date_of_birth")
 
 
-def _order(time: str, tie) -> list[Column]:
-    return [F.col(time).asc_nulls_last()] + [F.col(t).asc_nulls_last() for t in tie]
+def tie_columns(df: DataFrame, tie=TIE_COLUMNS) -> list[str]:
+    """The tie-break columns that ``df`` has; without one, the fallback's."""
+    found = [t for t in tie if t in df.columns]
+    return found or [t for t in TIE_FALLBACK if t in df.columns]
 
 
-def _window_number(df: DataFrame, keys, time: str, tie, out: str, missing: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*_order(time, tie))
-    rn = F.row_number().over(w)
-    if missing == "null":
-        rn = F.when(F.col(time).isNotNull(), rn)
-    return df.withColumn(out, rn)
-
-
-def _sorted_number(df: DataFrame, keys, time: str, tie, out: str, n_slices: int,
-                   max_broadcast_keys: int) -> DataFrame:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    order = [F.col(k) for k in keys] + _order(time, tie)
-    ranked = (df.repartitionByRange(n_slices, *order)
-              .sortWithinPartitions(*order)
-              .withColumn(_MONO, F.monotonically_increasing_id()))
-    ranked = ranked.checkpoint(eager=True).withColumn(_SLICE, F.shiftright(F.col(_MONO), 33))
-    slices = (ranked.groupBy(*keys, _SLICE)
-              .agg(F.count(F.lit(1)).alias("_dm_n"), F.min(_MONO).alias("_dm_first")))
-    before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("_dm_offset", F.coalesce(F.sum("_dm_n").over(before), F.lit(0)))
-    n_slice_rows = slices.count()
-    side = F.broadcast(slices) if n_slice_rows <= max_broadcast_keys else slices
-    return (ranked.join(side, [*keys, _SLICE], "inner")
-            .withColumn(out, (F.col("_dm_offset") + (F.col(_MONO) - F.col("_dm_first")) + 1).cast("int"))
-            .drop(_MONO, _SLICE, "_dm_n", "_dm_first", "_dm_offset"))
+def time_order(df: DataFrame, time: str = "placed_time", tie=TIE_COLUMNS) -> list[Column]:
+    """By time (missing last), then by the tie-break."""
+    return [F.col(c).asc_nulls_last() for c in [time, *tie_columns(df, tie)]]
+
+
+def _stand_in(df: DataFrame, key: str) -> tuple[Column, Column]:
+    """A key as two columns without nulls, so that plain equality joins missing keys too."""
+    kind = df.schema[key].dataType
+    zero = F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit("")
+    value = F.col(key) if isinstance(kind, T.NumericType) else F.col(key).cast("string")
+    return F.coalesce(value, zero), F.col(key).isNull()
 
 
 def number_attempts(df: DataFrame, key: str = "id", time: str = "placed_time",
-                    tie=("event_id",), out: str = "attempt_no", missing: str = "null",
-                    hot_rows: int | None = None, rows_per_slice: int = 2_000_000,
-                    max_broadcast_keys: int = 2_000_000, within=()) -> DataFrame:
+                    tie=TIE_COLUMNS, out: str = "attempt_no", missing: str = "null") -> DataFrame:
     """Number rows within ``key`` by ``time`` (then ``tie``), starting at 1.
 
     ``missing="null"`` (W01, R ``row_number(x)``): rows without a time get no
     number and do not count. ``missing="last"`` (W02, ``1:n()`` after sorting):
-    they are numbered after the timed rows.
-    ``hot_rows``: None numbers every case with the window; an integer sends cases
-    with more rows than that through the sorted path described above.
-    ``within``: columns a case never spans (its customer, say). Partitioning by
-    them as well changes no number, and lets the window reuse a partitioning the
-    input already has (the customer join's), saving a shuffle of every attempt.
+    they are numbered after the timed rows, by the tie-break (the original leaves
+    their order to that of the extract).
     """
-    tie = tuple(t for t in tie if t in df.columns)
-    keys = [*within, key]
-    if hot_rows is None:
-        return _window_number(df, keys, time, tie, out, missing)
-
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_dm_rows"))
-    hot = counts.where(F.col("_dm_rows") > hot_rows)
-    stats = hot.agg(F.count(F.lit(1)).alias("n"), F.sum("_dm_rows").alias("rows")).first()
-    n_hot, hot_total = stats["n"], stats["rows"] or 0
-    if n_hot == 0:
-        return _window_number(df, keys, time, tie, out, missing)
-
-    hot_keys = hot.select(*keys)
-    hot_side = F.broadcast(hot_keys) if n_hot <= max_broadcast_keys else hot_keys
-    normal = _window_number(df.join(hot_side, keys, "left_anti"), keys, time, tie, out, missing)
-    hot_rows_df = df.join(hot_side, keys, "left_semi")
-    n_slices = max(1, math.ceil(hot_total / rows_per_slice))
+    if out in df.columns:
+        df = df.drop(out)
+    ties = tie_columns(df, tie)
+    value, absent = _stand_in(df, key)
+    hour = F.unix_date(F.to_date(time)).cast("long") * 24 + F.hour(time)
+    whole = bool(ties) and isinstance(df.schema[ties[0]].dataType, T.IntegralType)
+    untimed = F.floor(F.col(ties[0]) / TIE_RANGE) if whole else F.lit(0)
+    keys = ["_dm_case", "_dm_none", "_dm_late", "_dm_slot"]
+    marks = [value.alias("_dm_case"), absent.alias("_dm_none"), F.col(time).isNull().alias("_dm_late"),
+             F.coalesce(hour, untimed.cast("long"), F.lit(2 ** 62)).alias("_dm_slot")]
+    before = (Window.partitionBy("_dm_case", "_dm_none").orderBy("_dm_late", "_dm_slot")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = (df.select(*marks).groupBy(*keys).agg(F.count(F.lit(1)).alias("_dm_n"))
+               .withColumn("_dm_before", F.coalesce(F.sum("_dm_n").over(before), F.lit(0)))
+               .select(*keys, "_dm_before"))
+    order = [F.col(c).asc_nulls_last() for c in [time, *ties]]
+    number = (F.col("_dm_before") + F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).cast("int")
     if missing == "null":
-        timed = hot_rows_df.where(F.col(time).isNotNull())
-        untimed = hot_rows_df.where(F.col(time).isNull()).withColumn(out, F.lit(None).cast("int"))
-        numbered = _sorted_number(timed, keys, time, tie, out, n_slices, max_broadcast_keys)
-        hot_part = numbered.unionByName(untimed)
-    else:
-        hot_part = _sorted_number(hot_rows_df, keys, time, tie, out, n_slices, max_broadcast_keys)
-    cols = normal.columns
-    return normal.unionByName(hot_part.select(*cols))
+        number = F.when(F.col(time).isNotNull(), number)
+    return df.select("*", *marks).join(offsets, keys).withColumn(out, number).select(*df.columns, out)
 
 
 def first_attempts(df: DataFrame, cap: int, key: str = "id", time: str = "placed_time",
-                   tie=("event_id",), out: str = "attempt_no", within=()) -> DataFrame:
+                   tie=TIE_COLUMNS, out: str = "attempt_no") -> DataFrame:
     """Attempts whose number (W01) is below ``cap``, numbered afresh.
 
     Only timed attempts are numbered (a missing time never counts, as in W01),
     with a plain ``row_number`` and a filter on it. That lets Catalyst insert
     ``WindowGroupLimit`` on both sides of the shuffle: every map task keeps at
     most ``cap - 1`` attempts per case before anything moves, so a long or hot
-    case cannot skew the shuffle, and no hot-case check is needed.
+    case cannot skew the shuffle.
     """
-    tie = tuple(t for t in tie if t in df.columns)
-    w = Window.partitionBy(*within, key).orderBy(*_order(time, tie))
     base = df.drop(out) if out in df.columns else df
+    w = Window.partitionBy(key).orderBy(*time_order(base, time, tie))
     return (base.where(F.col(time).isNotNull())
             .withColumn(out, F.row_number().over(w))
             .where(F.col(out) < cap))

@@ -21,17 +21,24 @@ def to_long(df: DataFrame, value_cols, key: str = "key", value: str = "value") -
 
 
 def to_wide(df: DataFrame, key: str, value: str, values, names=None,
-            check_unique: bool = False) -> DataFrame:
+            check_unique: bool = False, others: str = "raise") -> DataFrame:
     """G02 (``spread``): one column per key value, other columns are row keys.
 
     ``values`` are the key values to turn into columns, in output order; cells
     without a row stay null. ``values=None`` takes the values present in the
-    data, as ``spread`` does (one small extra job; the schema then follows the data). ``names`` renames the new columns (R02). With
+    data, as ``spread`` does (one small extra job; the schema then follows the data).
+    A key value outside a given list fails the job (``others="raise"``), so that no
+    cell is lost unseen; ``others="drop"`` leaves such rows out. ``names`` renames the new columns (R02). With
     ``check_unique`` a cell fed by two rows raises, as ``spread`` does (G03).
     """
     rest = [c for c in df.columns if c not in (key, value)]
     if values is None:
         values = present_values(df, key)
+    elif others == "raise":
+        kind = df.schema[key].dataType
+        known = F.col(key).isNull() | F.col(key).isin(*values) if values else F.col(key).isNull()
+        stray = F.concat(F.lit(f"to_wide: {key} has a value outside the list: "), F.col(key).cast("string"))
+        df = df.withColumn(key, F.when(known, F.col(key)).otherwise(F.raise_error(stray).cast(kind)))
     names = list(names) if names is not None else [str(v) for v in values]
     kcol = F.col(key)
     if check_unique:

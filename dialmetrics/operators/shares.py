@@ -24,7 +24,8 @@ _TOT = "_dm_total"
 
 
 def _with_total(df: DataFrame, x: str, within, grand: str = "subquery") -> DataFrame:
-    """``df`` plus column ``_dm_total`` = sum of ``x`` over the ``within`` group.
+    """``df`` plus column ``_dm_total`` = sum of ``x`` over the ``within`` group,
+    missing where one of the group's values is (V1).
 
     Grand total (``within`` empty): ``grand="subquery"`` aggregates it in a scalar
     subquery, safe at any size but a second pass over the input;
@@ -34,10 +35,12 @@ def _with_total(df: DataFrame, x: str, within, grand: str = "subquery") -> DataF
     within = list(within)
     if not within:
         if grand == "window":
-            return df.withColumn(_TOT, F.sum(F.col(x)).over(Window.partitionBy()))
-        return df.withColumn(_TOT, df.select(F.sum(F.col(x))).scalar())
+            w = Window.partitionBy()
+            whole = F.count(F.col(x)).over(w) == F.count(F.lit(1)).over(w)
+            return df.withColumn(_TOT, F.when(whole, F.sum(F.col(x)).over(w)))
+        return df.withColumn(_TOT, df.select(S.r_sum(x)).scalar())
     keys = {k: f"_dm_k{i}" for i, k in enumerate(within)}
-    totals = df.groupBy(*within).agg(F.sum(F.col(x)).alias(_TOT))
+    totals = df.groupBy(*within).agg(S.r_sum(x).alias(_TOT))
     totals = totals.select(*[F.col(k).alias(a) for k, a in keys.items()], _TOT)
     cond = [df[k].eqNullSafe(totals[a]) for k, a in keys.items()]
     return df.join(totals, cond, "left").drop(*keys.values())
@@ -59,8 +62,12 @@ def with_share(df: DataFrame, x: str, within, out: str, digits: int | None = 2,
 
 
 def hundredths(x) -> Column:
-    """A value rounded to 2 decimals as an exact whole number of hundredths."""
-    return F.rint(S._c(x) * 100).cast("bigint")
+    """A value rounded to 2 decimals as a whole number of hundredths.
+
+    It stays a double: sums of whole numbers are exact up to 2^53, and NaN and
+    Infinity (a share of zero hours) pass through as they do in R.
+    """
+    return F.rint(S._c(x).cast("double") * 100)
 
 
 def with_exact_share_of_rounded(df: DataFrame, x: str, within, out: str,
@@ -77,7 +84,8 @@ def with_exact_share_of_rounded(df: DataFrame, x: str, within, out: str,
 
 def category_order(df: DataFrame, category: str, value: str, out: str = "cat_order") -> DataFrame:
     """A08 (``reorder(category, value)``): rank of each category by the mean of
-    ``value`` (a 2-decimal share), ascending, ties by name; null category last.
+    ``value`` (a 2-decimal share), ascending, ties by name. A missing category is
+    no level: the others are ranked without it, and it stands last.
 
     Means are aggregated per category (an exact mean of whole hundredths), ranked
     on that small table (finish-code categories: at most 7 plus missing), and
@@ -85,7 +93,7 @@ def category_order(df: DataFrame, category: str, value: str, out: str = "cat_ord
     """
     means = df.groupBy(category).agg(
         (F.sum(hundredths(value)) / F.count(F.lit(1))).alias("_dm_mean"))
-    rank_w = Window.orderBy(F.col("_dm_mean").asc(), F.col(category).asc_nulls_last())
+    rank_w = Window.orderBy(F.col(category).isNull(), F.col("_dm_mean").asc(), F.col(category).asc_nulls_last())
     ranks = means.select(F.col(category).alias("_dm_cat"),
                          F.dense_rank().over(rank_w).cast("int").alias(out))
     return (df.join(ranks, df[category].eqNullSafe(ranks["_dm_cat"]), "left")

@@ -1,7 +1,7 @@
 """Report parameters.
 
 ``REFERENCE`` holds the values the original report pack hard-codes; ``FIXTURE``
-the values that make sense on the test tables (January 2024, weeks 1-5), as
+the values that make sense on the test tables (January and February 2024, weeks 1-9), as
 listed in FIXTURES.md section 3.
 """
 
@@ -26,8 +26,10 @@ class Params:
     # the data); a tuple fixes the schema
     week_columns: tuple | None = None
     hour_columns: tuple | None = None
-    # Case ids to show; None = every case
-    case_ids: tuple | None = None
+    # P17, P18 (one case each) and P19 (several): case ids to show; None = every case
+    case_id: tuple | None = (2501992,)
+    shared_case_id: tuple | None = (2220557,)
+    case_ids: tuple | None = (2268684, 2220557, 2501992)
     # Attempt caps (strictly below)
     attempt_cap: int = 16
     sequence_cap: int = 11
@@ -45,25 +47,12 @@ class Params:
     # (map-side top-k per case); False filters an attempt_no column that is
     # already materialised, e.g. on the stored attempts table
     renumber_first_attempts: bool = True
-    # True when a case never spans customers: attempts are then numbered within
-    # (customer, case), which reuses the customer join's partitioning (one full
-    # shuffle fewer); numbers are the same. Off unless the data guarantees it.
-    case_within_customer: bool = False
-    # attempt numbering: cases above this many attempts are numbered by a
-    # range-partitioned global sort instead of one window task per case
-    hot_case_rows: int | None = 1_000_000
-
-    @property
-    def case_partition(self) -> tuple:
-        """Columns a case never spans, used to partition the attempt numbering."""
-        return ("customer",) if self.case_within_customer else ()
-
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
 
     def with_text(self, assignments) -> "Params":
         """Overrides from ``name=value`` texts, typed by the current value:
-        ``cut=2018-03-12``, ``months=2,3,4``, ``case_ids=none``, ``hot_case_rows=500000``."""
+        ``cut=2018-03-12``, ``months=2,3,4``, ``case_ids=none``, ``attempt_cap=10``."""
         kinds = {f.name: getattr(self, f.name) for f in fields(self)}
         changes = {}
         for a in assignments:
@@ -74,7 +63,7 @@ class Params:
         return replace(self, **changes)
 
 
-_INT_TUPLES = {"week_columns", "hour_columns", "months", "case_ids"}
+_INT_TUPLES = {"week_columns", "hour_columns", "months", "case_id", "shared_case_id", "case_ids"}
 
 
 def _parse(text: str, current, name: str):
@@ -85,7 +74,7 @@ def _parse(text: str, current, name: str):
     if isinstance(current, tuple) or name in _INT_TUPLES:
         items = [t.strip() for t in text.split(",") if t.strip()]
         return tuple(int(t) for t in items) if name in _INT_TUPLES else tuple(items)
-    if isinstance(current, int) or name == "hot_case_rows":
+    if isinstance(current, int):
         return int(text)
     if isinstance(current, float):
         return float(text)
@@ -97,8 +86,12 @@ REFERENCE = Params()
 FIXTURE = Params(
     cut="2024-01-11",
     week_floor=1,
-    week_columns=(1, 2, 3, 4, 5),
+    week_columns=tuple(range(1, 10)),
     hour_columns=tuple(range(0, 24)),
     months=(1, 2, 3),
-    case_within_customer=True,   # case id = user id * 4 + event id % 4
+    case_id=(4,),
+    shared_case_id=(8,),
+    case_ids=(0, 4, 8),
+    sequence_cap=4,
+    week_cap_text="5",
 )

@@ -14,6 +14,7 @@ spelled out as CASE expressions (fixed values, in the dialer's list order). Shar
 from __future__ import annotations
 
 from ..params import FIXTURE, Params
+from ..sources.dictionary import DESCRIPTIONS, VALUE_COLUMNS
 
 # Finish codes of the fixture's non-contact events (event_id % 33; item 32 missing).
 _FIXTURE_CODES_SQL = (
@@ -80,7 +81,11 @@ _RESULT_CAT_SQL = """CASE result2
 
 def _base(p: Params, older: bool = False) -> str:
     acct = "WHERE c.c_acctbal >= 0" if older else ""
-    length = "CAST(NULL AS BIGINT)" if older else "CAST(floor(e.value) AS BIGINT)"
+    length = "CAST(NULL AS BIGINT)" if older else """CASE
+      WHEN c.c_mktsegment = 'HOUSEHOLD' AND (dayofyear(e.at) - 1) // 7 + 1 = 3
+        AND e.event_type NOT IN ('purchase', 'click') AND e.event_id % 33 IN (10, 11) THEN NULL
+      WHEN c.c_mktsegment = 'FURNITURE' AND (dayofyear(e.at) - 1) // 7 + 1 = 4 THEN 0
+      ELSE CAST(floor(e.value) AS BIGINT) END"""
     control = ", ".join(f"'{s}'" for s in p.control_segments)
     ts_fmt = "'%Y-%m-%d %H:%M:%S'"
     return f"""
@@ -105,9 +110,9 @@ raw AS (
     c.n_name AS CURRENT_SUB,
     strftime(c.first_order_date, '%Y-%m-%d') AS SUB_START_DATE,
     CASE WHEN e.user_id % 7 = 0 THEN '--' ELSE '01-02-1980' END AS DATE_OF_BIRTH,
-    strftime(e.ts, {ts_fmt}) AS CALLPLACEDTIME,
+    CASE WHEN e.event_id % 97 <> 5 THEN strftime(e.at, {ts_fmt}) END AS CALLPLACEDTIME,
     CASE WHEN e.event_type IN ('click', 'purchase')
-      THEN strftime(e.ts + INTERVAL 20 SECOND, {ts_fmt}) END AS CALLANSWEREDTIME,
+      THEN strftime(e.at + INTERVAL 20 SECOND, {ts_fmt}) END AS CALLANSWEREDTIME,
     {length} AS LENGTH,
     CASE WHEN e.event_type IN ('click', 'purchase') THEN '1' ELSE '0' END AS ISCONTACT,
     CASE WHEN e.event_type = 'purchase' THEN '1' ELSE '0' END AS IS_SALE,
@@ -116,7 +121,9 @@ raw AS (
            CASE WHEN e.event_id % 2 = 0 THEN 'Afgehandeld' ELSE 'Terugbellen' END
          ELSE ({_FIXTURE_CODES_SQL})[e.event_id % 33 + 1] END AS FINISHCODE,
     e.event_id
-  FROM events e JOIN cust c ON c.c_custkey = e.user_id
+  FROM (SELECT *, CASE WHEN user_id % 13 = 1 THEN ts + INTERVAL 31 DAY
+          WHEN user_id % 10 = 0 THEN CAST(date_trunc('week', ts) AS TIMESTAMP) ELSE ts END AS at
+        FROM events) e JOIN cust c ON c.c_custkey = e.user_id
 ),
 typed AS (
   SELECT
@@ -180,8 +187,13 @@ def _r(x: str, k: int = 2) -> str:
 
 
 def _h(x: str) -> str:
-    """A 2-decimal value as whole hundredths."""
-    return f"CAST(round_even(({x}) * 100, 0) AS BIGINT)"
+    """A 2-decimal value as whole hundredths (a double: zero hours give NaN)."""
+    return f"round_even(({x}) * 100, 0)"
+
+
+def _rsum_over(x: str, w: str) -> str:
+    """R sum over a window: missing when one of the values is."""
+    return f"(CASE WHEN count({x}) OVER {w} = count(*) OVER {w} THEN sum({x}) OVER {w} END)"
 
 
 def _q(ctes: list[tuple[str, str]], final: str, p: Params, older: bool = False) -> str:
@@ -283,14 +295,17 @@ GROUP BY segs, id HAVING count(*) > {p.extreme_attempts}""", p)
         "hr", ["placed_hour", "attempts", "contacts", "sales"],
         ["attempt_perc", "contact_perc", "sales_perc"], "key", "value"), p)
 
-    ids = "TRUE" if p.case_ids is None else f"id IN ({', '.join(str(i) for i in p.case_ids)})"
-    q["case_history"] = _q([], f"""SELECT * EXCLUDE (attempt_no),
+    def chosen(ids) -> str:
+        return "TRUE" if ids is None else f"id IN ({', '.join(str(i) for i in ids)})"
+
+    for name, ids in (("case_history", p.case_id), ("case_history_shared", p.shared_case_id)):
+        q[name] = _q([], f"""SELECT * EXCLUDE (attempt_no),
   CAST(row_number() OVER (PARTITION BY id ORDER BY placed_time NULLS LAST, event_id) AS INTEGER) AS attempt_no
-FROM attempts WHERE {ids}""", p)
+FROM attempts WHERE {chosen(ids)}""", p)
     q["cases_history"] = _q([], f"""SELECT * EXCLUDE (attempt_no),
   CASE WHEN placed_time IS NOT NULL THEN CAST(row_number() OVER (
     PARTITION BY id ORDER BY placed_time NULLS LAST, event_id) AS INTEGER) END AS attempt_no
-FROM attempts WHERE {ids}""", p)
+FROM attempts WHERE {chosen(p.case_ids)}""", p)
 
     first_k = f"attempt_no < {p.attempt_cap} AND {TWEAK}"
     q["attempt_dist"] = _q([], f"""SELECT attempt_no, segs, {_ndist('id')} AS number
@@ -321,7 +336,9 @@ WHERE {TWEAK} AND is_contact = {contact} GROUP BY segs, result_cat"""),
             ("m", f"""SELECT *, sum({_h('perc')}) OVER (PARTITION BY result_cat)
   / count(*) OVER (PARTITION BY result_cat) AS mean_key FROM s"""),
         ], """SELECT segs, result_cat, rows, perc,
-  CAST(dense_rank() OVER (ORDER BY mean_key, result_cat NULLS LAST) AS INTEGER) AS cat_order FROM m""", p)
+  CASE WHEN result_cat IS NOT NULL THEN CAST(dense_rank() OVER (
+      PARTITION BY result_cat IS NULL ORDER BY mean_key, result_cat) AS INTEGER)
+    ELSE (SELECT CAST(count(DISTINCT result_cat) + 1 AS INTEGER) FROM m) END AS cat_order FROM m""", p)
 
     q["result_dist_noncontact"] = result_dist(0, None)
     q["result_dist_contact"] = result_dist(1, p.contact_share_min)
@@ -398,18 +415,30 @@ FROM tw GROUP BY segs, result_cat, week_txt"""),
         tt, _wide("t", ["segs", "result_cat", "sales", "sales_hour"], "placed_week", "length", week_txt, True), p)
     q["talk_time_share_wide"] = _q(tt + [
         ("sp", f"""SELECT segs, result_cat, placed_week, sales, sales_hour,
-  {_r(_ratio(_h('length'), f"sum({_h('length')}) OVER (PARTITION BY segs, placed_week)") + ' * 100')} AS length_perc
+  {_r(_ratio(_h('length'), _rsum_over(_h('length'), '(PARTITION BY segs, placed_week)')) + ' * 100')} AS length_perc
 FROM t"""),
     ], _wide("sp", ["segs", "result_cat", "sales", "sales_hour"], "placed_week", "length_perc", week_txt, True), p)
     q["talk_time_share"] = _q(tt + [
         ("s1", f"""SELECT segs, result_cat, placed_week, sales,
-  {_r(_ratio(_h('length'), f"sum({_h('length')}) OVER (PARTITION BY segs, placed_week)"))} AS length_perc
+  {_r(_ratio(_h('length'), _rsum_over(_h('length'), '(PARTITION BY segs, placed_week)')))} AS length_perc
 FROM t WHERE result_cat IS NOT NULL"""),
     ], f"""SELECT segs, result_cat, placed_week, sales, length_perc,
-  {_ratio(_h('length_perc'), f"sum({_h('length_perc')}) OVER (PARTITION BY segs, placed_week)")} AS bar_share
+  {_ratio(_h('length_perc'), _rsum_over(_h('length_perc'), '(PARTITION BY segs, placed_week)'))} AS bar_share
 FROM s1""", p)
 
     q["month_compare"] = _q([], f"""SELECT placed_month, {_ndist('customer')} AS records, count(*) AS attempts,
   {_rsum('is_contact')} AS effectieven, {_rsum('is_sale')} AS positieven
 FROM attempts WHERE placed_month IN ({months}) GROUP BY placed_month""", p)
+
+    # the dictionary of the raw extract
+    cols = list(DESCRIPTIONS)
+    stats = "\nUNION ALL\n".join(f"""SELECT '{c}' AS variable_name, '{DESCRIPTIONS[c]}' AS description,
+  {int(c in VALUE_COLUMNS)} AS variable_type, count(*) - count({c}) AS n_missing,
+  {f'(count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END))' if c in VALUE_COLUMNS else 'NULL'} AS n_distinct,
+  {'NULL' if c in VALUE_COLUMNS else f'CAST(min({c}) AS VARCHAR)'} AS "min",
+  {'NULL' if c in VALUE_COLUMNS else f'CAST(max({c}) AS VARCHAR)'} AS "max" FROM raw""" for c in cols)
+    q["data_dictionary"] = _q([], stats, p)
+    q["dictionary_values"] = _q([], "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS variable_name, CAST({c} AS VARCHAR) AS value, count(*) AS rows FROM raw GROUP BY {c}"
+        for c in VALUE_COLUMNS), p)
     return q

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.derive import derive_attempts
 from ..params import FIXTURE, Params
+from ..sources.dictionary import DESCRIPTIONS, VALUE_COLUMNS, data_dictionary, dictionary_values
 from ..sources.fixture import raw_extract
 from . import reports as R
 
@@ -35,6 +36,7 @@ REPORTS: dict[str, tuple[Callable, bool, str]] = {
     "hour_rates_long": (R.hour_rates_long, False, "current"),
     "hour_rates": (R.hour_rates, False, "current"),
     "case_history": (R.case_history, False, "current"),
+    "case_history_shared": (R.case_history_shared, False, "current"),
     "cases_history": (R.cases_history, False, "current"),
     "attempt_dist": (R.attempt_dist, False, "current"),
     "attempt_rates_long": (R.attempt_rates_long, False, "current"),
@@ -82,26 +84,33 @@ def clear_plan_cache() -> None:
 
 
 def load_attempts(spark: SparkSession, sf_dir: str, params: Params = FIXTURE,
-                  extract: str = "current", hot_split: bool = True) -> DataFrame:
+                  extract: str = "current", numbered: bool = True) -> DataFrame:
     """The attempts table of the test tables; ``extract="older"`` is the second
     extract (customers with a non-negative balance, no talk time)."""
     per_session = _PLANS.setdefault(spark, {})
-    key = (sf_dir, params, extract, hot_split)
+    key = (sf_dir, params, extract, numbered)
     if key not in per_session:
         if extract == "older":
             raw = raw_extract(spark, sf_dir, min_acctbal=0, with_length=False)
         else:
             raw = raw_extract(spark, sf_dir)
-        per_session[key] = derive_attempts(raw, params, hot_split=hot_split)
+        per_session[key] = derive_attempts(raw, params, numbered=numbered)
     return per_session[key]
 
 
 def run_report(name: str, spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
     fn, numbered, extract = REPORTS[name]
-    return fn(load_attempts(spark, sf_dir, params, extract, hot_split=numbered), params)
+    return fn(load_attempts(spark, sf_dir, params, extract, numbered), params)
 
 
 def queries(params: Params = FIXTURE) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def make(name):
         return lambda spark, sf_dir: run_report(name, spark, sf_dir, params)
-    return {name: make(name) for name in REPORTS}
+    def dictionary(spark, sf_dir):
+        raw = raw_extract(spark, sf_dir).select(*DESCRIPTIONS)
+        return data_dictionary(raw, DESCRIPTIONS, {c: 1 for c in VALUE_COLUMNS}).drop("data_type")
+
+    def values(spark, sf_dir):
+        return dictionary_values(raw_extract(spark, sf_dir), VALUE_COLUMNS)
+
+    return {name: make(name) for name in REPORTS} | {"data_dictionary": dictionary, "dictionary_values": values}

@@ -8,8 +8,8 @@ sorts its output (``arrange``) sort here; the rest leave order to the sink.
 
 from __future__ import annotations
 
-import weakref
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from ..operators.metrics import (
     BENEFIT_RATIOS, benefit, benefit_grain, benefit_sets, contact_sale_rates, count_rows, talk_time,
     with_rates,
 )
-from ..operators.numbering import first_attempts, number_attempts
+from ..operators.numbering import first_attempts, number_attempts, time_order
 from ..functions.codes import CODE_CATEGORY
 from ..operators.reshape import sequence_text, to_long, to_wide, to_wide_coded
 from ..operators.shares import category_order, with_exact_share_of_rounded, with_share
@@ -33,13 +33,15 @@ ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "
 
 # Small aggregates that several reports derive from (as the original reuses
 # sales.data for five tables): computed once per attempts DataFrame and kept with
-# cache(). They are bounded by key cardinalities (segments x weeks, hours or
-# categories); lost blocks are recomputed from lineage.
-_SHARED: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
+# cache(). They are bounded by key cardinalities (segments x weeks, hours,
+# categories, customer attributes); lost blocks are recomputed from lineage. The
+# attempts frame is held with them, so nothing stays cached that ``clear_shared``
+# does not know; ``shared_aggregates`` bounds their life.
+_SHARED: dict[int, tuple[DataFrame, dict]] = {}
 
 
 def _shared(df: DataFrame, p: Params, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    per_df = _SHARED.setdefault(df, {})
+    _, per_df = _SHARED.setdefault(id(df), (df, {}))
     key = (name, p)
     if key not in per_df:
         per_df[key] = build().cache()
@@ -48,12 +50,21 @@ def _shared(df: DataFrame, p: Params, name: str, build: Callable[[], DataFrame])
 
 def clear_shared() -> None:
     """Unpersist and forget the shared aggregates."""
-    for per_df in list(_SHARED.values()):
+    for _, per_df in _SHARED.values():
         for cached in per_df.values():
             cached.unpersist()
     _SHARED.clear()
 
 
+@contextmanager
+def shared_aggregates() -> Iterator[None]:
+    """Reports computed inside share their aggregates; on leaving, none stays cached."""
+    try:
+        yield
+    finally:
+        clear_shared()
+
+
 def _tweak(df: DataFrame, p: Params) -> DataFrame:
     """T: ``dialer_tweak == 'tweak'``, written as the equal test on the date
     (a date from the cut on) so it is a partition filter on the stored table."""
@@ -82,11 +93,11 @@ def extremes(df: DataFrame, p: Params) -> DataFrame:
 
 # -- benefit tracking (A05) ---------------------------------------------------------------
 
-# P02, P03, P05 and P06 (intended total) are one GROUPING SETS aggregation over
-# all attempts; P07-P09 one over the period's attempts. The results are a handful
-# of rows, shared by the reports of each family. P03's filters are on its own
-# grouping keys, so they can follow the aggregation.
-_ALL_GRAINS = [["segs"], ["pilot_cat"], [], ["segs", "placed_week"]]
+# P02 and P05 are one GROUPING SETS aggregation over all attempts; P07-P09 one
+# over the period's attempts. The results are a handful of rows, shared by the
+# reports of each family. P03 and P04 filter first and group by one key set; P06
+# has no key, and a row also where there are no attempts.
+_ALL_GRAINS = [["segs"], ["pilot_cat"]]
 _WEEK_GRAINS = [["segs", "placed_week", "dialer_tweak"], ["pilot_cat", "placed_week"], ["placed_week"]]
 
 
@@ -107,9 +118,8 @@ def benefit_segs(df: DataFrame, p: Params) -> DataFrame:
 
 def benefit_segs_weeks(df: DataFrame, p: Params) -> DataFrame:
     """Ratios per segment and week, long by ratio, wide by week."""
-    b = (_benefit_all(df, p, 3)
-         .where((F.col("placed_week") > p.week_floor) & F.col("segs").isin(*p.segments))
-         .select("segs", "placed_week", *BENEFIT_RATIOS))
+    chosen = df.where((F.col("placed_week") > p.week_floor) & F.col("segs").isin(*p.segments))
+    b = benefit(chosen, ["segs", "placed_week"]).select("segs", "placed_week", *BENEFIT_RATIOS)
     long = to_long(b, BENEFIT_RATIOS, "key", "value")
     weeks = None if p.week_columns is None else [w for w in p.week_columns if w > p.week_floor]
     return to_wide(long, "placed_week", "value", weeks)
@@ -122,7 +132,7 @@ def benefit_cat(df: DataFrame, p: Params) -> DataFrame:
 
 def benefit_total(df: DataFrame, p: Params) -> DataFrame:
     """P06 as intended: one overall row."""
-    return _benefit_all(df, p, 2)
+    return benefit(df, [])
 
 
 def benefit_case(df: DataFrame, p: Params) -> DataFrame:
@@ -212,25 +222,27 @@ def hour_rates_long(df: DataFrame, p: Params) -> DataFrame:
 
 # -- single cases --------------------------------------------------------------------------
 
-def _cases(df: DataFrame, p: Params) -> DataFrame:
-    return df if p.case_ids is None else df.where(F.col("id").isin(*p.case_ids))
+def _history(df: DataFrame, ids, missing: str) -> DataFrame:
+    """The chosen cases' attempts (None: all cases'), picked before they are numbered and sorted."""
+    chosen = df if ids is None else df.where(F.col("id").isin(*ids))
+    out = number_attempts(chosen.drop("attempt_no"), "id", "placed_time", missing=missing).select(*df.columns)
+    return out.orderBy("id", *time_order(out))
 
 
 def case_history(df: DataFrame, p: Params) -> DataFrame:
-    """Attempts of the chosen cases in time order, numbered 1..n
-    (attempts without a time numbered last)."""
-    out = number_attempts(_cases(df, p).drop("attempt_no"), "id", "placed_time",
-                          tie=("event_id",), missing="last", hot_rows=p.hot_case_rows,
-                          within=p.case_partition)
-    return out.select(*df.columns).orderBy("id", F.col("placed_time").asc_nulls_last(), "event_id")
+    """Attempts of one case in time order, numbered 1..n (attempts without a
+    time numbered last)."""
+    return _history(df, p.case_id, "last")
+
+
+def case_history_shared(df: DataFrame, p: Params) -> DataFrame:
+    """As P17 for another case."""
+    return _history(df, p.shared_case_id, "last")
 
 
 def cases_history(df: DataFrame, p: Params) -> DataFrame:
-    """The chosen cases with the number recomputed (null time -> no number)."""
-    out = number_attempts(_cases(df, p).drop("attempt_no"), "id", "placed_time",
-                          tie=("event_id",), missing="null", hot_rows=p.hot_case_rows,
-                          within=p.case_partition)
-    return out.select(*df.columns).orderBy("id", F.col("placed_time").asc_nulls_last(), "event_id")
+    """Several cases with the number recomputed (null time -> no number)."""
+    return _history(df, p.case_ids, "null")
 
 
 # -- attempt order -------------------------------------------------------------------------
@@ -238,7 +250,7 @@ def cases_history(df: DataFrame, p: Params) -> DataFrame:
 def _first(df: DataFrame, p: Params, cap: int) -> DataFrame:
     """Attempts numbered below ``cap`` (numbered over the whole case history)."""
     if p.renumber_first_attempts:
-        return first_attempts(df, cap, within=p.case_partition)
+        return first_attempts(df, cap)
     return df.where(F.col("attempt_no") < cap)
 
 
@@ -306,7 +318,7 @@ def result_dist_contact(df: DataFrame, p: Params) -> DataFrame:
 
 def finish_codes(df: DataFrame, p: Params) -> DataFrame:
     """P25: rows per cleaned finish code, most first."""
-    return (_sum_counts(_profile(df, p), ["result2"], "rows")
+    return (count_rows(df, ["result2"])
             .orderBy(F.col("rows").desc(), F.col("result2").asc_nulls_last()))
 
 
@@ -329,10 +341,10 @@ def attempt_sequences(df: DataFrame, p: Params) -> DataFrame:
 # -- customer attribute ---------------------------------------------------------------------
 
 def _profile(df: DataFrame, p: Params) -> DataFrame:
-    """P25, P27, P28 and P40 are sums over one table of row counts per segment,
-    birth-date flag, customer attribute, contact, sale and finish code (all rows,
-    no period filter): one read of the attempts for the four."""
-    keys = ["segs", "no_birth", "customer_att", "is_contact", "is_sale", "result2"]
+    """P27, P28 and P40 are sums over one table of row counts per segment,
+    birth-date flag, customer attribute, contact and sale (all rows, no period
+    filter): one read of the attempts for the three."""
+    keys = ["segs", "no_birth", "customer_att", "is_contact", "is_sale"]
     return _shared(df, p, "profile_counts", lambda: count_rows(
         df.withColumn("no_birth", D.birth_missing("date_of_birth")), keys, "n"))
 
@@ -481,7 +493,10 @@ def talk_time_share(df: DataFrame, p: Params) -> DataFrame:
 # -- months ------------------------------------------------------------------------------------
 
 def month_compare(df: DataFrame, p: Params) -> DataFrame:
-    """Per month; distinct customers, attempts, contacts, sales."""
+    """Per month; distinct customers, attempts, contacts, sales.
+
+    Fixed values: the original's names of the last two columns.
+    """
     sel = df.where(F.col("placed_month").isin(*p.months))
     return sel.groupBy("placed_month").agg(
         S.r_n_distinct("customer").alias("records"),

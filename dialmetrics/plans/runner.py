@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.derive import derive_attempts
 from ..params import FIXTURE, REFERENCE, Params
-from ..sources.extract import load_extract_jdbc, load_extract_parquet, load_extract_sql
+from ..session import with_profile
+from ..sources.extract import load_extract_jdbc, load_extract_parquet, load_extract_sql, read_sql_file
 from ..sources.fixture import raw_extract
 from ..sources.sinks import write_report
 from ..sources.store import read_attempts, write_attempts
 from .registry import REPORTS
+from .reports import shared_aggregates
 
 
 def run_all(attempts: DataFrame, params: Params, out_root: str, fmt: str = "csv",
@@ -31,37 +33,52 @@ def run_all(attempts: DataFrame, params: Params, out_root: str, fmt: str = "csv"
     """Write every report (or ``names``) computed from ``attempts``.
 
     ``older`` is the second extract's attempts table for P04; without it that
-    report is skipped.
+    report is skipped. Aggregates shared by reports are cached for this run only.
     """
     written = []
-    for name, (fn, _numbered, extract) in REPORTS.items():
-        if names and name not in names:
-            continue
-        src = older if extract == "older" else attempts
-        if src is None:
-            continue
-        path = f"{out_root.rstrip('/')}/{name}"
-        write_report(fn(src, params), path, fmt=fmt)
-        written.append(path)
+    with shared_aggregates():
+        for name, (fn, _numbered, extract) in REPORTS.items():
+            if names and name not in names:
+                continue
+            src = older if extract == "older" else attempts
+            if src is None:
+                continue
+            path = f"{out_root.rstrip('/')}/{name}"
+            write_report(fn(src, params), path, fmt=fmt)
+            written.append(path)
     return written
 
 
 def register_views(spark: SparkSession, folder: str) -> list[str]:
-    """Register every ``<name>.parquet`` in ``folder`` as temporary view ``<name>``."""
-    import glob
-    import os
+    """Register every ``<name>.parquet`` in ``folder`` as temporary view ``<name>``.
 
+    The folder is listed by Spark's file system, so it may be on any store.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {s.getPath().getName(): s.getPath().toString() for s in store.listStatus(root)}
     names = []
-    for path in sorted(glob.glob(os.path.join(folder, "*.parquet"))):
-        name = os.path.basename(path)[: -len(".parquet")]
-        spark.read.parquet(path).createOrReplaceTempView(name)
+    for file in sorted(f for f in found if f.endswith(".parquet")):
+        name = file[: -len(".parquet")]
+        spark.read.parquet(found[file]).createOrReplaceTempView(name)
         names.append(name)
+    if not names:
+        raise ValueError(f"no <name>.parquet in {folder}")
     return names
 
 
+def _property(text: str) -> tuple[str, str]:
+    name, sep, value = text.partition("=")
+    if not sep:
+        raise argparse.ArgumentTypeError("NAME=VALUE is needed")
+    return name, value
+
+
 def _load(spark: SparkSession, args, sql: str | None, parquet: str | None) -> DataFrame:
     if args.jdbc_url and sql:
-        return load_extract_jdbc(spark, args.jdbc_url, open(sql).read(),
+        return load_extract_jdbc(spark, args.jdbc_url, read_sql_file(sql), dict(args.jdbc_property),
+                                 one_task=args.one_task,
                                  partition_column=args.partition_column, lower_bound=args.lower_bound,
                                  upper_bound=args.upper_bound, num_partitions=args.num_partitions)
     if sql:
@@ -95,6 +112,9 @@ def main(argv=None) -> None:
     ap.add_argument("--older-parquet", help="the second, older extract (P04), as parquet")
     ap.add_argument("--views", help="register each <name>.parquet of this folder as view <name> first")
     ap.add_argument("--jdbc-url")
+    ap.add_argument("--jdbc-property", action="append", default=[], metavar="NAME=VALUE", type=_property,
+                    help="reader option: user, password, driver (repeatable)")
+    ap.add_argument("--one-task", action="store_true", help="read a small extract over JDBC in one task")
     ap.add_argument("--partition-column")
     ap.add_argument("--lower-bound")
     ap.add_argument("--upper-bound")
@@ -109,8 +129,12 @@ def main(argv=None) -> None:
     args = ap.parse_args(argv)
     if args.jdbc_url and not args.sql:
         ap.error("--jdbc-url needs --sql")
+    if args.jdbc_url and not args.one_task and None in (
+            args.partition_column, args.lower_bound, args.upper_bound, args.num_partitions):
+        ap.error("--jdbc-url needs --partition-column, --lower-bound, --upper-bound and "
+                 "--num-partitions, or --one-task for a small extract")
 
-    spark = SparkSession.builder.appName("dialmetrics-reports").getOrCreate()
+    spark = with_profile(SparkSession.builder.appName("dialmetrics-reports").getOrCreate())
     if args.views:
         register_views(spark, args.views)
     params = (FIXTURE if args.params == "fixture" else REFERENCE).with_text(args.set)

@@ -11,6 +11,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key's partition even where that costs an extra shuffle: one key
+    # holding a large share of the rows would otherwise be one straggler task
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -24,9 +27,6 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.files.maxPartitionBytes": "512m",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
-    # split a hot key's partition even where that costs an extra shuffle: one key
-    # holding a large share of the rows would otherwise be one straggler task
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
@@ -44,6 +44,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def with_profile(spark: SparkSession) -> SparkSession:
+    """Give an open session the recommended settings it does not set itself, and on a
+    cluster the cluster's (partition sizes, shuffle partitions)."""
+    local = spark.sparkContext.master.startswith("local")
+    own = dict(spark.sparkContext.getConf().getAll())
+    for k, v in (RECOMMENDED_CONF if local else CLUSTER_CONF).items():
+        if k not in own:
+            spark.conf.set(k, v)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of this session.
 

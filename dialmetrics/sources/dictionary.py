@@ -1,18 +1,37 @@
 """Data dictionary of a table.
 
-One row per column: name, type, description, missing count, and either the
-range (``min``/``max``, variable type 0) or the exact number of distinct values
-and the most frequent ones (type 1). Everything is computed by aggregation on the
-executors: the per-column statistics in one pass, the value lists by grouping
-on (column, value) and keeping the top ``max_options`` per column with a
-window limit, so no column's values are ever gathered whole in one place.
+``data_dictionary``: one row per column with description, missing count, and
+either the range (variable type 0) or the exact number of distinct values (type
+1). ``dictionary_values``: the values of the type-1 columns, one row each with
+its count; all of them, so a column of many values makes a long table and no
+column's values meet in one place. Both are plain aggregations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The raw extract's columns in our words.
+DESCRIPTIONS = {
+    "CASE_ID_T": "case",
+    "KLANTNR": "customer",
+    "SEGMENT": "model segment",
+    "BATCH_TYPE": "batch",
+    "CUSTOMER_ATT": "customer attribute",
+    "CURRENT_SUB": "current subscription",
+    "SUB_START_DATE": "start of the subscription",
+    "DATE_OF_BIRTH": "date of birth",
+    "CALLPLACEDTIME": "time of the dial attempt",
+    "CALLANSWEREDTIME": "time of the answer",
+    "LENGTH": "talk time in seconds",
+    "ISCONTACT": "whether contact was made",
+    "IS_SALE": "whether a sale was made",
+    "FINISHCODE": "outcome of the attempt",
+}
+# Columns described by their values; the others by their range.
+VALUE_COLUMNS = ("SEGMENT", "BATCH_TYPE", "CUSTOMER_ATT", "CURRENT_SUB", "ISCONTACT", "IS_SALE", "FINISHCODE")
+
 
 def _by_column(values, cols, what: str) -> dict:
     """A dict by column name, from a dict or from a list in column order."""
@@ -26,14 +45,22 @@ def _by_column(values, cols, what: str) -> dict:
     return dict(zip(cols, values))
 
 
-def data_dictionary(df: DataFrame, descriptions=None, var_types=None,
-                    max_options: int = 25) -> DataFrame:
+def dictionary_values(df: DataFrame, columns) -> DataFrame:
+    """``variable_name, value, rows`` for every value (null too) of the columns, as text."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable_name"), F.col(c).cast("string").alias("value"))
+        for c in columns])).alias("kv")).select("kv.*")
+    return long.groupBy("variable_name", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def data_dictionary(df: DataFrame, descriptions=None, var_types=None) -> DataFrame:
     """``descriptions`` / ``var_types``: dicts by column, or lists in column order
-    (type 0 = show the range, 1 = show the values)."""
+    (type 0 = show the range, 1 = show the values, see ``dictionary_values``)."""
     spark = df.sparkSession
     cols = df.columns
     descriptions = _by_column(descriptions, cols, "descriptions")
     var_types = _by_column(var_types, cols, "var_types")
+    kinds = {c: int(var_types.get(c, 0)) for c in cols}
     dtypes = dict(df.dtypes)
 
     # one pass: missing count, min and max (as text) of every column
@@ -48,33 +75,15 @@ def data_dictionary(df: DataFrame, descriptions=None, var_types=None,
                  F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
         for c in cols])).alias("s")).select("s.*")
 
-    # exact distinct counts and the most frequent values of the categorical
-    # (type 1) columns, from (column, value) groups combined map-side
-    cat_cols = [c for c in cols if int(var_types.get(c, 0)) == 1]
-    if cat_cols:
-        long = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("variable_name"), F.col(c).cast("string").alias("value"))
-            for c in cat_cols])).alias("kv")).select("kv.*")
-        counts = long.groupBy("variable_name", "value").agg(F.count(F.lit(1)).alias("n"))
-        distinct = counts.groupBy("variable_name").agg(F.count(F.lit(1)).alias("n_distinct"))
-        top_w = Window.partitionBy("variable_name").orderBy(F.col("n").desc(),
-                                                            F.col("value").asc_nulls_last())
-        options = (counts.withColumn("rk", F.row_number().over(top_w))
-                   .where(F.col("rk") <= max_options)
-                   .groupBy("variable_name")
-                   .agg(F.array_sort(F.collect_list(F.struct("rk", "value"))).alias("top"))
-                   .select("variable_name", F.transform("top", lambda s: s["value"]).alias("options")))
+    shown = [c for c in cols if kinds[c] == 1]
+    if shown:
+        distinct = dictionary_values(df, shown).groupBy("variable_name").agg(F.count(F.lit(1)).alias("n_distinct"))
     else:
         distinct = spark.createDataFrame([], "variable_name string, n_distinct long")
-        options = spark.createDataFrame([], "variable_name string, options array<string>")
-
-    meta = spark.createDataFrame(
-        [(c, dtypes[c], descriptions.get(c), int(var_types.get(c, 0))) for c in cols],
-        "variable_name string, data_type string, description string, variable_type int")
-    out = (meta.join(stats, "variable_name", "left").join(distinct, "variable_name", "left")
-           .join(options, "variable_name", "left"))
+    meta = spark.createDataFrame([(c, dtypes[c], descriptions.get(c), kinds[c]) for c in cols],
+                                 "variable_name string, data_type string, description string, variable_type int")
+    out = meta.join(stats, "variable_name", "left").join(distinct, "variable_name", "left")
     return out.select(
         "variable_name", "data_type", "description", "variable_type", "n_missing", "n_distinct",
         F.when(F.col("variable_type") == 0, F.col("min")).alias("min"),
-        F.when(F.col("variable_type") == 0, F.col("max")).alias("max"),
-        F.when(F.col("variable_type") == 1, F.col("options")).alias("options"))
+        F.when(F.col("variable_type") == 0, F.col("max")).alias("max"))

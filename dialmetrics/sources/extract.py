@@ -37,6 +37,7 @@ RAW_SCHEMA = T.StructType([
     T.StructField("IS_SALE", T.StringType()),
     T.StructField("FINISHCODE", T.StringType()),
 ])
+FLAGS = ("ISCONTACT", "IS_SALE")
 RAW_COLUMNS = [f.name for f in RAW_SCHEMA.fields]
 
 
@@ -61,14 +62,17 @@ def conform_extract(df: DataFrame, keep=("event_id",)) -> DataFrame:
     """Give an extract the 14 raw columns with their raw types.
 
     Names match regardless of case. Columns the source lacks are added as nulls
-    of the right type (S02); columns named in ``keep`` (a tie-break key, say)
+    of the right type (S02); flags delivered as booleans become 1 and 0; columns named in ``keep`` (a tie-break key, say)
     are carried along.
     """
     present = {c.lower(): c for c in df.columns}  # databases differ in name case
     cols = []
     for f in RAW_SCHEMA.fields:
         if f.name.lower() in present:
-            cols.append(F.col(f"`{present[f.name.lower()]}`").cast(f.dataType).alias(f.name))
+            source = F.col(f"`{present[f.name.lower()]}`")
+            if f.name in FLAGS and isinstance(df.schema[present[f.name.lower()]].dataType, T.BooleanType):
+                source = source.cast("int")     # TRUE is 1
+            cols.append(source.cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     cols += [F.col(f"`{present[k.lower()]}`").alias(k) for k in keep if k.lower() in present]
@@ -84,12 +88,17 @@ def load_extract_sql(spark: SparkSession, sql_or_path: str, keep=("event_id",))
 def load_extract_jdbc(spark: SparkSession, url: str, sql: str, properties: dict | None = None,
                       partition_column: str | None = None, lower_bound=None, upper_bound=None,
                       num_partitions: int | None = None, fetch_size: int = 10_000,
-                      keep=("event_id",)) -> DataFrame:
+                      keep=("event_id",), one_task: bool = False) -> DataFrame:
     """S01 against a database. With ``partition_column`` the query is read as
     ``num_partitions`` range slices in parallel (the ``query`` option cannot be
-    combined with partitioning, so the SQL becomes a derived table)."""
+    combined with partitioning, so the SQL becomes a derived table). ``properties``
+    are the reader's options (user, password, driver). A read in one task has to be
+    asked for (``one_task``)."""
     if partition_column and None in (lower_bound, upper_bound, num_partitions):
         raise ValueError("a JDBC partition column needs lower_bound, upper_bound and num_partitions")
+    if not partition_column and not one_task:
+        raise ValueError("without a partition column the whole extract is read in one task; "
+                         "name a partition column, or pass one_task=True for a small extract")
     reader = spark.read.format("jdbc").option("url", url).option("fetchsize", fetch_size)
     for k, v in (properties or {}).items():
         reader = reader.option(k, v)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.semantics import ntz_text
+from ..functions.semantics import ntz_text, r_week
 from .extract import conform_extract
 
 # Market segment of the test customers -> model segment letter.
@@ -87,6 +87,12 @@ def raw_extract(spark: SparkSession, sf_dir: str, min_acctbal=None,
     events = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     dim = customer_dimension(spark, sf_dir, min_acctbal)
     e = events.join(dim, events.user_id == dim.c_custkey, "inner")
+    # some customers' attempts fall into the next month, others' all at the start of
+    # their week (equal times within a case); some attempts have no time
+    monday = F.date_sub(F.to_date("ts"), F.weekday("ts")).cast("timestamp_ntz")
+    e = e.withColumn("ts", F.when(F.col("user_id") % 13 == 1, F.col("ts") + F.expr("INTERVAL 31 DAYS"))
+                     .when(F.col("user_id") % 10 == 0, monday).otherwise(F.col("ts")))
+    week = r_week(F.col("ts"))
 
     contact = F.col("event_type").isin("click", "purchase")
     seg_pairs = []
@@ -107,13 +113,17 @@ def raw_extract(spark: SparkSession, sf_dir: str, min_acctbal=None,
         "CURRENT_SUB": F.col("n_name"),
         "SUB_START_DATE": F.to_date("first_order_date").cast("string"),
         "DATE_OF_BIRTH": F.when(F.col("user_id") % 7 == 0, F.lit("--")).otherwise(F.lit("01-02-1980")),
-        "CALLPLACEDTIME": ntz_text("ts"),
+        "CALLPLACEDTIME": F.when(F.col("event_id") % 97 != 5, ntz_text("ts")),
         "CALLANSWEREDTIME": F.when(contact, ntz_text(F.col("ts") + F.expr("INTERVAL 20 SECONDS"))),
         "ISCONTACT": F.when(contact, F.lit("1")).otherwise(F.lit("0")),
         "IS_SALE": F.when(F.col("event_type") == "purchase", F.lit("1")).otherwise(F.lit("0")),
         "FINISHCODE": finish,
     }
     if with_length:
-        cols["LENGTH"] = F.floor("value").cast("bigint")
+        # one segment and week in which a category lacks its talk time, one without any talk
+        missing = (F.col("c_mktsegment") == "HOUSEHOLD") & (week == 3) & finish.isin("Busy", "InGesprek")
+        zero = (F.col("c_mktsegment") == "FURNITURE") & (week == 4)
+        cols["LENGTH"] = (F.when(missing, F.lit(None)).when(zero, F.lit(0))
+                          .otherwise(F.floor("value")).cast("bigint"))
     out = e.select(*[c.alias(n) for n, c in cols.items()], "event_id")
     return conform_extract(out, keep=("event_id",))

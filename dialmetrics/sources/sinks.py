@@ -2,8 +2,8 @@
 
 A report is a DataFrame; it is written by the executors, one folder per
 report. CSV output keeps a header and writes missing values as ``NA``; row
-names are not data and are never written. Only ``single_file=True`` funnels a
-result through one task, which is meant for small aggregated reports.
+names are not data and are never written. Only ``single_file=True`` brings a
+result (not the work behind it) into one task, for small aggregated reports.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv", na: str = "NA",
                  single_file: bool = False, mode: str = "overwrite") -> None:
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df
     w = out.write.mode(mode)
     if fmt == "csv":
         w.option("header", True).option("nullValue", na).option("emptyValue", "").csv(path)

@@ -52,6 +52,5 @@ def start_landing(spark: SparkSession, raw_dir: str, out_dir: str, checkpoint_lo
 def landed_attempts(spark: SparkSession, out_dir: str, params: Params) -> DataFrame:
     """The landed rows with the attempt number over each case's full history."""
     df = spark.read.parquet(out_dir).withColumn("placed_date", F.col("placed_date").cast("date"))
-    df = number_attempts(df, "id", "placed_time", tie=("event_id",), missing="null",
-                         hot_rows=params.hot_case_rows, within=params.case_partition)
+    df = number_attempts(df, "id", "placed_time", missing="null")
     return df.select(*ATTEMPT_COLUMNS, "event_id")

@@ -11,6 +11,13 @@ cust AS (
   FROM customer c
   LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
   LEFT JOIN first_order f ON f.o_custkey = c.c_custkey
+),
+moved AS (
+  SELECT *, CASE
+    WHEN user_id % 13 = 1 THEN ts + INTERVAL 31 DAYS
+    WHEN user_id % 10 = 0 THEN CAST(date_sub(CAST(ts AS DATE), weekday(ts)) AS TIMESTAMP_NTZ)
+    ELSE ts END AS at
+  FROM events
 )
 SELECT
   e.user_id * 4 + e.event_id % 4 AS CASE_ID_T,
@@ -23,10 +30,14 @@ SELECT
   c.n_name AS CURRENT_SUB,
   CAST(CAST(c.first_order_date AS DATE) AS STRING) AS SUB_START_DATE,
   CASE WHEN e.user_id % 7 = 0 THEN '--' ELSE '01-02-1980' END AS DATE_OF_BIRTH,
-  substring(CAST(e.ts AS STRING), 1, 19) AS CALLPLACEDTIME,
+  CASE WHEN e.event_id % 97 <> 5 THEN substring(CAST(e.at AS STRING), 1, 19) END AS CALLPLACEDTIME,
   CASE WHEN e.event_type IN ('click', 'purchase')
-    THEN substring(CAST(e.ts + INTERVAL 20 SECONDS AS STRING), 1, 19) END AS CALLANSWEREDTIME,
-  CAST(floor(e.value) AS BIGINT) AS LENGTH,
+    THEN substring(CAST(e.at + INTERVAL 20 SECONDS AS STRING), 1, 19) END AS CALLANSWEREDTIME,
+  CASE
+    WHEN c.c_mktsegment = 'HOUSEHOLD' AND floor((dayofyear(e.at) - 1) / 7) + 1 = 3
+      AND e.event_type NOT IN ('purchase', 'click') AND e.event_id % 33 IN (10, 11) THEN NULL
+    WHEN c.c_mktsegment = 'FURNITURE' AND floor((dayofyear(e.at) - 1) / 7) + 1 = 4 THEN 0
+    ELSE CAST(floor(e.value) AS BIGINT) END AS LENGTH,
   CASE WHEN e.event_type IN ('click', 'purchase') THEN '1' ELSE '0' END AS ISCONTACT,
   CASE WHEN e.event_type = 'purchase' THEN '1' ELSE '0' END AS IS_SALE,
   CASE
@@ -48,5 +59,5 @@ SELECT
     ), CAST(e.event_id % 33 + 1 AS INT))
   END AS FINISHCODE,
   e.event_id
-FROM events e
+FROM moved e
 JOIN cust c ON c.c_custkey = e.user_id

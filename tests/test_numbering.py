@@ -1,22 +1,24 @@
-"""Attempt numbering: the hot-case path equals the window path and a brute force."""
+"""Attempt numbering equals a brute force, whatever the case's size."""
 
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from dialmetrics.operators.numbering import number_attempts
+from dialmetrics.operators.numbering import TIE_FALLBACK, first_attempts, number_attempts
 
 
-def _fixture(spark, seed=7):
+def _fixture(spark, seed=7, hours=3):
     rnd = random.Random(seed)
     rows = []
     eid = 0
-    # case 1 is hot (300 rows), others small; equal times, null times, a one-row case
-    for case, n in [(1, 300), (2, 5), (3, 1), (4, 12)]:
+    # case 1 is large, others small; equal times, missing times and ids, a one-row case
+    for case, n in [(1, 300), (2, 5), (3, 1), (4, 12), (None, 40)]:
         for _ in range(n):
-            t = None if rnd.random() < 0.1 else pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=rnd.randint(0, 50))
-            rows.append((case, t.to_pydatetime() if t is not None else None, eid))
+            t = None if rnd.random() < 0.1 else (
+                pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=rnd.choice([0, 1, 3599, 3600, 3601, 7200 * hours])))
+            rows.append((case, t.to_pydatetime() if t is not None else None, eid * 40_000))
             eid += 1
     rnd.shuffle(rows)
     return spark.createDataFrame(rows, "id long, placed_time timestamp_ntz, event_id long")
@@ -27,7 +29,7 @@ def _brute(rows, missing):
     by = {}
     for r in rows:
         by.setdefault(r["id"], []).append(r)
-    for case, rs in by.items():
+    for rs in by.values():
         timed = sorted([r for r in rs if r["placed_time"] is not None], key=lambda r: (r["placed_time"], r["event_id"]))
         untimed = sorted([r for r in rs if r["placed_time"] is None], key=lambda r: r["event_id"])
         for i, r in enumerate(timed):
@@ -37,26 +39,24 @@ def _brute(rows, missing):
     return out
 
 
-def test_window_matches_brute_force(spark):
+@pytest.mark.parametrize("missing", ["null", "last"])
+def test_numbers_match_brute_force(spark, missing):
     df = _fixture(spark)
     rows = [r.asDict() for r in df.collect()]
-    for missing in ("null", "last"):
-        got = {r.event_id: r.attempt_no for r in number_attempts(df, missing=missing).collect()}
-        assert got == _brute(rows, missing)
+    out = number_attempts(df, missing=missing)
+    assert out.columns == [*df.columns, "attempt_no"] and out.count() == df.count()
+    assert {r.event_id: r.attempt_no for r in out.collect()} == _brute(rows, missing)
 
 
-def test_hot_path_matches_brute_force(spark):
+def test_text_case_ids(spark):
     df = _fixture(spark)
-    rows = [r.asDict() for r in df.collect()]
-    for missing in ("null", "last"):
-        out = number_attempts(df, missing=missing, hot_rows=20, rows_per_slice=37)
-        got = {r.event_id: r.attempt_no for r in out.collect()}
-        assert got == _brute(rows, missing)
-        assert out.count() == df.count()
+    a = {(r.event_id, r.attempt_no) for r in number_attempts(df).collect()}
+    b = {(r.event_id, r.attempt_no) for r in number_attempts(df.withColumn("id", F.col("id").cast("string"))).collect()}
+    assert a == b
 
 
 def test_numbers_are_one_to_n(spark):
-    df = number_attempts(_fixture(spark), missing="null", hot_rows=10, rows_per_slice=25)
+    df = number_attempts(_fixture(spark), missing="null")
     chk = (df.where(F.col("attempt_no").isNotNull()).groupBy("id")
            .agg(F.min("attempt_no").alias("lo"), F.max("attempt_no").alias("hi"),
                 F.count("*").alias("n"), F.count_distinct("attempt_no").alias("d")).collect())
@@ -64,26 +64,21 @@ def test_numbers_are_one_to_n(spark):
         assert r.lo == 1 and r.hi == r.n == r.d
 
 
-def test_first_attempts_equal_full_numbering_below_cap(spark):
-    from dialmetrics.operators.numbering import first_attempts
+def test_no_rows(spark):
+    assert number_attempts(_fixture(spark).limit(0)).count() == 0
+
+
+def test_without_an_event_id_the_order_is_repeatable(spark):
+    df = _fixture(spark).drop("event_id").withColumn("result", F.lit("x"))
+    df = df.withColumn("length", F.when(F.col("placed_time").isNotNull(), F.hash("placed_time") % 3))
+    a = sorted(map(str, number_attempts(df, missing="last").collect()))
+    b = sorted(map(str, number_attempts(df.repartition(7), missing="last").collect()))
+    assert a == b and "result" in TIE_FALLBACK
+
 
+def test_first_attempts_equal_full_numbering_below_cap(spark):
     df = _fixture(spark)
     for cap in (1, 2, 5, 11, 400):
         full = {(r.event_id, r.attempt_no) for r in number_attempts(df).where(F.col("attempt_no") < cap).collect()}
         got = {(r.event_id, r.attempt_no) for r in first_attempts(df, cap).collect()}
         assert got == full, cap
-
-
-def test_numbering_within_customer_changes_no_number(spark):
-    from dialmetrics.operators.numbering import first_attempts
-
-    df = _fixture(spark).withColumn("customer", (F.col("id") / 2).cast("long"))  # a case has one customer
-    for missing in ("null", "last"):
-        for hot in (None, 20):
-            a = {(r.event_id, r.attempt_no) for r in number_attempts(df, missing=missing, hot_rows=hot).collect()}
-            b = {(r.event_id, r.attempt_no) for r in number_attempts(
-                df, missing=missing, hot_rows=hot, rows_per_slice=37, within=("customer",)).collect()}
-            assert a == b, (missing, hot)
-    a = {(r.event_id, r.attempt_no) for r in first_attempts(df, 5).collect()}
-    b = {(r.event_id, r.attempt_no) for r in first_attempts(df, 5, within=("customer",)).collect()}
-    assert a == b

@@ -5,8 +5,9 @@ import pytest
 import __spark_entry__ as E
 from compare import compare_one, duck
 from conftest import SF01
+from dialmetrics.plans import oracle, registry
 
-NAMES = list(E.queries())
+NAMES = list(registry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(oracle.oracle_sql()) == set(registry.queries())
+    assert set(oracle.oracle_sql()) <= set(E.oracle_sql()) and set(NAMES) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

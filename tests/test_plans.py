@@ -1,7 +1,7 @@
 """Plan checks: no Python in the plans, pruning of unused work, pushed filters."""
 
-import __spark_entry__ as E
 from conftest import SF001
+from dialmetrics.plans import registry
 
 
 def _plan(df):
@@ -9,40 +9,40 @@ def _plan(df):
 
 
 def test_no_python_udfs_anywhere(spark):
-    for name, fn in E.queries().items():
+    for name, fn in registry.queries().items():
         plan = _plan(fn(spark, SF001))
         assert "Python" not in plan and "ArrowEval" not in plan, name
 
 
 def test_reports_without_attempt_number_do_not_window(spark):
     for name in ["benefit_segs", "finish_codes", "sales_per_week", "month_compare"]:
-        plan = _plan(E.queries()[name](spark, SF001))
+        plan = _plan(registry.queries()[name](spark, SF001))
         assert "Window" not in plan.replace("WindowGroupLimit", ""), name
 
 
 def test_unused_first_order_join_is_pruned(spark):
-    plan = _plan(E.queries()["benefit_segs"](spark, SF001))
+    plan = _plan(registry.queries()["benefit_segs"](spark, SF001))
     assert "orders.parquet" not in plan
 
 
 def test_scans_read_only_needed_columns(spark):
     # a standalone report: case id and segment only
-    plan = _plan(E.queries()["extremes"](spark, SF001))
+    plan = _plan(registry.queries()["extremes"](spark, SF001))
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan
-    # a shared family (P02, P03, P05, P06): the union of what its members need, read once
-    plan = _plan(E.queries()["benefit_segs"](spark, SF001))
-    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
+    # a shared family (P02, P05): the union of what its members need, read once
+    plan = _plan(registry.queries()["benefit_segs"](spark, SF001))
+    assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan
 
 
 def test_first_k_reports_cut_cases_before_the_shuffle(spark):
     for name in ["attempt_dist", "attempt_sequences", "birth_missing_cases"]:
-        df = E.queries()[name](spark, SF001)
+        df = registry.queries()[name](spark, SF001)
         plan = _plan(df)
         assert "WindowGroupLimit" in plan and "Partial" in plan, name
 
 
 def test_no_cross_joins_in_any_report(spark):
-    for name, fn in E.queries().items():
+    for name, fn in registry.queries().items():
         plan = _plan(fn(spark, SF001))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
@@ -55,7 +55,7 @@ def test_keyless_windows_only_over_bounded_aggregates(spark):
     allowed = {"hour_rates", "hour_rates_long", "result_dist_noncontact", "result_dist_contact"}
     keyed = re.compile(r"\], \[[^\]]+\], \[[^\]]*\]$")  # "..., [partition keys], [order]" at the end
     seen = set()
-    for name, fn in E.queries().items():
+    for name, fn in registry.queries().items():
         windows = [ln.strip() for ln in _plan(fn(spark, SF001)).splitlines() if "Window [" in ln]
         keyless = [w for w in windows if not keyed.search(w)]
         assert not keyless or name in allowed, (name, keyless)
@@ -100,27 +100,70 @@ def test_hot_customer_partition_is_split_by_aqe(spark):
                 spark.conf.set(k, v)
 
 
-def test_numbering_reuses_the_customer_join_partitioning(spark):
-    """With a shuffle join (as at scale), numbering within (customer, case) needs no
-    shuffle of its own: one exchange fewer than numbering by case alone."""
+def _shuffled(spark):
+    """Shuffle joins and visible skew, as at scale; returns what restores the settings."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+
+    def restore():
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return restore
+
+
+def test_hot_customer_case_and_missing_id_spread_under_the_window(spark):
+    """A third of all attempts of one customer, of one case on one day, or without a case id:
+    the numbering's window works on (case, hour), so no task holds them together."""
+    from pyspark.sql import functions as F
+
     from conftest import SF01
-    from dialmetrics.operators.derive import derive_attempts
-    from dialmetrics.params import FIXTURE
-    from dialmetrics.sources.fixture import raw_extract
+    from dialmetrics.operators.numbering import number_attempts
+
+    base = registry.load_attempts(spark, SF01, numbered=False).drop("attempt_no").where(F.col("placed_time").isNotNull())
+    third = F.col("event_id") % 3 == 0
+    day = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, event_id % 86400)")
+    hot = {
+        "customer": base.withColumn("customer", F.when(third, 7).otherwise(F.col("customer"))),
+        "one day": base.withColumn("id", F.when(third, 7).otherwise(F.col("id")))
+                       .withColumn("placed_time", F.when(third, day).otherwise(F.col("placed_time"))),
+        "null id": base.withColumn("id", F.when(~third, F.col("id"))),
+    }
+    restore = _shuffled(spark)
+    try:
+        for name, df in hot.items():
+            out = number_attempts(df)
+            out.select("id", "attempt_no", "event_id").write.format("noop").mode("overwrite").save()
+            plan = _plan(out)
+            assert "_dm_slot" in [ln for ln in plan.splitlines() if "row_number" in ln][0], name
+            most = (out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+            assert most < out.count() / 3, name
+            plain = spark.sql("SELECT event_id, row_number() OVER (PARTITION BY id ORDER BY placed_time, event_id) AS n "
+                              "FROM {df}", df=df)
+            assert out.join(plain, "event_id").where("n <> attempt_no").count() == 0, name
+    finally:
+        restore()
 
-    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
-    old = {k: spark.conf.get(k, None) for k in conf}
+
+def test_building_a_plan_runs_no_job(spark):
+    spark.sparkContext.setJobGroup("building", "building")
     try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        counts = {}
-        for flag in (False, True):
-            df = derive_attempts(raw_extract(spark, SF01), FIXTURE.with_(case_within_customer=flag),
-                                 hot_split=False).select("id", "attempt_no", "segs")
-            df.collect()
-            final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-            counts[flag] = final.count("Exchange hashpartitioning")
-        assert counts[True] == counts[False] - 1
+        for name in ["attempts", "uncategorised", "cases_history", "attempt_dist", "benefit_segs_weeks"]:
+            registry.queries()[name](spark, SF001)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
     finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_week_reports_filter_before_one_aggregation(spark):
+    for name in ["benefit_segs_weeks", "benefit_segs_weeks_v1"]:
+        plan = _plan(registry.queries()[name](spark, SF001))
+        below = plan[plan.index("count(distinct"):]     # the one Expand makes rows of ratios, after the sums
+        assert "Expand" not in below and "Filter" in below, name

@@ -22,7 +22,7 @@ def test_edge_sequence(spark):
     rows += [("Z", 3, "No answer", i) for i in range(1, 13)]                          # more than 10
     rows += [("Z", 4, "Busy", None), ("A", 5, "Busy", 1)]                              # no number; other segment
     df = spark.createDataFrame(rows, "segs string, id long, result_cat string, attempt_no int")
-    numbered = FIXTURE.with_(renumber_first_attempts=False)  # attempt_no given, as in a stored table
+    numbered = FIXTURE.with_(renumber_first_attempts=False, sequence_cap=11)  # attempt_no given, as in a stored table
     got = {(r.sequence, r.freq, r.freq_perc) for r in R.attempt_sequences(df, numbered).collect()}
     assert got == {
         ("Busy, NA, Effective, NA, NA, NA, NA, NA, NA, NA", 2, 0.67),
@@ -127,8 +127,8 @@ def test_old_and_new_extract_reports_align(spark):
     new, old = queries()["benefit_segs_weeks"](spark, SF001), queries()["benefit_segs_weeks_v1"](spark, SF001)
     assert new.columns == old.columns
     assert {(r.segs, r.key) for r in old.collect()} <= {(r.segs, r.key) for r in new.collect()}
-    a_new = load_attempts(spark, SF001, FIXTURE, "current", hot_split=False)
-    a_old = load_attempts(spark, SF001, FIXTURE, "older", hot_split=False)
+    a_new = load_attempts(spark, SF001, FIXTURE, "current", numbered=False)
+    a_old = load_attempts(spark, SF001, FIXTURE, "older", numbered=False)
     assert a_old.select("customer").distinct().join(a_new.select("customer").distinct(), "customer",
                                                     "left_anti").count() == 0
     assert a_old.where(F.col("length").isNotNull()).count() == 0
@@ -218,3 +218,42 @@ def test_benefit_sets_equal_separate_aggregations(spark):
         a, b = benefit_grain(sets, grains, i), benefit(df, g)
         assert a.columns == b.columns
         assert canon([tuple(r) for r in a.collect()], a.columns) == canon([tuple(r) for r in b.collect()], b.columns)
+
+
+def _talk(spark, rows):
+    return spark.createDataFrame(rows, "segs string, result_cat string, placed_week int, length long, is_sale int") \
+        .withColumn("placed_date", F.lit("2024-01-15").cast("date"))
+
+
+def test_shares_of_a_week_with_missing_talk_time_are_missing(spark):
+    """V1: a total is missing when one of its values is, so the others have no share of it."""
+    df = _talk(spark, [("A", "Busy", 3, None, 0), ("A", "Effective", 3, 7200, 1), ("A", "Effective", 4, 3600, 1),
+                       ("A", "Busy", 4, 3600, 0)])
+    got = {(r.result_cat, r.placed_week): r for r in R.talk_time_share(df, FIXTURE).collect()}
+    assert got[("Effective", "3")].length_perc is None and got[("Effective", "3")].bar_share is None
+    assert got[("Effective", "4")].length_perc == 0.5 and got[("Effective", "4")].bar_share == 0.5
+
+
+def test_shares_of_a_week_without_talk_are_nan(spark):
+    df = _talk(spark, [("E", "Busy", 4, 0, 0), ("E", "Effective", 4, 10, 1), ("E", "Busy", 3, 3600, 0)])
+    got = {(r.result_cat, r.placed_week): r for r in R.talk_time_share(df, FIXTURE).collect()}
+    assert math.isnan(got[("Busy", "4")].length_perc) and math.isnan(got[("Effective", "4")].bar_share)
+    assert got[("Busy", "3")].bar_share == 1.0
+
+
+def test_missing_category_stands_last_and_shifts_no_other(spark):
+    from dialmetrics.operators.shares import category_order
+
+    df = spark.createDataFrame([("Busy", 0.3), (None, 0.2), ("Effective", 0.1), (None, 0.1), ("Call back", 0.3)],
+                               "result_cat string, perc double")
+    got = {r.result_cat: r.cat_order for r in category_order(df, "result_cat", "perc").collect()}
+    assert got == {"Effective": 1, "Busy": 2, "Call back": 3, None: 4}
+
+
+def test_no_attempts_count_as_zero(spark):
+    """R gives a row of zeros for an ungrouped summary of no rows."""
+    df = spark.createDataFrame([], "segs string, id long, is_contact int, is_sale int")
+    for out in (benefit(df, []), R.benefit_total(df, FIXTURE)):
+        r = out.first()
+        assert (r.records, r.attempts, r.contacts, r.sales) == (0, 0, 0, 0) and math.isnan(r.conversion)
+    assert benefit(df, ["segs"]).count() == 0

@@ -35,14 +35,28 @@ def test_wide_columns_from_the_data_like_spread(spark):
     from dialmetrics.plans import reports as R
     from dialmetrics.plans.registry import load_attempts
 
-    df = load_attempts(spark, SF001, FIXTURE, hot_split=False)
+    df = load_attempts(spark, SF001, FIXTURE, numbered=False)
     free = FIXTURE.with_(week_columns=None, hour_columns=None)
     fixed_w, free_w = R.sales_by_week(df, FIXTURE), R.sales_by_week(df, free)
-    assert free_w.columns == ["segs", "2", "3", "4", "5"]          # week 1 has no tweak rows
-    assert sorted(map(tuple, free_w.collect())) == sorted(map(tuple, fixed_w.drop("1").collect()))
+    weeks = [str(w) for w in range(2, 10)]
+    assert set(free_w.columns) == {"segs", *weeks} - (set(weeks) - set(free_w.columns))
+    assert "1" not in free_w.columns          # week 1 has no tweak rows
+    assert sorted(map(tuple, free_w.collect())) == sorted(map(tuple, fixed_w.select(*free_w.columns).collect()))
     hours = R.hours_by_hour(df, free).columns[1:]
     assert hours == sorted(hours) and "10" in hours and hours.index("10") < hours.index("2")
-    assert R.benefit_segs_weeks(df, free).columns == ["segs", "key", "2", "3", "4", "5"]
+    columns = R.benefit_segs_weeks(df, free).columns
+    assert columns[:6] == ["segs", "key", "2", "3", "4", "5"] and columns[2:] == sorted(columns[2:], key=int)
+
+
+def test_wide_fails_on_a_key_outside_the_list(spark):
+    """No cell is lost unseen: a week that the list lacks fails the job; without a list it gets its column."""
+    import pytest
+
+    df = spark.createDataFrame([("A", 1, 1.0), ("A", 7, 2.0)], "segs string, k int, v double")
+    with pytest.raises(Exception, match="k has a value outside the list: 7"):
+        to_wide(df, "k", "v", [1, 2, 3]).collect()
+    assert to_wide(df, "k", "v", None).columns == ["segs", "1", "7"]
+    assert to_wide(df, "k", "v", [1, 2], others="drop").columns == ["segs", "1", "2"]
 
 
 def test_wide_with_no_key_values(spark):
@@ -52,15 +66,16 @@ def test_wide_with_no_key_values(spark):
 
 
 def test_reference_parameters_run_on_the_fixture(spark):
-    """The original's own parameters (week floor 5, months 2-4) give empty but well-formed tables."""
+    """The original's own parameters: weeks above 5, months 2-4, whatever weeks the data has as columns."""
     from conftest import SF001
     from dialmetrics.params import REFERENCE
     from dialmetrics.plans import reports as R
     from dialmetrics.plans.registry import load_attempts
 
-    df = load_attempts(spark, SF001, REFERENCE, hot_split=False)
-    assert R.benefit_segs_weeks(df, REFERENCE).count() == 0
-    assert R.month_compare(df, REFERENCE).count() == 0
+    df = load_attempts(spark, SF001, REFERENCE, numbered=False)
+    assert all(int(w) > 5 for w in R.benefit_segs_weeks(df, REFERENCE).columns[2:])
+    assert [r.placed_month for r in R.month_compare(df, REFERENCE).collect()] == [2]
+    assert R.case_history(df, REFERENCE).count() == 0       # none of the original's cases
     assert R.sales_by_week(df, REFERENCE).count() > 0   # the cut is in 2018: all of 2024 is "tweak"
 
 

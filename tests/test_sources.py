@@ -61,3 +61,27 @@ def test_jdbc_partitioning_needs_bounds(spark):
 
     with pytest.raises(ValueError):
         load_extract_jdbc(spark, "jdbc:none://nowhere", "SELECT 1", partition_column="CASE_ID_T")
+
+
+def test_times_in_other_forms(spark):
+    from pyspark.sql import functions as F
+
+    from dialmetrics.functions.semantics import parse_timestamp
+
+    good = ["2018-03-12 09:05:00", "2018-03-12 9:05:00", "2018-3-12 09:05:00", "2018/03/12 09:05:00",
+            "20180312 090500", "20180312090500", "2018-03-12T09:05:00"]
+    bad = ["2018-03-12", "20180312", "2018-13-12 09:05:00", "12-03-2018 09:05:00", "x", "", None, "2018-03-12 09:05"]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", parse_timestamp("t").alias("p"))
+    for r in df.collect():
+        assert (str(r.p) == "2018-03-12 09:05:00") if r.t in good else r.p is None, r
+
+
+def test_flags_delivered_as_booleans(spark):
+    from pyspark.sql import functions as F
+
+    from dialmetrics.functions.semantics import to_int
+    from dialmetrics.sources.extract import conform_extract
+
+    df = spark.createDataFrame([(True, False), (None, True)], "ISCONTACT boolean, is_sale boolean")
+    out = conform_extract(df).select(to_int("ISCONTACT").alias("c"), to_int("IS_SALE").alias("s"))
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, 0), (None, 1)]
