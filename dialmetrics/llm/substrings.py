@@ -50,7 +50,9 @@ LENGTH = 50
 GRAM = 24                   # bytes of an anchor
 HOT = 2_000                 # documents from which an anchor's windows are dealt out one by one
 BLOCK_BYTES = 8_000_000     # text of a block
-CHUNK_BYTES = 1_000_000     # bytes hashed at a time
+SHARD_BYTES = 4_000_000     # text for each shard
+CHUNK_BYTES = 250_000       # bytes hashed at a time
+STRING = 4_096              # bytes of an anchor's variants from which they are dealt out by window
 MAX_SHARDS = 50_000
 LAST = np.iinfo(np.int64).max       # stands for a null doc_id
 LOW = np.uint64((1 << 40) - 1)
@@ -195,6 +197,17 @@ def equal_runs(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return same
 
 
+def collapsed(blob: np.ndarray, at: np.ndarray, parts: np.ndarray, key: np.ndarray, length: int) -> tuple:
+    """Distinct runs of windows of each key: (key, bytes) in order, the run's kind, first window and windows."""
+    cut = np.flatnonzero(parts)
+    runs = np.diff(np.r_[cut, len(at)])
+    data, kinds = blob.tobytes(), {}
+    a, b = at[cut].tolist(), (at[cut] + runs + length - 1).tolist()
+    of = np.fromiter((kinds.setdefault((k, data[x:y]), len(kinds)) for k, x, y in
+                      zip(key[cut].tolist(), a, b, strict=True)), np.int64, len(cut))
+    return kinds, of, cut, runs
+
+
 def smallest(blob: np.ndarray, sizes: np.ndarray, keys: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
     """For each window of the segments (one after the other in ``blob``) the smallest doc_id of its string."""
     begin = np.cumsum(sizes) - sizes
@@ -213,13 +226,20 @@ def smallest(blob: np.ndarray, sizes: np.ndarray, keys: np.ndarray, least: np.nd
     if not len(at):
         return out
     # consecutive windows that occur again, as segments of their own; equal ones collapse
-    cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (entry[1:] != entry[:-1])])
-    runs = np.diff(np.r_[cut, len(at)])
-    data = blob.tobytes()
-    kinds: dict[tuple[int, bytes], int] = {}
-    a, b = at[cut].tolist(), (at[cut] + runs + length - 1).tolist()
-    of = np.fromiter((kinds.setdefault((k, data[x:y]), len(kinds)) for k, x, y in
-                      zip(keys[entry[cut]].tolist(), a, b, strict=True)), np.int64, len(cut))
+    parts, key = np.r_[True, (at[1:] != at[:-1] + 1) | (entry[1:] != entry[:-1])], keys[entry]
+    kinds, of, cut, runs = collapsed(blob, at, parts, key, length)
+    held: dict[int, int] = {}
+    for k, s in kinds:
+        held[k] = held.get(k, 0) + len(s)
+    if long := {k: n for k, n in held.items() if n > STRING}:
+        # anchors with many variants: window by window, dealt out by the windows' hash
+        names = np.sort(np.fromiter(long, np.uint64, len(long)))
+        much = np.fromiter((long[int(k)] for k in names), np.int64, len(long))
+        place = np.minimum(np.searchsorted(names, key), len(names) - 1)
+        big = names[place] == key
+        pieces = (much[place] // STRING + 1).astype(np.uint64)
+        key = np.where(big, mixed(key ^ mixed(h[again] % pieces)), key)
+        kinds, of, cut, runs = collapsed(blob, at, parts | big, key, length)
     low = np.full(len(kinds), LAST)
     np.minimum.at(low, of, least[entry[cut]])
     texts = [s for _, s in kinds]
@@ -269,7 +289,7 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = min(MAX_SHARDS, max(1, math.ceil(total / block_bytes)))
+    shards = min(MAX_SHARDS, max(1, math.ceil(total / SHARD_BYTES)))
 
     def read(table: pa.Table) -> tuple[Runs, np.ndarray]:
         texts = [(t or "").encode() for t in table.column("text").to_pylist()]
