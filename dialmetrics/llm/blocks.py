@@ -48,7 +48,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[
 
 def to_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .blocks import blocks, from_bytes, pack, to_bytes, unpack
 from .text import need
 
-BLOCK_BYTES = 8_000_000     # text of a block
+BLOCK_BYTES = 6_000_000     # text of a block
 MAX_BUCKETS = 50_000        # of words; as many as blocks below that
 LONG_TEXT = 2_000_000       # characters from which a text's words are not listed all at once
 
@@ -82,14 +82,13 @@ def load(path: str) -> str:
 
 
 class Splitter:
-    """Words and special tokens of texts."""
+    """Words and special tokens (ids by string) of texts."""
 
-    def __init__(self, content: str):
-        from tokenizers import Tokenizer
+    def __init__(self, special: dict[str, int]):
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.special = {t["content"]: t["id"] for t in json.loads(content)["added_tokens"]}
-        self.own = Tokenizer.from_str(content).pre_tokenizer
-        names = sorted(self.special, key=len, reverse=True)
+        self.own = ByteLevel(add_prefix_space=False, use_regex=True)    # the one that load() asks for
+        names = sorted(special, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
     def parts(self, text: str) -> Iterator[tuple[Iterable[str], bool]]:
@@ -107,6 +106,10 @@ class Splitter:
                 yield WORDS.findall(part), False
 
 
+def specials(content: str) -> dict[str, int]:
+    return {t["content"]: t["id"] for t in json.loads(content)["added_tokens"]}
+
+
 def byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable
     Latin-1 characters for themselves, the others for U+0100 onwards in order."""
@@ -150,9 +153,11 @@ def encode(docs: DataFrame, content: str, text: str = "text", out: str = "ids",
         raise ValueError(f"{out!r} is a column of the table; name another")
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = min(MAX_BUCKETS, max(1, math.ceil(total / block_bytes)))
+    special = specials(content)
+    loaded: dict = {}       # of a task: filled once, kept from group to group
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(content)
+        splitter = Splitter(special)
         for block, table in blocks(batches, text, block_bytes):
             asked = [(b, [w.encode() for w in ws]) for b, ws in
                      enumerate(distinct(splitter, table.column(text), buckets)) if ws]
@@ -165,10 +170,12 @@ def encode(docs: DataFrame, content: str, text: str = "text", out: str = "ids",
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        one_word = Tokenizer.from_str(content)
-        one_word.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        one_word.no_truncation()
-        one_word.no_padding()
+        if not loaded:
+            loaded["words"] = Tokenizer.from_str(content)
+            loaded["words"].pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+            loaded["words"].no_truncation()
+            loaded["words"].no_padding()
+        one_word = loaded["words"]
         ids: dict[bytes, bytes] = {}
         requests = table.column("words")
         for r in requests:      # each distinct word of the bucket once
@@ -192,18 +199,18 @@ def encode(docs: DataFrame, content: str, text: str = "text", out: str = "ids",
 
     def place(block: pa.Table, answers: pa.Table) -> pa.Table:
         rows = from_bytes(block.column("rows")[0].as_py())
-        splitter, table = Splitter(content), {}
+        splitter, table = Splitter(special), {}
         asked = distinct(splitter, rows.column(text), buckets)
-        got = {b: (a, m) for b, a, m in zip(answers.column("bucket").to_pylist(), answers.column("answers").to_pylist(),
-                                            answers.column("mark").to_pylist(), strict=True)}
-        for b, words in enumerate(asked):
-            if words:
-                packed, mark = got.get(b, (b"", None))
-                if mark != zlib.crc32(b"\xff".join(w.encode() for w in words)):
+        at = {b: i for i, b in enumerate(answers.column("bucket").to_pylist())}
+        packed, marks = answers.column("answers"), answers.column("mark")
+        for b in range(buckets):
+            if words := asked[b]:
+                if b not in at or marks[at[b]].as_py() != zlib.crc32(b"\xff".join(w.encode() for w in words)):
                     raise RuntimeError("the input's rows differ between scans; write it as a table first")
-                table.update(zip(words, unpack(packed), strict=True))
-        special = {t: np.array([i], "<u4").tobytes() for t, i in splitter.special.items()}
-        found = [b"".join(b"".join(map((special if mark else table).__getitem__, run))
+                table.update(zip(words, unpack(packed[at[b]].as_py()), strict=True))
+                asked[b] = []
+        marked = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        found = [b"".join(b"".join(map((marked if mark else table).__getitem__, run))
                           for run, mark in splitter.parts(t.as_py() or "")) for t in rows.column(text)]
         return rows.append_column(out, pa.array(found, pa.binary()))
 
@@ -220,16 +227,18 @@ def decode(encoded: DataFrame, content: str, ids: str = "ids", out: str = "decod
     if out in encoded.columns:
         raise ValueError(f"{out!r} is a column of the table; name another")
 
+    piece = pieces(content)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces(content)
-        for batch in batches:
-            found = []
-            for packed in batch.column(ids):
-                numbers = np.frombuffer(packed.as_py() or b"", "<u4")
-                found.append(b"".join(b"".join(map(piece.__getitem__, numbers[a:a + LONG_TEXT].tolist()))
-                                      for a in range(0, len(numbers), LONG_TEXT)).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())],
-                                             names=[*batch.schema.names, out])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):     # few rows at a time, for little memory
+                batch, found = whole.slice(first, 256), []
+                for packed in batch.column(ids):
+                    numbers = np.frombuffer(packed.as_py() or b"", "<u4")
+                    found.append(b"".join(b"".join(map(piece.__getitem__, numbers[a:a + LONG_TEXT].tolist()))
+                                          for a in range(0, len(numbers), LONG_TEXT)).decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())],
+                                                 names=[*batch.schema.names, out])
 
     return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias(out)).schema)
 
