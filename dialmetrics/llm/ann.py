@@ -21,7 +21,7 @@ of all rows share costs no more than k + 1 rows a tile.
 Defined results: vectors that are null, empty, zero or that hold a null or
 non-finite component are neither queries nor candidates; vectors of another
 length than the query's are no candidates; rows that repeat an id count as one
-(the nearest of them); an empty table gives an empty table.
+(as a query the smallest vector, as candidates the nearest); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -142,6 +142,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", v
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         queries, data, found = usable(a), usable(b), []
         for d, (q_ids, q) in queries.items():
+            order = np.lexsort((*q.T[::-1], q_ids))
+            q_ids, q = q_ids[order], q[order]
             q_ids, first = np.unique(q_ids, return_index=True)
             if d in data:
                 found += tile(q_ids, q[first], *data[d], k)

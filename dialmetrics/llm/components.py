@@ -46,7 +46,8 @@ def roots(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)``: for every node of ``links (node, label)`` one label, the same in a component."""
     ensure_checkpoint_dir(links.sparkSession)
-    links = links.distinct().checkpoint()
+    itself = links.select(F.col("label").alias("node"), "label")
+    links = links.unionByName(itself).distinct().checkpoint()
     best = links.groupBy("node").agg(F.min("label").alias("best"))
     edges = (links.join(best, "node").where(F.col("label") != F.col("best"))
              .select(F.col("label").alias("u"), F.col("best").alias("v")).distinct())
