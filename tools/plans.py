@@ -90,11 +90,11 @@ def main(argv):
         argv = argv[:i] + argv[i + 2:]
     sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.1"
     names = [a for a in argv[1:] if not a.startswith("/")]
-    import __spark_entry__ as E
+    from dialmetrics.plans import registry
     from dialmetrics.session import build_session
 
     spark = build_session("local[8]", 8)
-    qs = E.queries()
+    qs = registry.queries()
     table, scan_lines = [], []
     for name in names or list(qs):
         df = qs[name](spark, sf_dir)
