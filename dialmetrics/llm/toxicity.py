@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression.
 
 A document has a severity grade 0..K. One weight vector over sparse text
-features (which words a text holds) is shared by K ordered thresholds:
+features (which words and beginnings of words a text holds) is shared by K ordered thresholds:
 
     P(grade > j) = sigmoid(w . x - theta_j),  theta_0 < theta_1 < ...
 
@@ -13,8 +13,8 @@ trains the thresholds it has.
 
 Fitting. The classifier is fitted on at most ``SAMPLE_ROWS`` labelled documents,
 those with the smallest hash of doc_id. Spark counts in how many of them each
-word stands, by grade, and keeps the ``FEATURES`` words that part the grades
-best; only these words' positions, at most SAMPLE_ROWS * FEATURES numbers, come
+feature stands, by grade, and keeps those that part the grades by more than
+chance would, the ``FEATURES`` best of them at most; only their places, at most SAMPLE_ROWS * FEATURES numbers, come
 to the driver, where the likelihood is maximised. Scoring covers every document
 and every word, as a map without shuffle; the model is FEATURES weights at most.
 
@@ -26,7 +26,9 @@ score alike; other columns pass through.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,18 +41,33 @@ from .text import need, spare
 
 SAMPLE_ROWS = 10_000
 FEATURES = 2_048
-MIN_ROWS = 5            # labelled documents that a word must stand in
-L2 = 0.3
+MIN_ROWS = 3            # labelled documents that a word must stand in
+LEAST_Z = 5.0           # deviations from chance by which its documents' grades must differ
+L2 = 0.05
 STEPS = 400
-REJECT = 0.25           # expected severity from which a document is toxic (see tests: held-out rows)
+REJECT = 0.35           # expected severity from which a document is toxic (see tests: held-out rows)
 SEED = "toxicity-1"
 
 WORD = re.compile(r"[^\W_]+")
 
 
-def words(text: str | None) -> set[str]:
-    """The features of a text: its distinct words, lower-cased."""
-    return set(WORD.findall((text or "").lower()))
+PREFIXES = (4, 5, 6)    # lengths of the word beginnings that are features as well
+
+
+def counts(text: str | None) -> Counter:
+    """How often each word of a text occurs, lower-cased."""
+    return Counter(WORD.findall((text or "").lower()))
+
+
+def features(text: str | None) -> dict[str, float]:
+    """The features of a text: its words, and the beginnings of longer ones (``begin*``); log(1 + occurrences)."""
+    found = counts(text)
+    total = Counter(found)
+    for w, n in found.items():
+        for k in PREFIXES:
+            if len(w) > k:
+                total[w[:k] + "*"] += n
+    return {f: math.log1p(n) for f, n in total.items()}
 
 
 @dataclass(frozen=True)
@@ -62,19 +79,26 @@ class Model:
         """P(grade > j) for each threshold j."""
         if not self.thresholds:
             return []
-        z = sum(map(self.weights.__getitem__, sorted(self.weights.keys() & words(text))))
-        return [1.0 / (1.0 + np.exp(-np.clip(z - t, -40, 40))) for t in self.thresholds]
+        held: dict[str, int] = {}
+        for w, n in counts(text).items():
+            if w in self.weights:
+                held[w] = held.get(w, 0) + n
+            for k in PREFIXES:
+                if len(w) > k and (f := w[:k] + "*") in self.weights:
+                    held[f] = held.get(f, 0) + n
+        z = sum(self.weights[f] * math.log1p(held[f]) for f in sorted(held))
+        return [1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z - t)))) for t in self.thresholds]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def maximise(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int,
+def maximise(doc: np.ndarray, feature: np.ndarray, x: np.ndarray, grade: np.ndarray, n_features: int,
              l2: float = L2, steps: int = STEPS, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the penalised cumulative-link likelihood (Adam on all rows).
 
-    ``doc, feature`` list the ones of the feature matrix. Thresholds are the first
+    ``doc, feature, x`` list the entries of the feature matrix. Thresholds are the first
     one and the logarithms of their gaps, so they stay in order. Grades are 0..K,
     each of them present.
     """
@@ -87,7 +111,7 @@ def maximise(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features
     for t in range(1, steps + 1):
         w, gaps = par[:n_features], np.exp(par[n_features + 1:])
         theta = par[n_features] + np.r_[0.0, np.cumsum(gaps)]
-        z = np.bincount(doc, weights=w[feature], minlength=n)
+        z = np.bincount(doc, weights=w[feature] * x, minlength=n)
         above = sigmoid(z[:, None] - theta[None, :])                # P(grade > j)
         edge = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
         p = np.maximum(edge[rows, grade] - edge[rows, grade + 1], 1e-12)
@@ -97,7 +121,7 @@ def maximise(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features
         np.add.at(d_theta, np.maximum(grade - 1, 0), -(slope[rows, grade] / p) * (grade > 0))
         np.add.at(d_theta, np.minimum(grade, k - 1), (slope[rows, grade + 1] / p) * (grade < k))
         g = np.empty_like(par)
-        g[:n_features] = np.bincount(feature, weights=dz[doc], minlength=n_features) - l2 * w
+        g[:n_features] = np.bincount(feature, weights=dz[doc] * x, minlength=n_features) - l2 * w
         g[n_features] = d_theta.sum()
         g[n_features + 1:] = gaps * (np.cumsum(d_theta[::-1])[::-1][1:])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -114,8 +138,8 @@ def grades(labels: DataFrame) -> DataFrame:
             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(grade).alias("grade")))
 
 
-def fit(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES,
-        min_rows: int = MIN_ROWS, seed: str = SEED) -> Model:
+def fit(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, most: int = FEATURES,
+        min_rows: int = MIN_ROWS, least_z: float = LEAST_Z, seed: str = SEED) -> Model:
     """The model of ``graded`` (doc_id, grade) and the texts of ``docs``."""
     sample = (graded.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows)
               .withColumn("row", F.row_number().over(Window.orderBy("doc_id"))))
@@ -126,14 +150,17 @@ def fit(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, grade, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = sorted(words(text)) + [""]      # the empty word stands for the document itself
+                found = features(text) | {"": 1.0}      # the empty word stands for the document itself
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row] * len(found), pa.int32()), pa.array([grade] * len(found), pa.int32()),
-                    pa.array(found, pa.string())], names=["row", "grade", "word"])
-
-    held = rows.mapInArrow(explode, "row int, grade int, word string").distinct()
-    per_word = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("grade").alias("g"),
-                                        F.sum(F.col("grade") * F.col("grade")).alias("g2"))
+                    pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())],
+                    names=["row", "grade", "word", "x"])
+
+    held = (rows.mapInArrow(explode, "row int, grade int, word string, x double")
+            .groupBy("row", "grade", "word").agg(F.max("x").alias("x")))
+    per_word = held.groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("grade").alias("g"), F.sum(F.col("grade") * F.col("grade")).alias("g2"),
+        F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("x2"), F.sum(F.col("x") * F.col("grade")).alias("xg"))
     whole = per_word.where(F.col("word") == "").first()
     if whole is None:
         return Model({}, ())
@@ -141,14 +168,14 @@ def fit(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
     spread = whole["g2"] / n - mean * mean
     if spread <= 0:
         return Model({}, ())
-    # how far the grades of a word's documents are from what chance would give
-    score = F.abs(F.col("g") - F.col("n") * mean) / F.sqrt(F.col("n") * spread * (1 - F.col("n") / (n + 1.0)))
-    kept = (per_word.where((F.col("word") != "") & (F.col("n") >= min_rows))
-            .orderBy(score.desc(), "word").limit(features).select("word").collect())
+    # how far the grades where a feature is are from what chance would give, in deviations
+    score = F.abs(F.col("xg") - F.col("x") * mean) / F.sqrt(F.col("x2") * spread)
+    kept = (per_word.where((F.col("word") != "") & (F.col("n") >= min_rows) & (score >= least_z))
+            .orderBy(score.desc(), "word").limit(most).select("word").collect())
     index = {r["word"]: i for i, r in enumerate(kept)}
     names = docs.sparkSession.createDataFrame([(w, i) for w, i in index.items()] + [("", -1)], "word string, i int")
-    ones = held.join(F.broadcast(names), "word").select("row", "grade", "i").toArrow()
-    row, grade, i = (ones.column(c).to_numpy() for c in ("row", "grade", "i"))
+    entries = held.join(F.broadcast(names), "word").select("row", "grade", "i", "x").toArrow()
+    row, grade, i, x = (entries.column(c).to_numpy() for c in ("row", "grade", "i", "x"))
     ids, doc = np.unique(row, return_inverse=True)
     of = np.zeros(len(ids), np.int64)
     of[doc] = grade
@@ -157,7 +184,7 @@ def fit(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
         return Model({}, ())
     at = i >= 0
     order = np.lexsort((i[at], doc[at]))
-    w, theta = maximise(doc[at][order], i[at][order], of, len(index))
+    w, theta = maximise(doc[at][order], i[at][order], x[at][order], of, len(index))
     # a grade that the sample lacks shares the threshold of the next lower one
     full = [theta[min(int(np.searchsorted(present, j + 1)) - 1, len(theta) - 1)] for j in range(int(present.max()))]
     return Model({name: float(w[k]) for name, k in index.items() if abs(w[k]) > 1e-3}, tuple(map(float, full)))
