@@ -228,13 +228,21 @@ def groups(cell: np.ndarray, fp: np.ndarray, home: np.ndarray, side: np.ndarray,
     return fp[some], fp[label[some]]
 
 
-def pieces_of_work(rows: DataFrame, cell: tuple[str, ...], item: str, cell_rows: int) -> DataFrame:
+def pieces_of_work(rows: DataFrame, cell: tuple[str, ...], item: str, cell_rows: int, rows_bound: int) -> DataFrame:
     """``rows`` plus ``work``, what compares its rows with each other, and ``side``.
 
     A cell is one piece (side -1). One of more than ``cell_rows`` rows is cut into
     slices by a hash of the item; each pair of slices is a piece, in which rows are
     compared with rows of the other side, and each slice by itself (side -1) one more.
+    ``rows_bound``: about how many rows there are.
     """
+    whole = F.xxhash64(*cell)
+    # a cell of that size needs a bin of that size; few numbers tell that there is none
+    bins = max(1 << 16, 128 * (rows_bound // cell_rows))
+    full = (rows.groupBy(F.pmod(whole, F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > cell_rows))
+    if full.isEmpty():
+        return rows.withColumn("work", whole).withColumn("side", F.lit(-1))
     names = {c: spare(rows, f"cell_{c}") for c in cell}
     # at most rows / cell_rows cells
     large = (rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
@@ -256,8 +264,8 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS, trees: int = TREES, cell_rows
     """``node, label``: memberships in linked groups of the distinct fingerprints ``fp``."""
     n = fps.count()
     levels = depth(n, trees)
-    rows = pieces_of_work(visits(fps, max_bits, trees, levels), ("tree", "cell"), "fp", cell_rows)
     per_row = trees * (1 + sum(1 for _ in offsets(levels, max_bits // trees)))
+    rows = pieces_of_work(visits(fps, max_bits, trees, levels), ("tree", "cell"), "fp", cell_rows, n * per_row)
     shards = max(1, math.ceil(n * per_row / SHARD_ROWS))
     rows = rows.select("fp", "home", "work", "side", F.pmod("work", F.lit(shards)).alias("shard"))
 
