@@ -7,9 +7,10 @@ features (which words and beginnings of words a text holds) is shared by K order
 
 and a document's expected severity is the sum of these probabilities.
 
-Grades come from ``labels``: 0 for rows that are not toxic, 1 for toxic rows of
-good quality and 2 for toxic rows of bad quality; a table that lacks a grade
-trains the thresholds it has.
+``fit`` takes any ordered grades. ``labels`` only says toxic or not; so of the toxic
+documents of the sample those with more wording that goes with toxic labels than
+the median of them has are grade 2, the others 1, and documents that are not
+toxic 0.
 
 Fitting. The classifier is fitted on at most ``SAMPLE_ROWS`` labelled documents,
 those with the smallest hash of doc_id. Spark counts in how many of them each
@@ -45,7 +46,7 @@ MIN_ROWS = 3            # labelled documents that a word must stand in
 LEAST_Z = 5.0           # deviations from chance by which its documents' grades must differ
 L2 = 0.05
 STEPS = 400
-REJECT = 0.35           # expected severity from which a document is toxic (see tests: held-out rows)
+REJECT = 0.5            # expected severity from which a document is toxic (see tests: held-out rows)
 SEED = "toxicity-1"
 
 WORD = re.compile(r"[^\W_]+")
@@ -124,16 +125,18 @@ def maximise(doc: np.ndarray, feature: np.ndarray, x: np.ndarray, grade: np.ndar
         g[:n_features] = np.bincount(feature, weights=dz[doc] * x, minlength=n_features) - l2 * w
         g[n_features] = d_theta.sum()
         g[n_features + 1:] = gaps * (np.cumsum(d_theta[::-1])[::-1][1:])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        par = par + rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        # the gradient shrinks by orders as the fit improves: a short memory of its size keeps the pace
+        m, v = 0.9 * m + 0.1 * g, 0.95 * v + 0.05 * g * g
+        pace = rate * min(1.0, 2.0 * (1 - t / (steps + 1)))
+        par = par + pace * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.95 ** t)) + 1e-6)
     gaps = np.exp(par[n_features + 1:])
     return par[:n_features], par[n_features] + np.r_[0.0, np.cumsum(gaps)]
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """``doc_id, grade`` from ``doc_id, quality, toxic``; rows without an id or a toxic label are left out."""
-    need(labels, "doc_id", "quality", "toxic")
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
+    """``doc_id, grade`` (0, 1) from ``doc_id, toxic``; rows without an id or a toxic label are left out."""
+    need(labels, "doc_id", "toxic")
+    grade = F.when(F.col("toxic") == 0, 0).otherwise(1)
     return (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(grade).alias("grade")))
 
@@ -171,8 +174,10 @@ def fit(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, most
     # how far the grades where a feature is are from what chance would give, in deviations
     score = F.abs(F.col("xg") - F.col("x") * mean) / F.sqrt(F.col("x2") * spread)
     kept = (per_word.where((F.col("word") != "") & (F.col("n") >= min_rows) & (score >= least_z))
-            .orderBy(score.desc(), "word").limit(most).select("word").collect())
+            .orderBy(score.desc(), "word").limit(most)
+            .select("word", (F.col("xg") > F.col("x") * mean).alias("up")).collect())
     index = {r["word"]: i for i, r in enumerate(kept)}
+    up = np.array([r["up"] for r in kept] + [False])
     names = docs.sparkSession.createDataFrame([(w, i) for w, i in index.items()] + [("", -1)], "word string, i int")
     entries = held.join(F.broadcast(names), "word").select("row", "grade", "i", "x").toArrow()
     row, grade, i, x = (entries.column(c).to_numpy() for c in ("row", "grade", "i", "x"))
@@ -183,6 +188,9 @@ def fit(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, most
     if len(present) < 2:
         return Model({}, ())
     at = i >= 0
+    if len(present) == 2:       # two grades: the upper one is parted by the amount of its wording
+        amount = np.bincount(doc, weights=x * up[i] * at, minlength=len(ids))
+        present, of = np.unique(of + (of == 1) * (amount > np.median(amount[of == 1])), return_inverse=True)
     order = np.lexsort((i[at], doc[at]))
     w, theta = maximise(doc[at][order], i[at][order], x[at][order], of, len(index))
     # a grade that the sample lacks shares the threshold of the next lower one
