@@ -73,9 +73,9 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray((max(n, 0),), "<u8", data, strides=(1,)) if n > 0 else np.zeros(0, np.uint64)
 
 
-def hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of the ``length`` bytes (8 or more) from each place on."""
-    v, n = eights(data), len(data) - length + 1
+def hashes(data: np.ndarray, length: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the ``length`` bytes (8 or more) from each place on, or from the places ``at``."""
+    v, n = eights(data), len(data) - length + 1 if at is None else len(at)
     if n <= 0:
         return np.zeros(0, np.uint64)
     offsets = [*range(0, length - 7, 8)]
@@ -83,7 +83,7 @@ def hashes(data: np.ndarray, length: int) -> np.ndarray:
         offsets.append(length - 8)
     h = np.zeros(n, np.uint64)
     for k, o in enumerate(offsets):
-        h = (h ^ (h >> np.uint64(31))) + v[o:o + n] * ODD[k % 5]
+        h = (h ^ (h >> np.uint64(31))) + (v[o:o + n] if at is None else v[at + o]) * ODD[k % 5]
         h *= ODD[(k + 1) % 5]
     return mixed(h)
 
@@ -146,14 +146,18 @@ def stretches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, at, np.append(at, len(x))[1:]
 
 
+def in_shard_order(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    shard = dealt(key, shards)
+    return np.lexsort((key & LOW, shard)), shard
+
+
 def anchors(runs: Runs, ids: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's distinct anchors, in how many of its documents they are, and their shards, in shard order."""
     pair = np.lexsort((ids[runs.doc], runs.key))
     key, doc = runs.key[pair], ids[runs.doc][pair]
     new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][:len(key)]
     key, count = np.unique(key[new], return_counts=True)
-    shard = dealt(key, shards)
-    order = np.lexsort((key & LOW, shard))
+    order, shard = in_shard_order(key, shards)
     return key[order], np.minimum(count[order], 255).astype(np.uint8), shard[order]
 
 
@@ -217,7 +221,7 @@ def smallest(blob: np.ndarray, sizes: np.ndarray, keys: np.ndarray, least: np.nd
     out = least[entry].copy()
     if not len(at):
         return out
-    h = hashes(blob, length)[at] ^ mixed(keys[entry])
+    h = hashes(blob, length, at) ^ mixed(keys)[entry]
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     again = np.zeros(len(h), bool)
@@ -328,7 +332,8 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
         parts = dict(zip(table.column("kind").to_pylist(), table.column("rows").to_pylist(), strict=True))
         rows = from_bytes(parts.pop(-1))
         runs, ids = read(rows)
-        key, _, _ = anchors(runs, ids, shards)
+        key = np.unique(runs.key)
+        key = key[in_shard_order(key, shards)[0]]
         code = np.concatenate([unpack_numbers(parts[k], np.uint8) for k in sorted(parts)] or [np.zeros(0, np.uint8)])
         if len(code) != len(key):
             raise RuntimeError("the input's rows differ between scans; write it as a table first")
