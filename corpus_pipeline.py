@@ -25,13 +25,23 @@ from dialmetrics.llm.queries import tokenizer_path
 from dialmetrics.session import ensure_checkpoint_dir
 
 
+BATCH_ROWS = 500            # documents of an Arrow batch: the stages' workers live side by side in an executor
+BLOCK_BYTES = 4_000_000     # text of a block of the tokenizer
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below the limit."""
+    small_batches(spark)
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each group of lines; ``n_chars`` follows the text."""
+    small_batches(spark)
     kept = lines.dedup_lines(docs).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
         if "n_chars" in docs.columns else kept
@@ -39,6 +49,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -49,8 +60,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids`` (little-endian unsigned 32-bit), and whether the ids give the text back."""
+    small_batches(spark)
     content = bpe.load(tokenizer_path())
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), content), content)
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), content, block_bytes=BLOCK_BYTES)
+    both = bpe.decode(ids, content)
     return both.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
