@@ -42,7 +42,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each group of lines; ``n_chars`` follows the text."""
     small_batches(spark)
-    kept = lines.dedup_lines(docs).select(*docs.columns)
+    kept = lines.dedup_lines(docs, runs=lines.RUNS).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
         if "n_chars" in docs.columns else kept
 
