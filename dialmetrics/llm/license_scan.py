@@ -1,16 +1,19 @@
 """License scans by conditional compression.
 
-Texts are cut into units (lines, and sentences within lines); runs of units that
-hold a cue word form the candidate blocks. Each block is compressed by itself
-and with every template as zstandard raw-content dictionary; templates are
-ranked by how many bytes they save. The best ones are confirmed by the exact
-wording: the words of template and block are aligned, and the winner is the
-first in rank whose words the block holds to ``MIN_SHARE`` at least. The result
-tells which words are missing and which were put in between.
-
-Every template has a cue word, so a block without one cannot hold a template's
-wording. Whole texts are scanned; a block longer than ``BLOCK_UNITS`` units is
-scored in pieces that overlap by the longest template.
+The words around each cue, as many on both sides as the longest template can span,
+form the candidate blocks; lines do not matter, so a notice may be wrapped or stand
+behind comment marks. In a block, a window slides for each template over as many words
+as its wording may span; where the window holds ``MIN_SHARE`` of the template's words,
+the words of template and window are aligned, and the span is kept if enough of them
+agree in order. The text of that span alone, its lines joined, is compressed by itself
+and with every template as zstandard raw-content dictionary; templates are ranked by how
+many bytes they save, so other text around a notice does not count. The winner has
+the most agreeing words less those that differ; among equals, the first in rank. The result tells which words are
+missing and which were put in between.
+
+Every template has a cue, and no wording that is confirmed reaches further from it than
+a block does. Whole texts are scanned; a block longer than ``BLOCK_WORDS`` words is
+scored in pieces that overlap by the longest span.
 
 Defined results: null and empty texts give no row; a text that repeats a notice
 gives a row for each place; repeated rows give repeated results; an empty table
@@ -19,8 +22,11 @@ gives an empty table.
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,38 +53,33 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
 )
 CUES = ("licens", "licenc", "permission is", "copyright", "public domain", "rights reserved")
-BLOCK_UNITS = 64
-MIN_SAVED = 0.2         # least share of the block's compressed bytes that a template saves
+BLOCK_WORDS = 1024
+MIN_SAVED = 0.2         # least share of the span's compressed bytes that a template saves
 MIN_SHARE = 0.8         # least share of equal words, of the template and of the span it covers
 LEVEL = 3
 
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-UNIT = re.compile(r"[^\n]*?(?:[.!?](?=\s)|\n|\Z)")
+GAP = r"[\W_]+"          # between the words of a cue: a line's end, comment marks
+CUE = re.compile("|".join(GAP.join(map(re.escape, c.split())) for c in CUES), re.IGNORECASE)
+BREAK = re.compile(r"\s*\n[\W_]*")
 
 
-def units(text: str) -> list[tuple[int, int]]:
-    """Spans of lines and of the sentences in them."""
-    return [m.span() for m in UNIT.finditer(text) if m.group().strip()]
-
-
-def blocks(text: str, overlap: int = 4) -> Iterator[tuple[int, int]]:
-    """Spans of the runs of units with a cue; one unit without a cue may lie between."""
-    spans = units(text)
-    marked = [any(c in text[a:b].lower() for c in CUES) for a, b in spans]
+def blocks(text: str, found: list[tuple[str, int, int]], reach: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the ``found`` words that lie within ``reach`` words of a cue."""
+    starts, n = [a for _, a, _ in found], len(found)
     runs: list[list[int]] = []
-    for i, m in enumerate(marked):
-        if m and runs and i - runs[-1][1] <= 2:
-            runs[-1][1] = i
-        elif m:
-            runs.append([i, i])
-    for first, last in runs:
-        at = first
-        while True:
-            end = min(last, at + BLOCK_UNITS - 1)
-            yield spans[at][0], spans[end][1]
-            if end == last:
-                break
-            at = end + 1 - overlap
+    for m in CUE.finditer(text):
+        a = max(0, bisect.bisect_right(starts, m.start()) - 1 - reach)
+        b = min(n, bisect.bisect_left(starts, m.end()) + reach)
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = b
+        else:
+            runs.append([a, b])
+    for a, b in runs:
+        while b - a > BLOCK_WORDS + reach:
+            yield a, a + BLOCK_WORDS + reach
+            a += BLOCK_WORDS
+        yield a, b
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
@@ -93,23 +94,57 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(**flags)
         self.templates = []
         for name, wording in templates:
-            raw = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw = zstandard.ZstdCompressionDict(wording.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, [w for w, _, _ in words(wording)],
                                    zstandard.ZstdCompressor(dict_data=raw, **flags)))
+        self.bags = [Counter(want) for _, want, _ in self.templates]
+        self.spans = [math.ceil(len(want) / MIN_SHARE) for _, want, _ in self.templates]
+        self.reach = max(self.spans)
 
     def ranked(self, block: bytes) -> list[tuple[float, int]]:
         """(share of bytes saved, template) of those that save enough, best first."""
+        block = block.lower()
         alone = len(self.plain.compress(block))
         saved = [((alone - len(c.compress(block))) / alone, i) for i, (_, _, c) in enumerate(self.templates)]
         return sorted((x for x in saved if x[0] >= MIN_SAVED), key=lambda x: (-x[0], x[1]))
 
+    def windows(self, have: list[str], template: int) -> Iterator[tuple[int, int]]:
+        """Ranges of words that hold enough of the template's words in any order: the best of each stretch."""
+        bag, span = self.bags[template], self.spans[template]
+        least, held, equal = math.ceil(MIN_SHARE * len(self.templates[template][1]) - 1e-9), Counter(), 0
+        best = None
+        for end, w in enumerate(have, 1):
+            if w in bag:
+                held[w] += 1
+                equal += held[w] <= bag[w]
+            if end > span and (old := have[end - 1 - span]) in bag:
+                equal -= held[old] <= bag[old]
+                held[old] -= 1
+            if equal >= least:
+                if best is None or equal > best[0]:
+                    best = equal, max(0, end - span), end
+            elif best is not None:
+                yield best[1:]
+                best = None
+        if best is not None:
+            yield best[1:]
+
     def confirm(self, found: list[tuple[str, int, int]], template: int) -> dict | None:
         """How the block's words differ from the template's; None where too few agree."""
         want = self.templates[template][1]
         have = [w for w, _, _ in found]
         parts = [m for m in difflib.SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
-        equal = sum(m.size for m in parts)
-        if not parts or equal < MIN_SHARE * len(want):
+        if not parts:
+            return None
+
+        def fit(i: int, j: int) -> tuple[float, int]:
+            equal = sum(m.size for m in parts[i:j])
+            return equal / (len(want) + parts[j - 1].b + parts[j - 1].size - parts[i].b - equal), equal
+
+        # words that agree by chance before or behind the notice are left out
+        i, j = max(((i, j) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)), key=lambda x: fit(*x))
+        parts, equal = parts[i:j], fit(i, j)[1]
+        if equal < MIN_SHARE * len(want):
             return None
         first, last = parts[0].b, parts[-1].b + parts[-1].size
         if equal < MIN_SHARE * (last - first):
@@ -120,30 +155,45 @@ class Scanner:
         extra = [have[i] for i in range(first, last) if i not in in_have]
         return {"words": (first, last), "start": found[first][1], "end": found[last - 1][2],
                 "similarity": equal / (len(want) + len(extra)), "missing": " ".join(missing),
-                "extra": " ".join(extra)}
+                "extra": " ".join(extra), "score": equal - len(missing) - len(extra)}
 
     def scan(self, text: str) -> list[dict]:
         """All notices of a text, by place."""
-        out: dict[tuple, dict] = {}
-        for a, b in blocks(text):
+        every, out = words(text), []
+        have = [w for w, _, _ in every]
+        for a, b in blocks(text, every, self.reach):
             todo = [(a, b)]
             while todo:     # what lies before and after a winner is scored again: a block may hold several
                 x, y = todo.pop()
-                found = words(text[x:y])
-                if not found:
-                    continue
-                won = [(-c["similarity"], rank, c, saved, t) for rank, (saved, t) in
-                       enumerate(self.ranked(text[x:y].encode()), 1) if (c := self.confirm(found, t))]
+                ranks: dict[tuple, dict] = {}
+                won = []
+                for t in range(len(self.templates)):
+                    for i, j in self.windows(have[x:y], t):
+                        if (c := self.confirm(every[x + i:x + j], t)) is None:
+                            continue
+                        span = c["start"], c["end"]
+                        if span not in ranks:
+                            piece = BREAK.sub(" ", text[slice(*span)]).encode()
+                            ranks[span] = {k: (r, saved) for r, (saved, k) in enumerate(self.ranked(piece), 1)}
+                        if t in ranks[span]:
+                            won.append((-c["score"], ranks[span][t][0], c["start"], t, x + i, c, ranks[span][t][1]))
                 if not won:
                     continue
-                _, rank, c, saved, t = min(won, key=lambda z: z[:2])
-                start, end = x + c["start"], x + c["end"]
-                out.setdefault((start, end), {
-                    "start": start, "end": end, "license": self.templates[t][0], "rank": rank, "saved": saved,
+                _, rank, _, t, at, c, saved = min(won, key=lambda z: z[:4])
+                out.append((c["score"], {
+                    "start": c["start"], "end": c["end"], "license": self.templates[t][0], "rank": rank, "saved": saved,
                     "similarity": c["similarity"], "missing": c["missing"], "extra": c["extra"],
-                    "exact": not c["missing"] and not c["extra"]})
-                todo += [(x, start), (end, y)]
-        return [out[k] for k in sorted(out)]
+                    "exact": not c["missing"] and not c["extra"]}))
+                todo += [(x, at + c["words"][0]), (at + c["words"][1], y)]
+        # pieces overlap: what one of them cut is whole in the other
+        kept, ends, starts = [], [], []
+        for _, r in sorted(out, key=lambda r: (-r[0], r[1]["start"])):
+            k = bisect.bisect_left(starts, r["start"])
+            if (k == 0 or ends[k - 1] <= r["start"]) and (k == len(starts) or r["end"] <= starts[k]):
+                starts.insert(k, r["start"])
+                ends.insert(k, r["end"])
+                kept.append(r)
+        return sorted(kept, key=lambda r: r["start"])
 
 
 SCHEMA = ("doc_id long, notice int, start long, end long, license string, rank int, saved double, "
@@ -153,10 +203,7 @@ SCHEMA = ("doc_id long, notice int, start long, end long, license string, rank i
 def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """A row for each notice in ``doc_id, text``; offsets are code points."""
     need(docs, "doc_id", "text")
-    lowered = F.lower("text")
-    cue = lowered.contains(CUES[0])
-    for c in CUES[1:]:
-        cue = cue | lowered.contains(c)
+    cue = F.col("text").rlike(f"(?iu){CUE.pattern}")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)

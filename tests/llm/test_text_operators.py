@@ -226,6 +226,26 @@ def test_every_template_has_a_cue_and_ranks_first():
         assert len(found) == 1 and found[0]["exact"]
 
 
+@pytest.mark.parametrize("columns", [20, 40, 80])
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_notices(columns, mark):
+    import textwrap
+    scanner = license_scan.Scanner()
+    for name, wording in license_scan.TEMPLATES:
+        body = "\n".join(mark + x for x in textwrap.wrap(wording, columns, break_long_words=False, break_on_hyphens=False))
+        for text in (body, f"{mark}some words of code\n{body}\n{mark}other words of code here"):
+            found = scanner.scan(text)
+            assert [(r["license"], r["exact"]) for r in found] == [(name, True)], (name, text, found)
+
+
+def test_wrapped_notices_of_a_table(spark):
+    text = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\n" \
+           "documentation files, to deal in the software without\nrestriction."
+    df = spark.createDataFrame([(1, text), (2, "ALL RIGHTS\n# RESERVED"), (3, "dedicated to the public")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license, r.exact) for r in license_scan.scan_licenses(df).collect()) == [
+        (1, "MIT", True), (2, "all-rights-reserved", True)]
+
+
 def test_license_of_documents(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     want = {(r.doc_id, name) for r in docs.collect() for name, wording in license_scan.TEMPLATES if wording in r.text}
