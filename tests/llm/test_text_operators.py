@@ -246,6 +246,20 @@ def test_wrapped_notices_of_a_table(spark):
         (1, "MIT", True), (2, "all-rights-reserved", True)]
 
 
+@pytest.mark.parametrize("around", ["x" * 60 + " ", "word of a long line, " * 12, "The license of the poet permits copyright of songs. " * 6])
+def test_notices_beside_other_text(around):
+    scanner = license_scan.Scanner()
+    for name, wording in license_scan.TEMPLATES:
+        for text in (around + wording, wording + " " + around, around + wording + " " + around, around + wording.upper()):
+            assert [(r["license"], r["exact"]) for r in scanner.scan(text)] == [(name, True)], (name, text)
+
+
+def test_long_texts_of_notices():
+    parts = [w for _, w in license_scan.TEMPLATES] * 40
+    found = license_scan.Scanner().scan("\n".join(parts))
+    assert len(found) == len(parts) and all(r["exact"] for r in found)
+
+
 def test_license_of_documents(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     want = {(r.doc_id, name) for r in docs.collect() for name, wording in license_scan.TEMPLATES if wording in r.text}
