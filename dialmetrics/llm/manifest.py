@@ -241,8 +241,8 @@ def grow(nodes: DataFrame, most: int) -> list[DataFrame]:
     return rounds
 
 
-def descend(blocks: DataFrame, above: DataFrame) -> DataFrame:
-    """``lang_key, block, path`` for the slots of ``blocks``: the blocks of the round below."""
+def descend(blocks: DataFrame, above: DataFrame | None) -> DataFrame:
+    """``lang_key, block, path`` for the slots of ``blocks``: the blocks of the round below. Without ``above``, from the root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,14 +254,14 @@ def descend(blocks: DataFrame, above: DataFrame) -> DataFrame:
                     "block": [(r["block"] << BLOCK_BITS) + i for i in range(len(nodes))],
                     "path": [path_of(levels, i) + r["path"] for i in range(len(nodes))]})
 
-    return (blocks.join(above, ["lang_key", "block"]).select("lang_key", "block", "size", "slots", "path")
+    held = blocks.join(above, ["lang_key", "block"]) if above is not None else blocks.withColumn("path", F.lit(""))
+    return (held.select("lang_key", "block", "size", "slots", "path")
             .mapInArrow(run, "lang_key string, block long, path string"))
 
 
-def _paths(rounds: list[DataFrame], top: DataFrame) -> DataFrame:
-    """The paths of the first round's blocks, from those of the groups (``lang_key, path``)."""
-    above = top.withColumn("block", F.lit(0).cast("long"))
-    for blocks in rounds[:0:-1]:
+def _paths(rounds: list[DataFrame], above: DataFrame | None) -> DataFrame | None:
+    """``above`` taken down through the rounds, the last first."""
+    for blocks in reversed(rounds):
         above = descend(blocks, above)
     return above
 
@@ -293,10 +293,9 @@ def manifest(docs: DataFrame) -> DataFrame:
     ranked, langs = _ranked(subroots)
     over = grow(ranked.select(F.lit("").alias("lang_key"), "pos", "size", "node"), langs)
     root = over[-1].select("node").scalar()     # one row
-    top = _paths(over, docs.sparkSession.range(1).select(F.lit("").alias("lang_key"), F.lit("").alias("path")))
-    lang_paths = descend(over[0], top).select(F.col("block").alias("pos"), "path")
+    lang_paths = _paths(over, None).select(F.col("block").alias("pos"), "path")
     langs_top = ranked.join(lang_paths, "pos")
-    above = (_paths(rounds, langs_top.select("lang_key", "path"))
+    above = (_paths(rounds[1:], langs_top.select("lang_key", F.lit(0).cast("long").alias("block"), "path"))
              .join(langs_top.select("lang_key", F.col("node").alias("subroot")), "lang_key")
              .withColumn("root", root))
 
