@@ -81,7 +81,7 @@ def test_gradient_finds_ordered_grades():
 
 def test_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en'").select("doc_id", "text")
-    graded = toxicity.grades(spark.read.parquet("/root/testdata/sf0.1/labels.parquet")).cache()
+    graded = toxicity.grades(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
     train = graded.where("doc_id % 2 = 0")
     model = toxicity.fit(docs, train)
     held = toxicity.score(docs, model).join(graded.where("doc_id % 2 = 1"), "doc_id").select("severity", "grade").collect()
