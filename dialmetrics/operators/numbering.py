@@ -55,35 +55,59 @@ def _stand_in(df: DataFrame, key: str) -> tuple[Column, Column]:
     return F.coalesce(value, zero), F.col(key).isNull()
 
 
+SLOT_KEYS = ["_dm_case", "_dm_none", "_dm_late", "_dm_slot"]
+
+
+def slot_columns(df: DataFrame, key: str = "id", time: str = "placed_time", tie=TIE_COLUMNS) -> list[Column]:
+    """The (case, hour) of each row, as the columns ``SLOT_KEYS`` (none of them null)."""
+    ties = tie_columns(df, tie)
+    value, absent = _stand_in(df, key)
+    hour = F.unix_date(F.to_date(time)).cast("long") * 24 + F.hour(time)
+    whole = bool(ties) and isinstance(df.schema[ties[0]].dataType, T.IntegralType)
+    untimed = F.floor(F.col(ties[0]) / TIE_RANGE) if whole else F.lit(0)
+    return [value.alias("_dm_case"), absent.alias("_dm_none"), F.col(time).isNull().alias("_dm_late"),
+            F.coalesce(hour, untimed.cast("long"), F.lit(2 ** 62)).alias("_dm_slot")]
+
+
+def count_slots(df: DataFrame, key: str = "id", time: str = "placed_time", tie=TIE_COLUMNS) -> DataFrame:
+    """``SLOT_KEYS`` and ``_dm_n``: attempts per (case, hour), combined map-side."""
+    return df.select(*slot_columns(df, key, time, tie)).groupBy(*SLOT_KEYS).agg(F.count(F.lit(1)).alias("_dm_n"))
+
+
+def with_before(counts: DataFrame, *clustered: str) -> DataFrame:
+    """``counts`` plus ``_dm_before``: the attempts in the case's earlier hours. ``clustered``:
+    functions of the case by which the rows are partitioned already."""
+    before = (Window.partitionBy(*clustered, "_dm_case", "_dm_none").orderBy("_dm_late", "_dm_slot")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("_dm_before", F.coalesce(F.sum("_dm_n").over(before), F.lit(0)))
+
+
 def number_attempts(df: DataFrame, key: str = "id", time: str = "placed_time",
-                    tie=TIE_COLUMNS, out: str = "attempt_no", missing: str = "null") -> DataFrame:
+                    tie=TIE_COLUMNS, out: str = "attempt_no", missing: str = "null",
+                    offsets: DataFrame | None = None) -> DataFrame:
     """Number rows within ``key`` by ``time`` (then ``tie``), starting at 1.
 
     ``missing="null"`` (W01, R ``row_number(x)``): rows without a time get no
     number and do not count. ``missing="last"`` (W02, ``1:n()`` after sorting):
     they are numbered after the timed rows, by the tie-break (the original leaves
     their order to that of the extract).
+
+    ``offsets`` (``SLOT_KEYS`` and ``_dm_before`` of all timed rows) are stored
+    ones, as a growing store keeps them; ``df`` is then read once.
     """
     if out in df.columns:
         df = df.drop(out)
-    ties = tie_columns(df, tie)
-    value, absent = _stand_in(df, key)
-    hour = F.unix_date(F.to_date(time)).cast("long") * 24 + F.hour(time)
-    whole = bool(ties) and isinstance(df.schema[ties[0]].dataType, T.IntegralType)
-    untimed = F.floor(F.col(ties[0]) / TIE_RANGE) if whole else F.lit(0)
-    keys = ["_dm_case", "_dm_none", "_dm_late", "_dm_slot"]
-    marks = [value.alias("_dm_case"), absent.alias("_dm_none"), F.col(time).isNull().alias("_dm_late"),
-             F.coalesce(hour, untimed.cast("long"), F.lit(2 ** 62)).alias("_dm_slot")]
-    before = (Window.partitionBy("_dm_case", "_dm_none").orderBy("_dm_late", "_dm_slot")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (df.select(*marks).groupBy(*keys).agg(F.count(F.lit(1)).alias("_dm_n"))
-               .withColumn("_dm_before", F.coalesce(F.sum("_dm_n").over(before), F.lit(0)))
-               .select(*keys, "_dm_before"))
-    order = [F.col(c).asc_nulls_last() for c in [time, *ties]]
-    number = (F.col("_dm_before") + F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).cast("int")
+    if offsets is not None and missing != "null":
+        raise ValueError("stored offsets count timed attempts only")
+    how = "inner" if offsets is None else "left"
+    if offsets is None:
+        offsets = with_before(count_slots(df, key, time, tie))
+    order = [F.col(c).asc_nulls_last() for c in [time, *tie_columns(df, tie)]]
+    number = (F.col("_dm_before") + F.row_number().over(Window.partitionBy(*SLOT_KEYS).orderBy(*order))).cast("int")
     if missing == "null":
         number = F.when(F.col(time).isNotNull(), number)
-    return df.select("*", *marks).join(offsets, keys).withColumn(out, number).select(*df.columns, out)
+    return (df.select("*", *slot_columns(df, key, time, tie)).join(offsets.select(*SLOT_KEYS, "_dm_before"), SLOT_KEYS, how)
+            .withColumn(out, number).select(*df.columns, out))
 
 
 def first_attempts(df: DataFrame, cap: int, key: str = "id", time: str = "placed_time",

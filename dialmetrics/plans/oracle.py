@@ -243,6 +243,7 @@ def oracle_sql(p: Params = FIXTURE) -> dict[str, str]:
     q: dict[str, str] = {}
 
     q["attempts"] = _q([], "SELECT * FROM attempts", p)
+    q["attempts_from_loads"] = q["attempts"]
     q["extremes"] = _q([], f"""SELECT segs, id, count(*) AS attempts FROM attempts
 GROUP BY segs, id HAVING count(*) > {p.extreme_attempts}""", p)
     q["benefit_segs"] = _q([], _benefit(["segs"]), p)

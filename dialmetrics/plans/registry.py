@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.derive import derive_attempts
 from ..params import FIXTURE, Params
+from ..session import ensure_checkpoint_dir
 from ..sources.dictionary import DESCRIPTIONS, VALUE_COLUMNS, data_dictionary, dictionary_values
 from ..sources.fixture import raw_extract
+from ..sources.growing import append_load, create_store, read_grown
 from . import reports as R
 
 # name -> (report, reads the derived attempt_no, extract): "current" or "older" (P04).
@@ -113,4 +117,15 @@ def queries(params: Params = FIXTURE) -> dict[str, Callable[[SparkSession, str],
     def values(spark, sf_dir):
         return dictionary_values(raw_extract(spark, sf_dir), VALUE_COLUMNS)
 
-    return {name: make(name) for name in REPORTS} | {"data_dictionary": dictionary, "dictionary_values": values}
+    def from_loads(spark, sf_dir):
+        """The attempts of a store that grew by three loads, the last one of late attempts and untimed ones."""
+        raw = raw_extract(spark, sf_dir)
+        path = f"{ensure_checkpoint_dir(spark)}/grown-{uuid.uuid4().hex}"
+        create_store(spark, path, params)
+        late = (F.col("event_id") % 10 == 3) | F.col("CALLPLACEDTIME").isNull()
+        first = F.substring("CALLPLACEDTIME", 1, 10) < F.lit(params.cut)
+        for name, load in (("before", ~late & first), ("since", ~late & ~first), ("late", late)):
+            append_load(raw.where(load), path, params, name)
+        return read_grown(spark, path, params)
+
+    return {name: make(name) for name in REPORTS} | {"attempts_from_loads": from_loads} | {"data_dictionary": dictionary, "dictionary_values": values}

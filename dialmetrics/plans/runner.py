@@ -2,12 +2,13 @@
 
     python -m dialmetrics.plans.runner --sql extract.sql --out /shared/reports
     python -m dialmetrics.plans.runner --parquet /shared/extract --store /shared/attempts --out ...
+    python -m dialmetrics.plans.runner --parquet /shared/2018-03-12 --grow /shared/growing --load 2018-03-12 --out ...
     python -m dialmetrics.plans.runner --tables /root/testdata/sf0.01 --params fixture --out ...
     python -m dialmetrics.plans.runner --views /root/testdata/sf0.01 --sql examples/fixture_extract.sql \
         --params fixture --out ...
 
 The extract is derived once (and, with ``--store``, landed partitioned by date
-and read back), then each report is written to ``<out>/<report name>`` as CSV
+and read back; with ``--grow``, appended to a growing store as one load), then each report is written to ``<out>/<report name>`` as CSV
 (header, missing as ``NA``) or parquet. Report names are those of ``REPORTS``.
 """
 
@@ -22,6 +23,7 @@ from ..params import FIXTURE, REFERENCE, Params
 from ..session import with_profile
 from ..sources.extract import load_extract_jdbc, load_extract_parquet, load_extract_sql, read_sql_file
 from ..sources.fixture import raw_extract
+from ..sources.growing import BUCKETS, append_load, create_store, has_store, read_grown
 from ..sources.sinks import write_report
 from ..sources.store import read_attempts, write_attempts
 from .registry import REPORTS
@@ -95,6 +97,11 @@ def _attempts(spark: SparkSession, args, params: Params) -> tuple[DataFrame, Dat
         older = derive_attempts(raw_extract(spark, args.tables, min_acctbal=0, with_length=False), params)
     else:
         raw = _load(spark, args, args.sql, args.parquet)
+    if args.grow:
+        if not has_store(spark, args.grow):
+            create_store(spark, args.grow, params, args.buckets)
+        append_load(raw, args.grow, params, args.load, tuple(args.replaces))
+        return read_grown(spark, args.grow, params), older
     attempts = derive_attempts(raw, params)
     if args.store:
         write_attempts(attempts, args.store)
@@ -123,10 +130,17 @@ def main(argv=None) -> None:
     ap.add_argument("--set", action="append", default=[], metavar="NAME=VALUE",
                     help="override a report parameter, e.g. --set cut=2018-03-12 --set months=2,3,4")
     ap.add_argument("--store", help="land the attempts table here first and read it back")
+    ap.add_argument("--grow", help="append the extract to this growing store and report on all of it")
+    ap.add_argument("--load", help="the load's name in the growing store; a name that it holds is not loaded again")
+    ap.add_argument("--replaces", action="append", default=[], metavar="DAY",
+                    help="a day (yyyy-mm-dd) whose earlier rows the load replaces (repeatable)")
+    ap.add_argument("--buckets", type=int, default=BUCKETS, help="buckets of cases of a new growing store")
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", choices=["csv", "parquet"], default="csv")
     ap.add_argument("--report", action="append", help="only these reports (repeatable)")
     args = ap.parse_args(argv)
+    if args.grow and (not args.load or args.store):
+        ap.error("--grow needs --load, and no --store")
     if args.jdbc_url and not args.sql:
         ap.error("--jdbc-url needs --sql")
     if args.jdbc_url and not args.one_task and None in (
@@ -138,7 +152,7 @@ def main(argv=None) -> None:
     if args.views:
         register_views(spark, args.views)
     params = (FIXTURE if args.params == "fixture" else REFERENCE).with_text(args.set)
-    if args.store:
+    if args.store or args.grow:
         params = params.with_(renumber_first_attempts=False)  # attempt_no is materialised
     attempts, older = _attempts(spark, args, params)
     for p in run_all(attempts, params, args.out, args.format, older, args.report):
