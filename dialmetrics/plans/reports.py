@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from ..operators import derive as D
 from ..operators.metrics import (
-    BENEFIT_RATIOS, benefit, benefit_grain, benefit_sets, contact_sale_rates, count_rows, talk_time,
-    with_rates,
+    BENEFIT_RATIOS, benefit, benefit_grain, benefit_ratios, benefit_sets, contact_sale_rates, count_rows, rows_in,
+    talk_time, total, with_rates,
 )
 from ..operators.numbering import first_attempts, number_attempts, time_order
 from ..functions.codes import CODE_CATEGORY
@@ -93,33 +93,31 @@ def extremes(df: DataFrame, p: Params) -> DataFrame:
 
 # -- benefit tracking (A05) ---------------------------------------------------------------
 
-# P02 and P05 are one GROUPING SETS aggregation over all attempts; P07-P09 one
-# over the period's attempts. The results are a handful of rows, shared by the
-# reports of each family. P03 and P04 filter first and group by one key set; P06
-# has no key, and a row also where there are no attempts.
-_ALL_GRAINS = [["segs"], ["pilot_cat"]]
-_WEEK_GRAINS = [["segs", "placed_week", "dialer_tweak"], ["pilot_cat", "placed_week"], ["placed_week"]]
+# P02, P03 and P05-P09 come from one read of the attempts: all their key sets in one
+# aggregation, distinct cases merged from bitmaps (``benefit_sets``). The result is a
+# handful of rows, shared by the family. ``_period`` is T as a key.
+_GRAINS = {"segs": ["segs"], "cat": ["pilot_cat"], "total": [], "segs_week": ["segs", "placed_week"],
+           "t_segs_week": ["segs", "placed_week", "dialer_tweak", "_period"],
+           "t_cat_week": ["pilot_cat", "placed_week", "_period"], "t_week": ["placed_week", "_period"]}
 
 
-def _benefit_all(df: DataFrame, p: Params, i: int) -> DataFrame:
-    sets = _shared(df, p, "benefit_all", lambda: benefit_sets(df, _ALL_GRAINS))
-    return benefit_grain(sets, _ALL_GRAINS, i)
-
-
-def _benefit_weeks(df: DataFrame, p: Params, i: int) -> DataFrame:
-    sets = _shared(df, p, "benefit_weeks", lambda: benefit_sets(_tweak(df, p), _WEEK_GRAINS))
-    return benefit_grain(sets, _WEEK_GRAINS, i)
+def _benefit(df: DataFrame, p: Params, grain: str) -> DataFrame:
+    grains = list(_GRAINS.values())
+    sets = _shared(df, p, "benefit", lambda: benefit_sets(
+        df.withColumn("_period", F.coalesce(F.col("placed_date") >= F.lit(p.cut).cast("date"), F.lit(False))), grains))
+    picked = benefit_grain(sets, grains, list(_GRAINS).index(grain))
+    return picked.where("_period").drop("_period") if "_period" in picked.columns else picked
 
 
 def benefit_segs(df: DataFrame, p: Params) -> DataFrame:
     """P02."""
-    return _benefit_all(df, p, 0)
+    return _benefit(df, p, "segs")
 
 
 def benefit_segs_weeks(df: DataFrame, p: Params) -> DataFrame:
     """Ratios per segment and week, long by ratio, wide by week."""
-    chosen = df.where((F.col("placed_week") > p.week_floor) & F.col("segs").isin(*p.segments))
-    b = benefit(chosen, ["segs", "placed_week"]).select("segs", "placed_week", *BENEFIT_RATIOS)
+    chosen = (F.col("placed_week") > p.week_floor) & F.col("segs").isin(*p.segments)
+    b = _benefit(df, p, "segs_week").where(chosen).select("segs", "placed_week", *BENEFIT_RATIOS)
     long = to_long(b, BENEFIT_RATIOS, "key", "value")
     weeks = None if p.week_columns is None else [w for w in p.week_columns if w > p.week_floor]
     return to_wide(long, "placed_week", "value", weeks)
@@ -127,12 +125,16 @@ def benefit_segs_weeks(df: DataFrame, p: Params) -> DataFrame:
 
 def benefit_cat(df: DataFrame, p: Params) -> DataFrame:
     """P05."""
-    return _benefit_all(df, p, 1)
+    return _benefit(df, p, "cat")
 
 
 def benefit_total(df: DataFrame, p: Params) -> DataFrame:
-    """P06 as intended: one overall row."""
-    return benefit(df, [])
+    """P06 as intended: one overall row, of zeros where there are no attempts."""
+    one = _benefit(df, p, "total").agg(F.count(F.lit(1)).alias("n"), *[
+        F.max(c).alias(c) for c in ("records", "attempts", "contacts", "sales")])
+    none = F.col("n") == 0
+    return benefit_ratios(one.select(*[F.when(none, F.lit(0).cast("long")).otherwise(F.col(c)).alias(c)
+                                       for c in ("records", "attempts", "contacts", "sales")]))
 
 
 def benefit_case(df: DataFrame, p: Params) -> DataFrame:
@@ -142,17 +144,17 @@ def benefit_case(df: DataFrame, p: Params) -> DataFrame:
 
 def benefit_segs_week_long(df: DataFrame, p: Params) -> DataFrame:
     """T; per segment, week and period; the four ratios long as metric/value."""
-    return to_long(_benefit_weeks(df, p, 0), BENEFIT_RATIOS, "metric", "value")
+    return to_long(_benefit(df, p, "t_segs_week"), BENEFIT_RATIOS, "metric", "value")
 
 
 def benefit_cat_week_long(df: DataFrame, p: Params) -> DataFrame:
     """P08."""
-    return to_long(_benefit_weeks(df, p, 1), BENEFIT_RATIOS, "metric", "value")
+    return to_long(_benefit(df, p, "t_cat_week"), BENEFIT_RATIOS, "metric", "value")
 
 
 def benefit_week_long(df: DataFrame, p: Params) -> DataFrame:
     """Positions 7:9 of the original take three ratios; conversion stays a column."""
-    return to_long(_benefit_weeks(df, p, 2), ["sales_to_dials", "sales_to_connects", "avg_dials"],
+    return to_long(_benefit(df, p, "t_week"), ["sales_to_dials", "sales_to_connects", "avg_dials"],
                    "metric", "value")
 
 
@@ -345,8 +347,8 @@ def _profile(df: DataFrame, p: Params) -> DataFrame:
     birth-date flag, customer attribute, contact and sale (all rows, no period
     filter): one read of the attempts for the three."""
     keys = ["segs", "no_birth", "customer_att", "is_contact", "is_sale"]
-    return _shared(df, p, "profile_counts", lambda: count_rows(
-        df.withColumn("no_birth", D.birth_missing("date_of_birth")), keys, "n"))
+    flagged = df if "no_birth" in df.columns else df.withColumn("no_birth", D.birth_missing("date_of_birth"))
+    return _shared(df, p, "profile_counts", lambda: count_rows(flagged, keys, "n"))
 
 
 def att_contact(df: DataFrame, p: Params) -> DataFrame:
@@ -500,7 +502,7 @@ def month_compare(df: DataFrame, p: Params) -> DataFrame:
     sel = df.where(F.col("placed_month").isin(*p.months))
     return sel.groupBy("placed_month").agg(
         S.r_n_distinct("customer").alias("records"),
-        F.count(F.lit(1)).alias("attempts"),
-        S.r_sum("is_contact").alias("effectieven"),
-        S.r_sum("is_sale").alias("positieven"),
+        rows_in(sel).alias("attempts"),
+        total(sel, "is_contact").alias("effectieven"),
+        total(sel, "is_sale").alias("positieven"),
     )

@@ -26,6 +26,7 @@ from ..sources.fixture import raw_extract
 from ..sources.growing import BUCKETS, append_load, create_store, has_store, read_grown
 from ..sources.sinks import write_report
 from ..sources.store import read_attempts, write_attempts
+from .lattice import Lattice
 from .registry import REPORTS
 from .reports import shared_aggregates
 
@@ -35,14 +36,16 @@ def run_all(attempts: DataFrame, params: Params, out_root: str, fmt: str = "csv"
     """Write every report (or ``names``) computed from ``attempts``.
 
     ``older`` is the second extract's attempts table for P04; without it that
-    report is skipped. Aggregates shared by reports are cached for this run only.
+    report is skipped. Additive reports share bases (lattice.py); these and other shared
+    aggregates are cached for this run only.
     """
     written = []
-    with shared_aggregates():
-        for name, (fn, _numbered, extract) in REPORTS.items():
-            if names and name not in names:
-                continue
-            src = older if extract == "older" else attempts
+    chosen = [n for n in REPORTS if not names or n in names]
+    current = [n for n in chosen if REPORTS[n][2] == "current"]
+    with shared_aggregates(), Lattice(attempts, current) as bases:
+        for name in chosen:
+            fn, _numbered, extract = REPORTS[name]
+            src = older if extract == "older" else bases.source(name)
             if src is None:
                 continue
             path = f"{out_root.rstrip('/')}/{name}"
