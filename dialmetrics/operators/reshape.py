@@ -21,15 +21,16 @@ def to_long(df: DataFrame, value_cols, key: str = "key", value: str = "value") -
 
 
 def to_wide(df: DataFrame, key: str, value: str, values, names=None,
-            check_unique: bool = False, others: str = "raise") -> DataFrame:
+            check_unique: bool = True, others: str = "raise") -> DataFrame:
     """G02 (``spread``): one column per key value, other columns are row keys.
 
     ``values`` are the key values to turn into columns, in output order; cells
     without a row stay null. ``values=None`` takes the values present in the
     data, as ``spread`` does (one small extra job; the schema then follows the data).
     A key value outside a given list fails the job (``others="raise"``), so that no
-    cell is lost unseen; ``others="drop"`` leaves such rows out. ``names`` renames the new columns (R02). With
-    ``check_unique`` a cell fed by two rows raises, as ``spread`` does (G03).
+    cell is lost unseen; ``others="drop"`` leaves such rows out. ``names`` renames the new
+    columns (R02). A cell fed by two rows fails the job, as in ``spread`` (G03): each cell
+    counts its rows in the aggregation that fills it (``check_unique=False``: the larger value).
     """
     rest = [c for c in df.columns if c not in (key, value)]
     if values is None:
@@ -40,16 +41,19 @@ def to_wide(df: DataFrame, key: str, value: str, values, names=None,
         stray = F.concat(F.lit(f"to_wide: {key} has a value outside the list: "), F.col(key).cast("string"))
         df = df.withColumn(key, F.when(known, F.col(key)).otherwise(F.raise_error(stray).cast(kind)))
     names = list(names) if names is not None else [str(v) for v in values]
-    kcol = F.col(key)
-    if check_unique:
-        dup = (df.groupBy(*rest, key).agg(F.count(F.lit(1)).alias("_n"))
-               .where(F.col("_n") > 1).limit(1).count())
-        if dup:
-            raise ValueError(f"to_wide: several rows share one cell of key {key!r}")
-    aggs = [F.max(F.when(kcol == F.lit(v), F.col(value))).alias(n) for v, n in zip(values, names)]
-    if not aggs:  # no key values: only the row keys remain
+    kind = df.schema[value].dataType
+
+    def cell(v):
+        here = F.col(key) == F.lit(v)
+        most = F.max(F.when(here, F.col(value)))
+        if not check_unique:
+            return most
+        twice = F.raise_error(F.lit(f"to_wide: several rows share one cell of {key} = {v}")).cast(kind)
+        return F.when(F.count(F.when(here, 1)) > 1, twice).otherwise(most)
+
+    if not values:      # only the row keys remain
         return df.select(*rest).distinct()
-    return df.groupBy(*rest).agg(*aggs)
+    return df.groupBy(*rest).agg(*[cell(v).alias(n) for v, n in zip(values, names)])
 
 
 def to_wide_coded(df: DataFrame, key: str, value: str, values, names, codes) -> DataFrame:

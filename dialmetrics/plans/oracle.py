@@ -256,6 +256,18 @@ GROUP BY segs, id HAVING count(*) > {p.extreme_attempts}""", p)
 
     q["benefit_segs_weeks"] = segs_weeks(False)
     q["benefit_segs_weeks_v1"] = segs_weeks(True)
+
+    def segs_weeks_long(older: bool) -> str:
+        return _q([("b", _benefit(["segs", "placed_week"], f"placed_week > {p.week_floor} AND segs IN ({segs_in})"))],
+                  _long("b", ["segs", "placed_week"], RATIOS, "key", "value"), p, older)
+
+    q["benefit_segs_weeks_diff"] = f"""WITH c AS ({segs_weeks_long(False)}), o AS ({segs_weeks_long(True)})
+SELECT coalesce(c.segs, o.segs) AS segs, coalesce(c.placed_week, o.placed_week) AS placed_week,
+  coalesce(c.key, o.key) AS key, c.value AS current, o.value AS older, c.value - o.value AS delta,
+  CASE WHEN o.key IS NULL THEN 'only current' WHEN c.key IS NULL THEN 'only older'
+    WHEN c.value IS NOT DISTINCT FROM o.value THEN 'same' ELSE 'changed' END AS status
+FROM c FULL OUTER JOIN o ON c.segs IS NOT DISTINCT FROM o.segs
+  AND c.placed_week IS NOT DISTINCT FROM o.placed_week AND c.key = o.key"""
     q["benefit_cat"] = _q([], _benefit(["pilot_cat"]), p)
     q["benefit_total"] = _q([], _benefit([]), p)
     q["benefit_case"] = _q([], _benefit(["id"]), p)

@@ -17,7 +17,7 @@ from ..sources.fixture import raw_extract
 from ..sources.growing import append_load, create_store, read_grown
 from . import reports as R
 
-# name -> (report, reads the derived attempt_no, extract): "current" or "older" (P04).
+# name -> (report, reads the derived attempt_no, extract): "current", "older" (P04) or "both".
 # First-k reports number their own first attempts (``first_attempts``), so they
 # do not need the full numbering of the attempts table.
 REPORTS: dict[str, tuple[Callable, bool, str]] = {
@@ -26,6 +26,7 @@ REPORTS: dict[str, tuple[Callable, bool, str]] = {
     "benefit_segs": (R.benefit_segs, False, "current"),
     "benefit_segs_weeks": (R.benefit_segs_weeks, False, "current"),
     "benefit_segs_weeks_v1": (R.benefit_segs_weeks, False, "older"),
+    "benefit_segs_weeks_diff": (R.benefit_segs_weeks_diff, False, "both"),
     "benefit_cat": (R.benefit_cat, False, "current"),
     "benefit_total": (R.benefit_total, False, "current"),
     "benefit_case": (R.benefit_case, False, "current"),
@@ -104,6 +105,8 @@ def load_attempts(spark: SparkSession, sf_dir: str, params: Params = FIXTURE,
 
 def run_report(name: str, spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
     fn, numbered, extract = REPORTS[name]
+    if extract == "both":
+        return fn(*[load_attempts(spark, sf_dir, params, x, numbered) for x in ("current", "older")], params)
     return fn(load_attempts(spark, sf_dir, params, extract, numbered), params)
 
 

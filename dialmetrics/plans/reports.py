@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..operators import derive as D
+from ..operators.difference import difference
 from ..operators.metrics import (
     BENEFIT_RATIOS, benefit, benefit_grain, benefit_ratios, benefit_sets, contact_sale_rates, count_rows, rows_in,
     talk_time, total, with_rates,
@@ -114,13 +115,23 @@ def benefit_segs(df: DataFrame, p: Params) -> DataFrame:
     return _benefit(df, p, "segs")
 
 
-def benefit_segs_weeks(df: DataFrame, p: Params) -> DataFrame:
-    """Ratios per segment and week, long by ratio, wide by week."""
+def _segs_weeks_long(df: DataFrame, p: Params) -> DataFrame:
+    """``segs, placed_week, key, value``: P03 before it is made wide."""
     chosen = (F.col("placed_week") > p.week_floor) & F.col("segs").isin(*p.segments)
     b = _benefit(df, p, "segs_week").where(chosen).select("segs", "placed_week", *BENEFIT_RATIOS)
-    long = to_long(b, BENEFIT_RATIOS, "key", "value")
+    return to_long(b, BENEFIT_RATIOS, "key", "value")
+
+
+def benefit_segs_weeks(df: DataFrame, p: Params) -> DataFrame:
+    """Ratios per segment and week, long by ratio, wide by week."""
     weeks = None if p.week_columns is None else [w for w in p.week_columns if w > p.week_floor]
-    return to_wide(long, "placed_week", "value", weeks)
+    return to_wide(_segs_weeks_long(df, p), "placed_week", "value", weeks)
+
+
+def benefit_segs_weeks_diff(df: DataFrame, older: DataFrame, p: Params) -> DataFrame:
+    """P03 against P04: what the newer extract changes, per segment, week and ratio."""
+    return difference(_segs_weeks_long(df, p), _segs_weeks_long(older, p), ["segs", "placed_week", "key"],
+                      names=("current", "older"))
 
 
 def benefit_cat(df: DataFrame, p: Params) -> DataFrame:

@@ -35,8 +35,8 @@ def run_all(attempts: DataFrame, params: Params, out_root: str, fmt: str = "csv"
             older: DataFrame | None = None, names=None) -> list[str]:
     """Write every report (or ``names``) computed from ``attempts``.
 
-    ``older`` is the second extract's attempts table for P04; without it that
-    report is skipped. Additive reports share bases (lattice.py); these and other shared
+    ``older`` is the second extract's attempts table for P04 and the difference to it;
+    without it those reports are skipped. Additive reports share bases (lattice.py); these and other shared
     aggregates are cached for this run only.
     """
     written = []
@@ -45,11 +45,11 @@ def run_all(attempts: DataFrame, params: Params, out_root: str, fmt: str = "csv"
     with shared_aggregates(), Lattice(attempts, current) as bases:
         for name in chosen:
             fn, _numbered, extract = REPORTS[name]
-            src = older if extract == "older" else bases.source(name)
-            if src is None:
+            sources = {"older": [older], "both": [attempts, older]}.get(extract) or [bases.source(name)]
+            if any(s is None for s in sources):
                 continue
             path = f"{out_root.rstrip('/')}/{name}"
-            write_report(fn(src, params), path, fmt=fmt)
+            write_report(fn(*sources, params), path, fmt=fmt)
             written.append(path)
     return written
 

@@ -4,7 +4,7 @@
 either the range (variable type 0) or the exact number of distinct values (type
 1). ``dictionary_values``: the values of the type-1 columns, one row each with
 its count; all of them, so a column of many values makes a long table and no
-column's values meet in one place. Both are plain aggregations.
+column's values meet in one place. Both are aggregations over one read of the table.
 """
 
 from __future__ import annotations
@@ -62,28 +62,33 @@ def data_dictionary(df: DataFrame, descriptions=None, var_types=None) -> DataFra
     var_types = _by_column(var_types, cols, "var_types")
     kinds = {c: int(var_types.get(c, 0)) for c in cols}
     dtypes = dict(df.dtypes)
+    shown, ranged = [c for c in cols if kinds[c] == 1], [c for c in cols if kinds[c] != 1]
 
-    # one pass: missing count, min and max (as text) of every column
-    aggs = []
-    for c in cols:
-        aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}__na"),
-                 F.min(F.col(c)).cast("string").alias(f"{c}__min"),
-                 F.max(F.col(c)).cast("string").alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    stats = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("variable_name"), F.col(f"{c}__na").alias("n_missing"),
-                 F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
-        for c in cols])).alias("s")).select("s.*")
-
-    shown = [c for c in cols if kinds[c] == 1]
-    if shown:
-        distinct = dictionary_values(df, shown).groupBy("variable_name").agg(F.count(F.lit(1)).alias("n_distinct"))
-    else:
-        distinct = spark.createDataFrame([], "variable_name string, n_distinct long")
+    # One read: a row becomes one (column, value) for each column shown by its values, and one
+    # that carries the columns shown by their range. One aggregation counts the former and
+    # takes missing count, min and max of the latter, combined map-side.
+    kind = "struct<variable_name:string,value:string,ranged:boolean>"
+    parts = [F.struct(F.lit(c).alias("variable_name"), F.col(c).cast("string").alias("value"), F.lit(False).alias("ranged"))
+             for c in shown]
+    parts.append(F.struct(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(True)).cast(kind))
+    long = df.select(*ranged, F.explode(F.array(*parts)).alias("kv")).select(*ranged, "kv.*")
+    own = [F.when(F.col("ranged"), F.col(c)) for c in ranged]
+    groups = long.groupBy("variable_name", "value", "ranged").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[x for i, c in enumerate(own) for x in (F.count(c).alias(f"_k{i}"), F.min(c).cast("string").alias(f"_a{i}"),
+                                                 F.max(c).cast("string").alias(f"_z{i}"))])
+    # a group is one value of a column, or the row of all ranges
+    stat = "struct<variable_name:string,n_missing:bigint,n_distinct:bigint,min:string,max:string>"
+    of_value = F.array(F.struct(F.col("variable_name"), F.when(F.col("value").isNull(), F.col("_rows")).otherwise(0),
+                                F.lit(1).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("string")).cast(stat))
+    of_range = F.array(*[F.struct(F.lit(c), F.col("_rows") - F.col(f"_k{i}"), F.lit(None).cast("long"),
+                                  F.col(f"_a{i}"), F.col(f"_z{i}")).cast(stat) for i, c in enumerate(ranged)])
+    each = F.when(F.col("ranged"), of_range if ranged else F.array().cast(f"array<{stat}>")).otherwise(of_value)
+    stats = (groups.select(F.explode(each).alias("s")).select("s.*").groupBy("variable_name")
+             .agg(F.sum("n_missing").alias("n_missing"), F.sum("n_distinct").alias("n_distinct"),
+                  F.max("min").alias("min"), F.max("max").alias("max")))
     meta = spark.createDataFrame([(c, dtypes[c], descriptions.get(c), kinds[c]) for c in cols],
                                  "variable_name string, data_type string, description string, variable_type int")
-    out = meta.join(stats, "variable_name", "left").join(distinct, "variable_name", "left")
-    return out.select(
-        "variable_name", "data_type", "description", "variable_type", "n_missing", "n_distinct",
-        F.when(F.col("variable_type") == 0, F.col("min")).alias("min"),
-        F.when(F.col("variable_type") == 0, F.col("max")).alias("max"))
+    return (meta.join(stats, "variable_name", "left")
+            .withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))     # a table without rows
+            .select("variable_name", "data_type", "description", "variable_type", "n_missing", "n_distinct", "min", "max"))

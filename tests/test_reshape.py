@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from dialmetrics.operators.reshape import to_long, to_wide
@@ -20,8 +21,8 @@ def test_wide_missing_cells_stay_null_and_names(spark):
 
 def test_g03_two_rows_one_cell_raises(spark):
     df = spark.createDataFrame([("A", 1, 1.0), ("A", 1, 2.0)], "segs string, k int, v double")
-    with pytest.raises(ValueError):
-        to_wide(df, "k", "v", [1], check_unique=True)
+    with pytest.raises(PySparkException, match="share one cell"):
+        to_wide(df, "k", "v", [1]).collect()
 
 
 def test_long_mixed_types_become_double(spark):
@@ -104,3 +105,30 @@ def test_long_then_wide_gives_the_table_back(spark, rows):
     df = spark.createDataFrame(rows, "segs string, w int, x double, y double")
     back = to_wide(to_long(df, ["x", "y"], "key", "value"), "key", "value", ["x", "y"])
     assert sorted(map(tuple, back.select("segs", "w", "x", "y").collect()), key=str) == sorted(rows, key=str)
+
+
+def test_wide_reports_fail_on_doubled_cells_without_another_job(spark):
+    df = spark.createDataFrame([("A", 1, 1.0), ("A", 2, 2.0), ("A", 2, None)], "segs string, k int, v double")
+    wide = to_wide(df, "k", "v", [1, 2])        # nothing runs yet
+    assert wide._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 2
+    with pytest.raises(PySparkException, match="share one cell of k = 2"):
+        wide.collect()
+    assert [tuple(r) for r in to_wide(df, "k", "v", [1, 2], check_unique=False).collect()] == [("A", 1.0, 2.0)]
+    text = df.withColumn("v", df.v.cast("string"))
+    with pytest.raises(PySparkException, match="share one cell"):
+        to_wide(text, "k", "v", [1, 2]).collect()
+
+
+def test_difference_of_two_tables(spark):
+    from dialmetrics.operators.difference import difference
+
+    nan = float("nan")
+    a = spark.createDataFrame([("A", 1, 1.0), ("A", None, 2.0), (None, 1, None), ("C", 1, nan), ("E", 1, 5.0)], "s string, w int, value double")
+    b = spark.createDataFrame([("A", 1, 3.0), ("A", None, 2.0), (None, 1, None), ("C", 1, nan), ("I", 1, 1.0)], a.schema)
+    got = {(r.s, r.w): (r.new, r.old, r.delta, r.status) for r in difference(a, b, ["s", "w"], names=("new", "old")).collect()}
+    assert got[("A", 1)] == (1.0, 3.0, -2.0, "changed") and got[("A", None)] == (2.0, 2.0, 0.0, "same")
+    assert got[(None, 1)] == (None, None, None, "same") and got[("C", 1)][3] == "same"
+    assert got[("E", 1)] == (5.0, None, None, "only new") and got[("I", 1)] == (None, 1.0, None, "only old")
+    assert difference(a.limit(0), b.limit(0), ["s", "w"]).count() == 0
+    with pytest.raises(PySparkException, match="key twice"):
+        difference(a.unionByName(a.limit(1)), b, ["s", "w"]).collect()

@@ -72,8 +72,8 @@ def test_runner_writes_every_report(spark, tmp_path):
           "--report", "benefit_segs", "--report", "benefit_segs_weeks_v1", "--report", "talk_time_share"])
     assert sorted(os.listdir(out)) == ["benefit_segs", "benefit_segs_weeks_v1", "talk_time_share"]
     assert spark.read.parquet(os.path.join(out, "benefit_segs")).count() > 0
-    assert len(REPORTS) == 49
-    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached   # nothing stays cached
+    assert len(REPORTS) == 50
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= cached   # nothing stays cached
 
 
 def test_params_from_text():
