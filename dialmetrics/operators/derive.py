@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions import semantics as S
 from ..params import Params
+from .losses import LOST, lost_mask
 from .numbering import TIE_COLUMNS, number_attempts
 
 # Raw names -> report names.
@@ -57,8 +58,11 @@ def birth_missing(date_of_birth):
     return S.if_else_na(S._c(date_of_birth) == F.lit("--"), 1, 0, 0)
 
 
-def type_and_derive(raw: DataFrame, params: Params) -> DataFrame:
-    """Rename, type and add the calendar, period, group and code columns."""
+def type_and_derive(raw: DataFrame, params: Params, losses: bool = False) -> DataFrame:
+    """Rename, type and add the calendar, period, group and code columns; ``losses`` adds
+    the mask of texts that did not parse (``losses.lost_mask``)."""
+    if losses:
+        raw = raw.withColumn(LOST, lost_mask())
     df = raw.withColumnsRenamed(RENAMES)
     df = df.withColumns({
         "sub_start_date": S.parse_date("sub_start_date"),
@@ -81,14 +85,14 @@ def type_and_derive(raw: DataFrame, params: Params) -> DataFrame:
 
 
 def derive_attempts(raw: DataFrame, params: Params, numbered: bool = True,
-                    tie=TIE_COLUMNS) -> DataFrame:
+                    tie=TIE_COLUMNS, losses: bool = False) -> DataFrame:
     """The 24-column attempts table (plus tie-break columns present in ``raw``).
 
     ``numbered=False`` leaves the number out (null) for reports that do not read
     it or number their own first attempts: they then pay for no join or window.
     """
-    df = type_and_derive(raw, params)
-    extra = [t for t in tie if t in df.columns]
+    df = type_and_derive(raw, params, losses)
+    extra = [t for t in tie if t in df.columns] + [LOST] * losses
     if numbered:
         df = number_attempts(df, "id", "placed_time", tie=tie, out="attempt_no", missing="null")
     else:

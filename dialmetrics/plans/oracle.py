@@ -443,6 +443,23 @@ FROM s1""", p)
   {_rsum('is_contact')} AS effectieven, {_rsum('is_sale')} AS positieven
 FROM attempts WHERE placed_month IN ({months}) GROUP BY placed_month""", p)
 
+    # texts that do not parse
+    def lost(name: str, raw: str, parsed: str) -> str:
+        return (f"SELECT '{name}' AS variable_name, count({raw}) AS texts, "
+                f"count(*) FILTER ({raw} IS NOT NULL AND {parsed} IS NULL) AS lost FROM raw")
+
+    def dated(raw: str, *formats: str) -> str:
+        return "coalesce(" + ", ".join(f"try_strptime({raw}, '{f}')" for f in formats) + ")"
+
+    q["parse_losses"] = _q([], "\nUNION ALL\n".join([
+        lost("sub_start_date", "SUB_START_DATE", dated("SUB_START_DATE", "%Y-%m-%d", "%Y/%m/%d", "%Y%m%d")),
+        lost("placed_time", "CALLPLACEDTIME", dated("CALLPLACEDTIME", "%Y-%m-%d %H:%M:%S")),
+        lost("answered_time", "CALLANSWEREDTIME", dated("CALLANSWEREDTIME", "%Y-%m-%d %H:%M:%S")),
+        lost("is_contact", "ISCONTACT", "TRY_CAST(trunc(TRY_CAST(ISCONTACT AS DOUBLE)) AS INTEGER)"),
+        lost("is_sale", "IS_SALE", "TRY_CAST(trunc(TRY_CAST(IS_SALE AS DOUBLE)) AS INTEGER)"),
+        lost("date_of_birth", "DATE_OF_BIRTH", dated("DATE_OF_BIRTH", "%d-%m-%Y", "%d/%m/%Y", "%d%m%Y")),
+    ]), p)
+
     # the dictionary of the raw extract
     cols = list(DESCRIPTIONS)
     stats = "\nUNION ALL\n".join(f"""SELECT '{c}' AS variable_name, '{DESCRIPTIONS[c]}' AS description,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.derive import derive_attempts
+from ..operators.losses import loss_report
 from ..params import FIXTURE, Params
 from ..session import ensure_checkpoint_dir
 from ..sources.dictionary import DESCRIPTIONS, VALUE_COLUMNS, data_dictionary, dictionary_values
@@ -131,4 +132,7 @@ def queries(params: Params = FIXTURE) -> dict[str, Callable[[SparkSession, str],
             append_load(raw.where(load), path, params, name)
         return read_grown(spark, path, params)
 
-    return {name: make(name) for name in REPORTS} | {"attempts_from_loads": from_loads} | {"data_dictionary": dictionary, "dictionary_values": values}
+    def parse_losses(spark, sf_dir):
+        return loss_report(raw_extract(spark, sf_dir))
+
+    return {name: make(name) for name in REPORTS} | {"attempts_from_loads": from_loads, "parse_losses": parse_losses} | {"data_dictionary": dictionary, "dictionary_values": values}

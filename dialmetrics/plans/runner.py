@@ -19,11 +19,12 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.derive import derive_attempts
+from ..operators.losses import loss_report
 from ..params import FIXTURE, REFERENCE, Params
 from ..session import with_profile
 from ..sources.extract import load_extract_jdbc, load_extract_parquet, load_extract_sql, read_sql_file
 from ..sources.fixture import raw_extract
-from ..sources.growing import BUCKETS, append_load, create_store, has_store, read_grown
+from ..sources.growing import BUCKETS, append_load, create_store, has_store, load_losses, read_grown
 from ..sources.sinks import write_report
 from ..sources.store import read_attempts, write_attempts
 from .lattice import Lattice
@@ -92,7 +93,9 @@ def _load(spark: SparkSession, args, sql: str | None, parquet: str | None) -> Da
 
 
 def _attempts(spark: SparkSession, args, params: Params) -> tuple[DataFrame, DataFrame | None]:
+    """The attempts and the older extract's; what typing lost is written as report ``parse_losses``."""
     older = None
+    losses = f"{args.out.rstrip('/')}/parse_losses"
     if args.older_sql or args.older_parquet:
         older = derive_attempts(_load(spark, args, args.older_sql, args.older_parquet), params)
     if args.tables:
@@ -104,12 +107,16 @@ def _attempts(spark: SparkSession, args, params: Params) -> tuple[DataFrame, Dat
         if not has_store(spark, args.grow):
             create_store(spark, args.grow, params, args.buckets)
         append_load(raw, args.grow, params, args.load, tuple(args.replaces))
+        write_report(load_losses(spark, args.grow), losses, fmt=args.format)
         return read_grown(spark, args.grow, params), older
-    attempts = derive_attempts(raw, params)
     if args.store:
-        write_attempts(attempts, args.store)
-        attempts = read_attempts(spark, args.store)
-    return attempts, older
+        found = write_attempts(derive_attempts(raw, params, losses=True), args.store)
+        rows = [(c, *n) for c, n in found.items()]
+        write_report(spark.createDataFrame(rows, "variable_name string, texts long, lost long"), losses, fmt=args.format)
+        return read_attempts(spark, args.store), older
+    if not args.report:     # nothing is landed: counted by an aggregation of its own
+        write_report(loss_report(raw), losses, fmt=args.format)
+    return derive_attempts(raw, params), older
 
 
 def main(argv=None) -> None:

@@ -44,10 +44,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.derive import ATTEMPT_COLUMNS, type_and_derive
+from ..operators.losses import LOST
 from ..operators.numbering import SLOT_KEYS, count_slots, number_attempts, with_before
 from ..params import Params
 from .extract import conform_extract
-from .store import ATTEMPTS_SCHEMA
+from .store import ATTEMPTS_SCHEMA, write_attempts
 
 RULES_VERSION = 1           # of the row-wise derivation; another one cannot be mixed into a store
 BUCKETS = 64                # of cases
@@ -62,7 +63,7 @@ class Snapshot:
     control_segments: tuple
     rules: int
     versions: tuple         # by bucket: the load that wrote its offsets, 0 for none
-    loads: tuple = ()       # (load, name, days that a later load replaced)
+    loads: tuple = ()       # (load, name, days that a later load replaced, (column, texts, lost) of its typing)
 
     @property
     def version(self) -> int:
@@ -102,11 +103,17 @@ def snapshot(spark: SparkSession, path: str) -> Snapshot:
     names = sorted(s.getPath().toString() for s in store.listStatus(folder) if not s.getPath().getName().startswith("_"))
     held = json.loads(spark.read.text(names[-1], wholetext=True).first()[0])
     return Snapshot(held["cut"], tuple(held["control_segments"]), held["rules"], tuple(held["versions"]),
-                    tuple((v, n, tuple(d)) for v, n, d in held["loads"]))
+                    tuple((v, n, tuple(d), tuple(map(tuple, x))) for v, n, d, x in held["loads"]))
 
 
 def load_names(spark: SparkSession, path: str) -> list[str]:
-    return [n for _, n, _ in snapshot(spark, path).loads]
+    return [n for _, n, *_ in snapshot(spark, path).loads]
+
+
+def load_losses(spark: SparkSession, path: str) -> DataFrame:
+    """``load, variable_name, texts, lost``: what typing lost in each load."""
+    rows = [(n, *x) for _, n, _, found in snapshot(spark, path).loads for x in found]
+    return spark.createDataFrame(rows, "load string, variable_name string, texts long, lost long")
 
 
 def has_store(spark: SparkSession, path: str) -> bool:
@@ -124,11 +131,11 @@ def create_store(spark: SparkSession, path: str, params: Params, buckets: int =
 # ---- reading
 
 def _rows(spark: SparkSession, path: str, snap: Snapshot) -> DataFrame:
-    folders = [f"{path}/rows/load={v}" for v, _, _ in snap.loads]
+    folders = [f"{path}/rows/load={v}" for v, *_ in snap.loads]
     if not folders:
         return spark.createDataFrame([], ROWS_SCHEMA)
     df = spark.read.schema(ROWS_SCHEMA).option("basePath", f"{path}/rows").parquet(*folders)
-    for v, _, days in snap.loads:       # partition filters
+    for v, _, days, _ in snap.loads:    # partition filters
         if days:
             gone = (F.col("load") == v) & F.col("placed_date").isin(*[F.lit(d).cast("date") for d in days])
             df = df.where(~F.coalesce(gone, F.lit(False)))
@@ -158,12 +165,6 @@ def read_grown(spark: SparkSession, path: str, params: Params, numbered: bool =
 
 # ---- loading
 
-def _write_rows(df: DataFrame, folder: str) -> None:
-    order = ["placed_date", "id", "placed_time", "event_id"]
-    (df.repartitionByRange(*order).sortWithinPartitions(*order)
-     .write.mode("overwrite").partitionBy("placed_date").parquet(folder))
-
-
 def append_load(raw: DataFrame, path: str, params: Params, name: str, replaces: Sequence[str] = ()) -> Snapshot:
     """Append a raw extract as one load; ``replaces`` names days (``yyyy-mm-dd``) whose earlier rows it stands for.
 
@@ -172,16 +173,16 @@ def append_load(raw: DataFrame, path: str, params: Params, name: str, replaces:
     spark = raw.sparkSession
     snap = snapshot(spark, path)
     snap.check(params)
-    if any(n == name for _, n, _ in snap.loads):
+    if any(n == name for _, n, *_ in snap.loads):
         return snap
     v, buckets = snap.version + 1, len(snap.versions)
-    typed = type_and_derive(conform_extract(raw), params)
+    typed = type_and_derive(conform_extract(raw), params, losses=True)
     if "event_id" not in typed.columns:
         typed = typed.withColumn("event_id", F.lit(None).cast("long"))
     own = [f.name for f in ROWS_SCHEMA.fields if f.name != "load"]
-    _write_rows(typed.select(*own), f"{path}/rows/load={v}")
+    lost = write_attempts(typed.select(*own, LOST), f"{path}/rows/load={v}")
     days = tuple(sorted(replaces))
-    landed = _rows(spark, path, replace(snap, loads=((v, name, ()),)))      # as stored: later steps see the same rows
+    landed = _rows(spark, path, replace(snap, loads=((v, name, (), ()),)))      # as stored: later steps see the same rows
     added = count_slots(landed.where(F.col("placed_time").isNotNull()))
     if days:
         stale = _rows(spark, path, snap).where(F.col("placed_date").isin(*[F.lit(d).cast("date") for d in days]))
@@ -198,7 +199,7 @@ def append_load(raw: DataFrame, path: str, params: Params, name: str, replaces:
     kept = {r.bucket for r in spark.read.schema(HOURS_SCHEMA).option("basePath", f"{path}/hours")
             .parquet(f"{path}/hours/load={v}").select("bucket").distinct().collect()}
     versions = tuple((v if b in kept else 0) if b in set(touched) else old for b, old in enumerate(snap.versions))
-    earlier = tuple((n, label, tuple(sorted({*gone, *days}))) for n, label, gone in snap.loads)
-    grown = replace(snap, versions=versions, loads=(*earlier, (v, name, ())))
+    earlier = tuple((n, label, tuple(sorted({*gone, *days})), x) for n, label, gone, x in snap.loads)
+    grown = replace(snap, versions=versions, loads=(*earlier, (v, name, (), tuple((c, *n) for c, n in lost.items()))))
     _publish(spark, path, grown)
     return grown

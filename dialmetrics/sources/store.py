@@ -14,10 +14,12 @@ rows, each task writes few date folders, and files are sorted by case id
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.losses import LOST, losses_of, observed
+
 ATTEMPTS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("customer", T.LongType()),
@@ -48,19 +50,26 @@ ATTEMPTS_SCHEMA = T.StructType([
 
 
 def write_attempts(df: DataFrame, path: str, rows_per_file: int = 5_000_000,
-                   num_partitions: int | None = None, mode: str = "overwrite") -> None:
-    """Land the attempts table partitioned by ``placed_date``."""
+                   num_partitions: int | None = None, mode: str = "overwrite") -> dict | None:
+    """Land the attempts table partitioned by ``placed_date``.
+
+    Of a table with the mask of lost texts (``derive_attempts(losses=True)``) the mask is
+    counted on the way and not written; returns (texts, lost) by column.
+    """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # range key ends in (time, tie) so even one hot case on one day is split
     order = [F.col("placed_date"), F.col("id"), F.col("placed_time")]
     order += [F.col(c) for c in ("event_id",) if c in df.columns]
-    (df.repartitionByRange(n, *order)
-       .sortWithinPartitions(*order)
-       .write.mode(mode)
-       .option("maxRecordsPerFile", rows_per_file)
-       .partitionBy("placed_date")
-       .parquet(path))
+    landed, counts = df.repartitionByRange(n, *order).sortWithinPartitions(*order), None
+    if LOST in df.columns:
+        counts = Observation()
+        landed = observed(landed, counts)
+    (landed.write.mode(mode)
+     .option("maxRecordsPerFile", rows_per_file)
+     .partitionBy("placed_date")
+     .parquet(path))
+    return losses_of(counts) if counts else None
 
 
 def read_attempts(spark: SparkSession, path: str) -> DataFrame:

@@ -131,3 +131,31 @@ def test_runner_grows_a_store(spark, raw, tmp_path):
     assert rows(spark.read.parquet(out + "/attempts")) == rows(load_attempts(spark, SF001, FIXTURE))
     with pytest.raises(SystemExit):
         main(["--parquet", "x", "--grow", store, "--out", out])
+
+
+def test_lost_texts_are_counted_where_they_are_written(spark, raw, tmp_path):
+    """Bad texts count once each, though the write's range partitioning reads its input twice."""
+    from dialmetrics.operators.derive import derive_attempts
+    from dialmetrics.operators.losses import PARSERS, loss_report
+    from dialmetrics.sources.growing import load_losses
+    from dialmetrics.sources.store import read_attempts, write_attempts
+
+    bad = raw.drop("day").withColumns({
+        "CALLPLACEDTIME": F.when(F.col("event_id") % 5 == 0, F.lit("yesterday")).otherwise(F.col("CALLPLACEDTIME")),
+        "IS_SALE": F.when(F.col("event_id") % 4 == 0, F.lit("yes")).otherwise(F.col("IS_SALE"))})
+    want = {r.variable_name: (r.texts, r.lost) for r in loss_report(bad).collect()}
+    ids = [r.event_id for r in raw.select("event_id").collect()]
+    assert want["is_sale"] == (len(ids), sum(i % 4 == 0 for i in ids)) and want["placed_time"][1] == sum(i % 5 == 0 for i in ids)
+    assert list(want) == list(PARSERS) and want["sub_start_date"][1] == 0 < want["date_of_birth"][1]
+    derived = derive_attempts(bad, FIXTURE, losses=True)
+    assert write_attempts(derived, str(tmp_path / "attempts"), num_partitions=3) == want
+    assert rows(read_attempts(spark, str(tmp_path / "attempts"))) == rows(derive_attempts(bad, FIXTURE))
+    path = str(tmp_path / "store")
+    create_store(spark, path, FIXTURE, buckets=2)
+    append_load(bad.where("event_id % 2 = 0"), path, FIXTURE, "even")
+    append_load(bad.where("event_id % 2 = 1"), path, FIXTURE, "odd")
+    append_load(bad.limit(0), path, FIXTURE, "none")
+    per_load = load_losses(spark, path).collect()
+    for name in PARSERS:
+        mine = [(r.texts, r.lost) for r in per_load if r.variable_name == name]
+        assert len(mine) == 3 and tuple(map(sum, zip(*mine))) == want[name] and mine[2] == (0, 0)
