@@ -76,6 +76,7 @@ def benefit_sets(df: DataFrame, grains, case: str = "id") -> DataFrame:
     value. ``_gid`` tells the sets apart (a missing key value stays distinct from a
     rolled-up column); pick one with ``benefit_grain``.
     """
+    grains = [list(g) for g in grains]
     cols = list(dict.fromkeys(c for g in grains for c in g))
     word, bit = F.shiftright(case, 6), (F.col(case).bitwiseAND(F.lit(63))).cast("int")
     fine = (df.withColumn("_word", word).groupBy(*cols, "_word")

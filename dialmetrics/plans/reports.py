@@ -57,12 +57,19 @@ def clear_shared() -> None:
     _SHARED.clear()
 
 
+# Whether the reports run as a pack: one that would filter before it aggregates, when it
+# runs alone, then takes its rows from the base that the others need anyway.
+_pack = [False]
+
+
 @contextmanager
 def shared_aggregates() -> Iterator[None]:
     """Reports computed inside share their aggregates; on leaving, none stays cached."""
+    before, _pack[0] = _pack[0], True
     try:
         yield
     finally:
+        _pack[0] = before
         clear_shared()
 
 
@@ -94,19 +101,22 @@ def extremes(df: DataFrame, p: Params) -> DataFrame:
 
 # -- benefit tracking (A05) ---------------------------------------------------------------
 
-# P02, P03 and P05-P09 come from one read of the attempts: all their key sets in one
-# aggregation, distinct cases merged from bitmaps (``benefit_sets``). The result is a
-# handful of rows, shared by the family. ``_period`` is T as a key.
+# P02 and P05-P09 (and, in a pack, P03) come from one read of the attempts: all their key
+# sets in one aggregation, distinct cases merged from bitmaps (``benefit_sets``). The result
+# is a handful of rows, shared by the family. ``_period`` is T as a key. P03 alone and P04
+# filter first and group once.
 _GRAINS = {"segs": ["segs"], "cat": ["pilot_cat"], "total": [], "segs_week": ["segs", "placed_week"],
            "t_segs_week": ["segs", "placed_week", "dialer_tweak", "_period"],
            "t_cat_week": ["pilot_cat", "placed_week", "_period"], "t_week": ["placed_week", "_period"]}
 
 
 def _benefit(df: DataFrame, p: Params, grain: str) -> DataFrame:
-    grains = list(_GRAINS.values())
-    sets = _shared(df, p, "benefit", lambda: benefit_sets(
-        df.withColumn("_period", F.coalesce(F.col("placed_date") >= F.lit(p.cut).cast("date"), F.lit(False))), grains))
-    picked = benefit_grain(sets, grains, list(_GRAINS).index(grain))
+    flagged = df if "placed_date" not in df.columns else df.withColumn(
+        "_period", F.coalesce(F.col("placed_date") >= F.lit(p.cut).cast("date"), F.lit(False)))
+    # the key sets that the frame's columns can give
+    grains = {n: g for n, g in _GRAINS.items() if set(g) <= set(flagged.columns) and (_pack[0] or n != "segs_week")}
+    sets = _shared(df, p, f"benefit {len(grains)}", lambda: benefit_sets(flagged, grains.values()))
+    picked = benefit_grain(sets, list(grains.values()), list(grains).index(grain))
     return picked.where("_period").drop("_period") if "_period" in picked.columns else picked
 
 
@@ -118,8 +128,8 @@ def benefit_segs(df: DataFrame, p: Params) -> DataFrame:
 def _segs_weeks_long(df: DataFrame, p: Params) -> DataFrame:
     """``segs, placed_week, key, value``: P03 before it is made wide."""
     chosen = (F.col("placed_week") > p.week_floor) & F.col("segs").isin(*p.segments)
-    b = _benefit(df, p, "segs_week").where(chosen).select("segs", "placed_week", *BENEFIT_RATIOS)
-    return to_long(b, BENEFIT_RATIOS, "key", "value")
+    b = _benefit(df, p, "segs_week").where(chosen) if _pack[0] else benefit(df.where(chosen), ["segs", "placed_week"])
+    return to_long(b.select("segs", "placed_week", *BENEFIT_RATIOS), BENEFIT_RATIOS, "key", "value")
 
 
 def benefit_segs_weeks(df: DataFrame, p: Params) -> DataFrame:

@@ -49,7 +49,7 @@ def test_bases_read_the_table_four_times_and_give_the_same_reports(spark, tmp_pa
             assert set(leaves(made)) == {"InMemoryRelation"}, n
             assert rows(made) == want[n], n
         read = [df for df, _ in R._SHARED.values() if df is stored]
-        assert len(bases.held) == 3 and len(read) == 1 and list(R._SHARED[id(stored)][1]) == [("benefit", STORED)]
+        assert len(bases.held) == 3 and len(read) == 1 and list(R._SHARED[id(stored)][1]) == [("benefit 7", STORED)]
     assert not bases.held
 
 

@@ -29,9 +29,9 @@ def test_scans_read_only_needed_columns(spark):
     # a standalone report: case id and segment only
     plan = _plan(registry.queries()["extremes"](spark, SF001))
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan
-    # a shared family (P02, P05): the union of what its members need, read once
+    # a shared family (P02, P05-P09): the union of what its members need, read once
     plan = _plan(registry.queries()["benefit_segs"](spark, SF001))
-    assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
 
 
 def test_first_k_reports_cut_cases_before_the_shuffle(spark):
