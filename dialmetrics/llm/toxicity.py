@@ -15,8 +15,9 @@ toxic 0.
 Fitting. The classifier is fitted on at most ``SAMPLE_ROWS`` labelled documents,
 those with the smallest hash of doc_id. Spark counts in how many of them each
 feature stands, by grade, and keeps those that part the grades by more than
-chance would, the ``FEATURES`` best of them at most; only their places, at most SAMPLE_ROWS * FEATURES numbers, come
-to the driver, where the likelihood is maximised. Scoring covers every document
+chance would, the ``FEATURES`` best of them at most; the tasks then pick these from the
+sample (its rows are kept in the checkpoint folder, so documents are read once), and only
+their places, at most SAMPLE_ROWS * FEATURES numbers, come to the driver, where the likelihood is maximised. Scoring covers every document
 and every word, as a map without shuffle; the model is FEATURES weights at most.
 
 Defined results: null and empty texts have no features (their severity is the
@@ -38,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .text import need, spare
 
 SAMPLE_ROWS = 10_000
@@ -148,24 +150,35 @@ def fit(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, most
               .withColumn("row", F.row_number().over(Window.orderBy("doc_id"))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # sample_rows rows of two numbers: bounded, so broadcast
-    rows = texts.join(F.broadcast(sample), "doc_id").select("row", "grade", "text")
+    ensure_checkpoint_dir(docs.sparkSession)
+    rows = texts.join(F.broadcast(sample), "doc_id").select("row", "grade", "text").checkpoint()
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, grade, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = features(text) | {"": 1.0}      # the empty word stands for the document itself
+                found = features(text)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row] * len(found), pa.int32()), pa.array([grade] * len(found), pa.int32()),
                     pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())],
                     names=["row", "grade", "word", "x"])
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries of the chosen features alone, by number; -1 stands for the document itself."""
+        for batch in batches:
+            for row, grade, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = {index[w]: x for w, x in features(text).items() if w in index} | {-1: 1.0}
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row] * len(found), pa.int32()), pa.array([grade] * len(found), pa.int32()),
+                    pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.float64())],
+                    names=["row", "grade", "i", "x"])
+
     held = (rows.mapInArrow(explode, "row int, grade int, word string, x double")
             .groupBy("row", "grade", "word").agg(F.max("x").alias("x")))
     per_word = held.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("grade").alias("g"), F.sum(F.col("grade") * F.col("grade")).alias("g2"),
-        F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("x2"), F.sum(F.col("x") * F.col("grade")).alias("xg"))
-    whole = per_word.where(F.col("word") == "").first()
-    if whole is None:
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("x2"), F.sum(F.col("x") * F.col("grade")).alias("xg"))
+    whole = (rows.select("row", "grade").distinct()
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("grade").alias("g"), F.sum(F.col("grade") * F.col("grade")).alias("g2")).first())
+    if not whole["n"]:
         return Model({}, ())
     n, mean = whole["n"], whole["g"] / whole["n"]
     spread = whole["g2"] / n - mean * mean
@@ -173,13 +186,14 @@ def fit(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, most
         return Model({}, ())
     # how far the grades where a feature is are from what chance would give, in deviations
     score = F.abs(F.col("xg") - F.col("x") * mean) / F.sqrt(F.col("x2") * spread)
-    kept = (per_word.where((F.col("word") != "") & (F.col("n") >= min_rows) & (score >= least_z))
+    kept = (per_word.where((F.col("n") >= min_rows) & (score >= least_z))
             .orderBy(score.desc(), "word").limit(most)
             .select("word", (F.col("xg") > F.col("x") * mean).alias("up")).collect())
     index = {r["word"]: i for i, r in enumerate(kept)}
     up = np.array([r["up"] for r in kept] + [False])
-    names = docs.sparkSession.createDataFrame([(w, i) for w, i in index.items()] + [("", -1)], "word string, i int")
-    entries = held.join(F.broadcast(names), "word").select("row", "grade", "i", "x").toArrow()
+    # at most sample_rows x most entries
+    entries = (rows.mapInArrow(pick, "row int, grade int, i int, x double")
+               .groupBy("row", "grade", "i").agg(F.max("x").alias("x")).toArrow())
     row, grade, i, x = (entries.column(c).to_numpy() for c in ("row", "grade", "i", "x"))
     ids, doc = np.unique(row, return_inverse=True)
     of = np.zeros(len(ids), np.int64)
