@@ -67,15 +67,16 @@ How to read them at 100 TB:
   totals, so the attempts are read once.
 * First-k reports (`attempt_*`, `birth_missing_cases`) show `group_limit`: each case is cut to its
   first attempts inside every map task before the shuffle by case.
-* `cached` = reads of a shared base aggregate (`cache()`): report families (P02/P03/P05/P06,
-  P07-P09 by grouping sets; P10-P13, P15/P16,
-  P20-P22, P23/P24, P25/P27/P28/P40, P29-P34, P35-P39, P43-P46) compute their base once per attempts
-  table; the counts shown for a family member include the base's plan the first time.
-* `attempts`, `uncategorised` carry the full numbering window (one shuffle by case);
-  `case_history` / `cases_history` add a range-partitioned sort. Reports that never read the
-  attempt number have no window.
-* `attempt_sequences` is empty at sf0.1 (every sequence is rarer than the 1 % threshold), so
-  AQE replaced the tail of its plan with an empty relation.
+* `cached` = reads of a shared base aggregate (`cache()`): report families (P02 and P05-P09 from
+  one aggregation of case bitmaps; P10-P13, P15/P16, P20-P22, P23/P24, P27/P28/P40, P29-P34,
+  P35-P39, P43-P46) compute their base once per attempts table; the counts shown for a family
+  member include the base's plan the first time. Run as a pack, the additive reports read the
+  four bases of `plans/lattice.py` instead.
+* `attempts`, `uncategorised` carry the numbering (counts per (case, hour) joined to the rows,
+  so the extract is read twice); `attempts_from_loads` reads the rows once and joins the
+  offsets that the growing store holds. `case_history` / `cases_history` add a
+  range-partitioned sort. Reports that never read the attempt number have no window.
+* The scans of `attempts_from_loads` name folders of a scratch store.
 
 | report | executed plan |
 |---|---|
