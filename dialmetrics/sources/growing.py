@@ -47,13 +47,14 @@ from ..operators.derive import ATTEMPT_COLUMNS, type_and_derive
 from ..operators.losses import LOST
 from ..operators.numbering import SLOT_KEYS, count_slots, number_attempts, with_before
 from ..params import Params
-from .extract import conform_extract
+from .extract import RAW_SCHEMA, conform_extract
 from .store import ATTEMPTS_SCHEMA, write_attempts
 
 RULES_VERSION = 1           # of the row-wise derivation; another one cannot be mixed into a store
 BUCKETS = 64                # of cases
 ROWS_SCHEMA = T.StructType([f for f in ATTEMPTS_SCHEMA.fields if f.name != "attempt_no"]
                            + [T.StructField("load", T.IntegerType())])
+LANDED_SCHEMA = T.StructType([*RAW_SCHEMA.fields, T.StructField("event_id", T.LongType())])
 HOURS_SCHEMA = "_dm_case long, _dm_none boolean, _dm_late boolean, _dm_slot long, _dm_n long, _dm_before long, load int, bucket int"
 
 
@@ -203,3 +204,19 @@ def append_load(raw: DataFrame, path: str, params: Params, name: str, replaces:
     grown = replace(snap, versions=versions, loads=(*earlier, (v, name, (), tuple((c, *n) for c, n in lost.items()))))
     _publish(spark, path, grown)
     return grown
+
+
+def append_landed(spark: SparkSession, folder: str, path: str, params: Params, fmt: str = "parquet") -> list[str]:
+    """Append what has landed in ``folder`` since the last call, oldest name first; returns the names.
+
+    Each file or sub-folder there is a load of its own, named after it, so the snapshots say
+    what is in: a call that is repeated, or was lost half way, goes on with what is missing.
+    Names that start with ``_`` or ``.`` are not landed yet.
+    """
+    _, root, store = _files(spark, folder)
+    found = {s.getPath().getName(): s.getPath().toString() for s in store.listStatus(root)}
+    held = set(load_names(spark, path))
+    new = sorted(n for n in found if n not in held and n[0] not in "_.")
+    for name in new:
+        append_load(spark.read.schema(LANDED_SCHEMA).format(fmt).load(found[name]), path, params, name)
+    return new

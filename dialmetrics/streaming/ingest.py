@@ -5,7 +5,10 @@ operator to rebuild. What streams naturally is the row-wise part of P01:
 new extract files dropped in a folder are typed and derived as they arrive
 and appended to a ``placed_date``-partitioned parquet table. The attempt
 number needs every attempt of a case, so it is added when the landed table is
-read (``landed_attempts``), as a batch window over the whole table.
+read (``landed_attempts``), as a batch window over the whole table. A table that is
+read more often than it grows is better kept as a growing store
+(``sources.growing.append_landed``): each landed file is a load, and reading joins
+stored offsets.
 
 The checkpoint location must be a shared, durable folder: it holds the stream's
 progress, so a restarted or moved driver carries on where it stopped.

@@ -34,8 +34,8 @@ def grown(spark, raw, tmp_path_factory):
     create_store(spark, path, FIXTURE, buckets=16)
     late = (F.col("event_id") % 10 == 3) | F.col("day").isNull()
     days = sorted(r.day for r in raw.where(~late).select("day").distinct().collect())
-    for a in range(0, len(days), 8):        # runs of days, to spare time
-        append_load(raw.where(~late & F.col("day").isin(days[a:a + 8])), path, FIXTURE, f"days {a}")
+    for a in range(0, len(days), 16):        # runs of days, to spare time
+        append_load(raw.where(~late & F.col("day").isin(days[a:a + 16])), path, FIXTURE, f"days {a}")
     append_load(raw.where(late), path, FIXTURE, "late")
     return path
 
@@ -159,3 +159,20 @@ def test_lost_texts_are_counted_where_they_are_written(spark, raw, tmp_path):
     for name in PARSERS:
         mine = [(r.texts, r.lost) for r in per_load if r.variable_name == name]
         assert len(mine) == 3 and tuple(map(sum, zip(*mine))) == want[name] and mine[2] == (0, 0)
+
+
+def test_landed_files_are_loads(spark, raw, tmp_path):
+    """Each landed folder is loaded once, in several calls, and what is still being written is left."""
+    from dialmetrics.sources.growing import append_landed, load_names
+
+    path, folder = str(tmp_path / "store"), tmp_path / "raw"
+    create_store(spark, path, FIXTURE, buckets=2)
+    part = raw.drop("day")
+    part.where("event_id % 3 = 1").write.parquet(str(folder / "b"))
+    part.where("event_id % 3 = 0").write.parquet(str(folder / "a"))
+    part.where("event_id % 3 = 2").write.parquet(str(folder / "_c"))
+    assert append_landed(spark, str(folder), path, FIXTURE) == ["a", "b"]
+    part.where("event_id % 3 = 2").write.parquet(str(folder / "c"))
+    assert append_landed(spark, str(folder), path, FIXTURE) == ["c"]
+    assert append_landed(spark, str(folder), path, FIXTURE) == [] and load_names(spark, path) == ["a", "b", "c"]
+    assert rows(read_grown(spark, path, FIXTURE)) == rows(load_attempts(spark, SF001, FIXTURE))
