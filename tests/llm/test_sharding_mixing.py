@@ -1,10 +1,13 @@
 """Hash-tree sharding and mixing against plain statements, with the odd rows."""
 
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import plain
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SF01
@@ -55,6 +58,33 @@ def test_growth_takes_rows_only_into_the_new_shard(spark):
     assert all(abs(share[s] / 20000 - 1 / 30) < 0.01 for s in range(30))
 
 
+def plain_shard(node, key, seed=sharding.SEED):
+    """The descent by its definition: the smallest -ln(u) / weight among a node's children, level by level."""
+    path = ""
+    while node.children:
+        best = []
+        for child in node.children:
+            h = 42
+            for part in (seed, f"{path}/{child.name}", *key):
+                if part is not None:
+                    h = xxhash.xxh64_intdigest(part.encode() if isinstance(part, str) else struct.pack("<q", part), h)
+            best.append((-math.log(((h >> 12) + 0.5) * 2.0 ** -52) / child.total, f"{path}/{child.name}", child))
+        _, path, node = min(best, key=lambda b: b[:2])
+    return node.shard
+
+
+@pytest.mark.parametrize("shards", [24, 25, 31])
+def test_draws_equal_the_plain_descent(spark, shards):
+    """On an even tree, a grown one and one of uneven weights; rows without an id draw by their text."""
+    ids = [(i, "t") for i in (0, 1, 2, -7, 2 ** 62, *range(100, 400))] + [(None, f"text {i}") for i in range(20)] + [(None, None)]
+    docs = spark.createDataFrame(ids, "doc_id long, text string")
+    for weights in (None, [1.0 + i % 5 for i in range(shards)]):
+        layout = sharding.tree(shards, weights=weights)
+        got = Counter((r.doc_id, r.text, r.shard) for r in sharding.assign(docs, layout).collect())
+        want = Counter((i, t, plain_shard(layout, (i, (t or "") if i is None else None))) for i, t in ids)
+        assert got == want
+
+
 def test_a_changed_weight_moves_rows_only_at_its_leaf(spark):
     ids = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     base = sharding.tree(24)
