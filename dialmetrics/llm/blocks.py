@@ -7,7 +7,9 @@ same blocks from the same table again; requests and answers are packed too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,48 @@ import zstandard
 from pyspark import TaskContext
 
 
+def give_back() -> None:
+    """Return to the system what finished work held; workers live on and share the executor with those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):    # no such call here: nothing to return
+        pass
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A map over batches that gives its memory back when it ends."""
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return inner
+
+
+def frugal_group(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of a group that gives its memory back after each group; for groups of megabytes."""
+    @wraps(work)
+    def inner(table: pa.Table) -> pa.Table:     # Spark counts the arguments
+        try:
+            return work(table)
+        finally:
+            give_back()
+    return inner
+
+
+def frugal_pair(work: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``frugal_group`` for two groups that meet."""
+    @wraps(work)
+    def inner(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return work(left, right)
+        finally:
+            give_back()
+    return inner
+
+
 def pack(items: list[bytes]) -> bytes:
     lengths = np.fromiter(map(len, items), np.uint32, len(items))
     return zstandard.compress(np.uint32(len(items)).tobytes() + lengths.tobytes() + b"".join(items), 1)

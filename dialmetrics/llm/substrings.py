@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from ..session import ensure_checkpoint_dir
-from .blocks import blocks, from_bytes, pack_numbers, to_bytes, unpack_numbers
+from .blocks import blocks, from_bytes, frugal, frugal_group, frugal_pair, pack_numbers, to_bytes, unpack_numbers
 from .suffixes import ragged, suffix_arrays
 from .text import need, spare
 
@@ -51,7 +51,7 @@ GRAM = 24                   # bytes of an anchor
 HOT = 2_000                 # documents from which an anchor's windows are dealt out one by one
 BLOCK_BYTES = 8_000_000     # text of a block
 SHARD_BYTES = 4_000_000     # text for each shard
-CHUNK_BYTES = 250_000       # bytes hashed at a time
+CHUNK_BYTES = 125_000       # bytes hashed at a time
 STRING = 4_096              # bytes of an anchor's variants from which they are dealt out by window
 MAX_SHARDS = 50_000
 LAST = np.iinfo(np.int64).max       # stands for a null doc_id
@@ -62,9 +62,12 @@ ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * ODD[5]
-    x = (x ^ (x >> np.uint64(29))) * ODD[6]
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    x *= ODD[5]
+    x ^= x >> np.uint64(29)
+    x *= ODD[6]
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -81,9 +84,13 @@ def hashes(data: np.ndarray, length: int, at: np.ndarray | None = None) -> np.nd
     offsets = [*range(0, length - 7, 8)]
     if offsets[-1] != length - 8:
         offsets.append(length - 8)
-    h = np.zeros(n, np.uint64)
+    if at is None:
+        v = np.ascontiguousarray(v)     # aligned
+    h, step = np.zeros(n, np.uint64), np.empty(n, np.uint64)
     for k, o in enumerate(offsets):
-        h = (h ^ (h >> np.uint64(31))) + (v[o:o + n] if at is None else v[at + o]) * ODD[k % 5]
+        if k:
+            h ^= np.right_shift(h, np.uint64(31), out=step)
+        h += np.multiply(v[o:o + n] if at is None else v[at + o], ODD[k % 5], out=step)
         h *= ODD[(k + 1) % 5]
     return mixed(h)
 
@@ -121,10 +128,12 @@ class Runs:
 
     def _of(self, x: int, y: int, a: int, b: int, gram: int) -> tuple:
         least = window_least(hashes(self.data[x:y], gram), self.length - gram + 1)
-        at = np.arange(x, x + len(least))
-        doc = a + np.searchsorted(self.ends[a:b], at, side="right")
-        valid = at + self.length <= self.ends[np.minimum(doc, b - 1)]
-        at, doc, least = at[valid], doc[valid], least[valid]
+        # the windows of each document, not of two
+        first = np.maximum(self.starts[a:b], x)
+        own = np.maximum(np.minimum(self.ends[a:b] - self.length + 1, x + len(least)) - first, 0)
+        at = ragged(first, own)
+        doc = np.repeat(np.arange(a, b), own)
+        least = least[at - x]
         if not len(at):
             return at, at, at, least
         cut = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
@@ -214,6 +223,28 @@ def collapsed(blob: np.ndarray, at: np.ndarray, parts: np.ndarray, key: np.ndarr
 
 def smallest(blob: np.ndarray, sizes: np.ndarray, keys: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
     """For each window of the segments (one after the other in ``blob``) the smallest doc_id of its string."""
+    # equal segments collapse; one that is alone under its key shares its windows with no other
+    data, found = blob.tobytes(), {}
+    ends = np.cumsum(sizes)
+    of = np.fromiter((found.setdefault((k, data[a:b]), len(found)) for k, a, b in
+                      zip(keys.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True)), np.int64, len(sizes))
+    low = np.full(len(found), LAST)
+    np.minimum.at(low, of, least)
+    key = np.fromiter((k for k, _ in found), np.uint64, len(found))
+    size = np.fromiter((len(s) for _, s in found), np.int64, len(found))
+    n = size - length + 1
+    value = np.repeat(low, n)
+    begin = np.cumsum(n) - n
+    _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
+    if len(some := np.flatnonzero(times[inverse] > 1)):
+        names = list(found)
+        value[ragged(begin[some], n[some])] = among(
+            np.frombuffer(b"".join(names[i][1] for i in some.tolist()), np.uint8), size[some], key[some], low[some], length)
+    return value[ragged(begin[of], n[of])]
+
+
+def among(blob: np.ndarray, sizes: np.ndarray, keys: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """``smallest`` of distinct segments, several of each key."""
     begin = np.cumsum(sizes) - sizes
     n = sizes - length + 1
     entry = np.repeat(np.arange(len(sizes)), n)
@@ -300,6 +331,7 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
         ids = table.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
         return Runs(texts, length, gram), ids
 
+    @frugal
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in blocks(batches, "text", block_bytes):
             key, count, shard = anchors(*read(table), shards)
@@ -311,6 +343,7 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
                 pa.array([pack_numbers(count[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())],
                 names=["block", "shard", "anchors", "counts"])
 
+    @frugal_group
     def count(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpack_numbers(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("anchors")]
         counts = np.concatenate([unpack_numbers(x.as_py(), np.uint8) for x in table.column("counts")])
@@ -321,6 +354,7 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
         return pa.table({"block": table.column("block"), "kind": table.column("shard"),
                          "rows": pa.array([pack_numbers(x) for x in parts], pa.binary())})
 
+    @frugal
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in blocks(batches, "text", block_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()),
@@ -341,6 +375,7 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
         of_run = code[order][np.searchsorted(key[order], runs.key)] if len(key) else np.zeros(0, np.uint8)
         return rows, runs, ids, of_run
 
+    @frugal_group
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         _, runs, ids, code = open_block(table)
@@ -357,6 +392,7 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
                                for x in parts], pa.binary()),
             "texts": pa.array([compressed(b"".join(texts[i] for i in x.tolist())) for x in parts], pa.binary())})
 
+    @frugal_group
     def solve(table: pa.Table) -> pa.Table:
         column = lambda name, kind: [unpack_numbers(x.as_py(), kind) for x in table.column(name)]
         sizes = [x.astype(np.int64) for x in column("sizes", np.uint16)]
@@ -370,6 +406,7 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
         return pa.table({"block": table.column("block"), "shard": table.column("shard"),
                          "gain": pa.array([pack_numbers(x) for x in np.split(gain, per)], pa.binary())})
 
+    @frugal_pair
     def cut(held: pa.Table, answers: pa.Table) -> pa.Table:
         rows, runs, ids, code = open_block(held)
         texts, keys, least, (of, doc, start, n) = segments(runs, ids, code)
