@@ -5,8 +5,8 @@ as Parquet and reread as the next one's ``docs``. All but the last return the
 columns of ``documents``; the last returns the ids of each document's copies.
 
 SQL cannot express the stages (a trained classifier, SimHash components, a
-tokenizer), so there is no ORACLE_SQL; tests/llm holds run() against plain
-statements of the stages.
+tokenizer), so there is no ORACLE_SQL; tests/llm holds run() against the stages'
+operators, which have plain statements in tests of their own.
 
 Defined results: null texts are clean, keep no lines, have fingerprint zero and
 no ids; documents that line dedup empties are one SimHash group, of which one
@@ -29,8 +29,12 @@ BATCH_ROWS = 500            # documents of an Arrow batch: the stages' workers l
 BLOCK_BYTES = 4_000_000     # text of a block of the tokenizer
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """For the stage's own job, which runs when its rows are written; ``run`` puts the caller's setting back."""
+    spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,7 +87,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written to the shared checkpoint folder."""
     folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return docs

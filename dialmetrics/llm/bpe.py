@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks, from_bytes, pack, to_bytes, unpack
+from .blocks import blocks, from_bytes, frugal, frugal_group, frugal_pair, pack, to_bytes, unpack
 from .text import need
 
 BLOCK_BYTES = 6_000_000     # text of a block
@@ -156,6 +156,7 @@ def encode(docs: DataFrame, content: str, text: str = "text", out: str = "ids",
     special = specials(content)
     loaded: dict = {}       # of a task: filled once, kept from group to group
 
+    @frugal
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(special)
         for block, table in blocks(batches, text, block_bytes):
@@ -165,6 +166,7 @@ def encode(docs: DataFrame, content: str, text: str = "text", out: str = "ids",
                 pa.array([block] * len(asked), pa.int64()), pa.array([b for b, _ in asked], pa.int32()),
                 pa.array([pack(ws) for _, ws in asked], pa.binary())], names=["block", "bucket", "words"])
 
+    @frugal_group
     def answer(table: pa.Table) -> pa.Table:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -192,11 +194,13 @@ def encode(docs: DataFrame, content: str, text: str = "text", out: str = "ids",
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
                          "answers": pa.array(packed, pa.binary()), "mark": pa.array(marks, pa.int64())})
 
+    @frugal
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in blocks(batches, text, block_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([to_bytes(table)], pa.binary())],
                                              names=["block", "rows"])
 
+    @frugal_pair
     def place(block: pa.Table, answers: pa.Table) -> pa.Table:
         rows = from_bytes(block.column("rows")[0].as_py())
         splitter, table = Splitter(special), {}
@@ -229,6 +233,7 @@ def decode(encoded: DataFrame, content: str, ids: str = "ids", out: str = "decod
 
     piece = pieces(content)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 256):     # few rows at a time, for little memory

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +46,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_path() -> str:
-    """The tokenizer's file: ``$TOKENIZER_PATH``, or that of the installed public tokenizers."""
-    if path := os.environ.get("TOKENIZER_PATH"):
-        return path
+    """The contract's tokenizer file, of the installed public tokenizers."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
