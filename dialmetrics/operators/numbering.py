@@ -93,7 +93,9 @@ def number_attempts(df: DataFrame, key: str = "id", time: str = "placed_time",
     their order to that of the extract).
 
     ``offsets`` (``SLOT_KEYS`` and ``_dm_before`` of all timed rows) are stored
-    ones, as a growing store keeps them; ``df`` is then read once.
+    ones, as a growing store keeps them; ``df`` is then read once. Their files are
+    small for their rows (one for each (case, hour)), so a broadcast picked by file
+    size would put a hash table of them all into every executor: they are merged.
     """
     if out in df.columns:
         df = df.drop(out)
@@ -102,6 +104,8 @@ def number_attempts(df: DataFrame, key: str = "id", time: str = "placed_time",
     how = "inner" if offsets is None else "left"
     if offsets is None:
         offsets = with_before(count_slots(df, key, time, tie))
+    else:
+        offsets = offsets.hint("merge")
     order = [F.col(c).asc_nulls_last() for c in [time, *tie_columns(df, tie)]]
     number = (F.col("_dm_before") + F.row_number().over(Window.partitionBy(*SLOT_KEYS).orderBy(*order))).cast("int")
     if missing == "null":

@@ -57,6 +57,11 @@ def test_numbered_table_reads_the_rows_once(spark, grown):
     assert bare.count("FileScan parquet") == 1 and "Window" not in bare
 
 
+def test_stored_offsets_are_merged_not_broadcast(spark, grown):
+    plan = read_grown(spark, grown, FIXTURE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan
+
+
 def test_a_load_reads_and_writes_what_it_touches(spark, raw, grown):
     before, snap = files(grown), snapshot(spark, grown)
     case = raw.where("CASE_ID_T = 4").limit(1).withColumn("event_id", F.lit(10 ** 9)).withColumn(

@@ -74,7 +74,8 @@ How to read them at 100 TB:
   four bases of `plans/lattice.py` instead.
 * `attempts`, `uncategorised` carry the numbering (counts per (case, hour) joined to the rows,
   so the extract is read twice); `attempts_from_loads` reads the rows once and joins the
-  offsets that the growing store holds. `case_history` / `cases_history` add a
+  offsets that the growing store holds, by a merge hint (their files are small for the hash
+  table that a broadcast would make of them). `case_history` / `cases_history` add a
   range-partitioned sort. Reports that never read the attempt number have no window.
 * The scans of `attempts_from_loads` name folders of a scratch store.
 
