@@ -42,7 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks, from_bytes, frugal, frugal_group, frugal_pair, pack, to_bytes, unpack
+from .blocks import (
+    blocks, from_bytes, frugal, frugal_group, frugal_pair, joined, pack, to_bytes, unpack, unpack_array,
+)
 from .text import need
 
 BLOCK_BYTES = 6_000_000     # text of a block
@@ -130,17 +132,23 @@ def pieces(content: str) -> list[bytes]:
 
 # ---- the words of a block
 
-def distinct(splitter: Splitter, texts: pa.ChunkedArray, buckets: int) -> list[list[str]]:
-    """A block's distinct words by bucket, in a fixed order (that of their first place)."""
-    seen: dict[str, None] = {}
-    for t in texts:
-        for run, special in splitter.parts(t.as_py() or ""):
-            if not special:
-                seen.update(dict.fromkeys(run))
-    out: list[list[str]] = [[] for _ in range(buckets)]
-    for w in seen:
-        out[zlib.crc32(w.encode()) % buckets].append(w)
-    return out
+class Numbers(dict):
+    """Numbers of words, in order of their first place."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def requests(words: Iterable[str], buckets: int) -> tuple[list[tuple[int, list[bytes]]], np.ndarray]:
+    """The words (UTF-8) of each bucket that has any, in their order, and the places from which they were taken."""
+    encoded = [w.encode() for w in words]
+    bucket = np.fromiter(map(zlib.crc32, encoded), np.uint32, len(encoded)) % np.uint32(buckets)
+    order = np.argsort(bucket, kind="stable")
+    used, first = np.unique(bucket[order], return_index=True)
+    ends = np.append(first, len(order))[1:]
+    return [(b, [encoded[i] for i in order[x:y].tolist()])
+            for b, x, y in zip(used.tolist(), first.tolist(), ends.tolist(), strict=True)], order
 
 
 # ---- the jobs
@@ -160,8 +168,13 @@ def encode(docs: DataFrame, content: str, text: str = "text", out: str = "ids",
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(special)
         for block, table in blocks(batches, text, block_bytes):
-            asked = [(b, [w.encode() for w in ws]) for b, ws in
-                     enumerate(distinct(splitter, table.column(text), buckets)) if ws]
+            seen: dict[str, None] = {}
+            for t in table.column(text):
+                for words, mark in splitter.parts(t.as_py() or ""):
+                    if not mark:
+                        seen.update(dict.fromkeys(words))
+            asked, _ = requests(seen, buckets)
+            del seen
             yield pa.RecordBatch.from_arrays([
                 pa.array([block] * len(asked), pa.int64()), pa.array([b for b, _ in asked], pa.int32()),
                 pa.array([pack(ws) for _, ws in asked], pa.binary())], names=["block", "bucket", "words"])
@@ -179,15 +192,15 @@ def encode(docs: DataFrame, content: str, text: str = "text", out: str = "ids",
             loaded["words"].no_padding()
         one_word = loaded["words"]
         ids: dict[bytes, bytes] = {}
-        requests = table.column("words")
-        for r in requests:      # each distinct word of the bucket once
+        asked = table.column("words")
+        for r in asked:         # each distinct word of the bucket once
             new = [w for w in unpack(r.as_py()) if w not in ids]
             for a in range(0, len(new), 4096):
                 part = new[a:a + 4096]
                 found = one_word.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
                 ids.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
         packed, marks = [], []
-        for r in requests:
+        for r in asked:
             words = unpack(r.as_py())
             packed.append(pack([ids[w] for w in words]))
             marks.append(zlib.crc32(b"\xff".join(words)))
@@ -203,20 +216,32 @@ def encode(docs: DataFrame, content: str, text: str = "text", out: str = "ids",
     @frugal_pair
     def place(block: pa.Table, answers: pa.Table) -> pa.Table:
         rows = from_bytes(block.column("rows")[0].as_py())
-        splitter, table = Splitter(special), {}
-        asked = distinct(splitter, rows.column(text), buckets)
+        splitter, number, marks = Splitter(special), Numbers(), list(special)
+        places, ends = [np.zeros(0, np.int32)], []      # each text is split once: numbers of its words, special tokens below 0
+        for t in rows.column(text):
+            n = 0
+            for run, mark in splitter.parts(t.as_py() or ""):
+                places.append(np.array([-1 - marks.index(run[0])], np.int32) if mark else
+                              np.fromiter(map(number.__getitem__, run), np.int32))
+                n += len(places[-1])
+            ends.append(n)
+        asked, order = requests(number, buckets)
+        number.clear()
         at = {b: i for i, b in enumerate(answers.column("bucket").to_pylist())}
-        packed, marks = answers.column("answers"), answers.column("mark")
-        for b in range(buckets):
-            if words := asked[b]:
-                if b not in at or marks[at[b]].as_py() != zlib.crc32(b"\xff".join(w.encode() for w in words)):
-                    raise RuntimeError("the input's rows differ between scans; write it as a table first")
-                table.update(zip(words, unpack(packed[at[b]].as_py()), strict=True))
-                asked[b] = []
-        marked = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
-        found = [b"".join(b"".join(map((marked if mark else table).__getitem__, run))
-                          for run, mark in splitter.parts(t.as_py() or "")) for t in rows.column(text)]
-        return rows.append_column(out, pa.array(found, pa.binary()))
+        packed, crc = answers.column("answers"), answers.column("mark")
+        if any(b not in at or crc[at[b]].as_py() != zlib.crc32(b"\xff".join(ws)) for b, ws in asked):
+            raise RuntimeError("the input's rows differ between scans; write it as a table first")
+        # ids of the words by bucket, then of the special tokens, the last one first
+        items = pa.concat_arrays([*(unpack_array(packed[at[b]].as_py()) for b, _ in asked),
+                                  pa.array([np.array([special[m]], "<u4").tobytes() for m in reversed(marks)], pa.binary())])
+        if len(items) != len(order) + len(marks):
+            raise RuntimeError("a word without ids")
+        to = np.empty(len(items), np.int32)
+        to[order] = np.arange(len(order))
+        to[len(order):] = np.arange(len(order), len(items))
+        del asked
+        found = joined(items, to[np.concatenate(places)], np.cumsum(ends, dtype=np.int64))
+        return rows.append_column(out, found)
 
     asked = docs.select(text).mapInArrow(ask, "block long, bucket int, words binary")
     answered = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, answers binary, mark long")
@@ -231,19 +256,20 @@ def decode(encoded: DataFrame, content: str, ids: str = "ids", out: str = "decod
     if out in encoded.columns:
         raise ValueError(f"{out!r} is a column of the table; name another")
 
-    piece = pieces(content)
+    piece = pa.array(pieces(content), pa.binary())
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 256):     # few rows at a time, for little memory
-                batch, found = whole.slice(first, 256), []
-                for packed in batch.column(ids):
-                    numbers = np.frombuffer(packed.as_py() or b"", "<u4")
-                    found.append(b"".join(b"".join(map(piece.__getitem__, numbers[a:a + LONG_TEXT].tolist()))
-                                          for a in range(0, len(numbers), LONG_TEXT)).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())],
-                                                 names=[*batch.schema.names, out])
+                batch = whole.slice(first, 256)
+                numbers = [np.frombuffer(packed.as_py() or b"", "<u4") for packed in batch.column(ids)]
+                found = joined(piece, np.concatenate(numbers), np.cumsum([len(n) for n in numbers]))
+                try:
+                    found = found.cast(pa.string())
+                except pa.ArrowInvalid:     # some bytes are no UTF-8
+                    found = pa.array([t.as_py().decode("utf-8", "replace") for t in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
 
     return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias(out)).schema)
 

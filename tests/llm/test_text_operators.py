@@ -3,13 +3,15 @@
 import hashlib
 import os
 import random
+import zlib
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 
 from conftest import SF001, SF01
-from dialmetrics.llm import bpe, fingerprints, license_scan, substrings
+from dialmetrics.llm import blocks, bpe, fingerprints, license_scan, substrings
 from dialmetrics.llm.queries import tokenizer_path
 from dialmetrics.llm.suffixes import suffix_arrays
 
@@ -50,6 +52,23 @@ def test_encoding_and_decoding_are_the_librarys(spark, content, block):
     assert sorted(got) == sorted(want)
 
 
+def test_words_are_numbered_and_joined_by_place():
+    words = ["b", "é", " a", "", "ccc"]
+    number = bpe.Numbers()
+    places = np.array([number[w] for w in [*words, "é", "b"]], np.int32)
+    assert list(number) == words and places.tolist() == [0, 1, 2, 3, 4, 1, 0]
+    asked, order = bpe.requests(number, 3)
+    assert [b for b, _ in asked] == sorted({zlib.crc32(w.encode()) % 3 for w in words})
+    assert [w for _, ws in asked for w in ws] == [words[i].encode() for i in order]
+    assert bpe.requests([], 3)[0] == []
+    items = pa.concat_arrays([blocks.unpack_array(blocks.pack(ws)) for _, ws in asked])
+    to = np.empty(len(order), np.int32)
+    to[order] = np.arange(len(order))
+    ends = np.array([0, 3, 3, 7])
+    assert blocks.joined(items, to[places], ends).to_pylist() == [b"", "bé a".encode(), b"", "cccéb".encode()]
+    assert blocks.unpack_array(blocks.pack([])).to_pylist() == []
+
+
 def test_decoding_any_ids(spark, content):
     from tokenizers import Tokenizer
 
