@@ -17,7 +17,8 @@ are brought together first, exactly:
    concatenates what is left of each anchor. Suffix arrays (suffixes.py) put
    equal windows side by side; neighbours are compared byte by byte, and each run
    of equal windows gets its smallest doc_id, which goes back to the blocks.
-4. A block joins its answers and cuts the covered bytes of each of its documents.
+4. A block joins its answers and cuts the covered bytes of each of its documents. Where
+   its segments lie came with its requests: the windows are not hashed for it again.
 
 Hash collisions can only bring more to compare; what is removed is decided by
 bytes. The documents are read from the input three times (a table whose scans
@@ -42,7 +43,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from ..session import ensure_checkpoint_dir
-from .blocks import blocks, from_bytes, frugal, frugal_group, frugal_pair, pack_numbers, to_bytes, unpack_numbers
+from .blocks import (
+    blocks, from_bytes, frugal, frugal_group, frugal_pair, pack, pack_numbers, to_bytes, unpack, unpack_numbers,
+)
 from .suffixes import ragged, suffix_arrays
 from .text import need, spare
 
@@ -157,15 +160,24 @@ def stretches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def in_shard_order(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     shard = dealt(key, shards)
-    return np.lexsort((key & LOW, shard)), shard
+    return np.argsort((shard.astype(np.uint64) << np.uint64(40)) | (key & LOW), kind="stable"), shard
 
 
 def anchors(runs: Runs, ids: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's distinct anchors, in how many of its documents they are, and their shards, in shard order."""
-    pair = np.lexsort((ids[runs.doc], runs.key))
-    key, doc = runs.key[pair], ids[runs.doc][pair]
-    new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][:len(key)]
-    key, count = np.unique(key[new], return_counts=True)
+    by_id = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[by_id] = np.cumsum(np.r_[False, np.diff(ids[by_id]) != 0][:len(ids)])     # rows of one doc_id are one
+    doc = place[runs.doc]
+    if (doc[1:] < doc[:-1]).any():
+        pair = np.lexsort((doc, runs.key))
+    else:       # runs come by document
+        pair = np.argsort(runs.key, kind="stable")
+    key, doc = runs.key[pair], doc[pair]
+    other = np.r_[True, key[1:] != key[:-1]][:len(key)]
+    new = other | np.r_[True, doc[1:] != doc[:-1]][:len(key)]
+    first = np.flatnonzero(other)
+    key, count = key[first], np.add.reduceat(new, first, dtype=np.int64) if len(first) else first
     order, shard = in_shard_order(key, shards)
     return key[order], np.minimum(count[order], 255).astype(np.uint8), shard[order]
 
@@ -362,38 +374,46 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
                                              names=["block", "kind", "rows"])
 
     def open_block(table: pa.Table) -> tuple:
-        """The documents of a block, its runs, doc_ids and the code of each run."""
+        """The runs of a block, its doc_ids and the code of each run."""
         parts = dict(zip(table.column("kind").to_pylist(), table.column("rows").to_pylist(), strict=True))
-        rows = from_bytes(parts.pop(-1))
-        runs, ids = read(rows)
-        key = np.unique(runs.key)
-        key = key[in_shard_order(key, shards)[0]]
+        runs, ids = read(from_bytes(parts.pop(-1)))
+        key, of = np.unique(runs.key, return_inverse=True)
         code = np.concatenate([unpack_numbers(parts[k], np.uint8) for k in sorted(parts)] or [np.zeros(0, np.uint8)])
         if len(code) != len(key):
             raise RuntimeError("the input's rows differ between scans; write it as a table first")
-        order = np.argsort(key)
-        of_run = code[order][np.searchsorted(key[order], runs.key)] if len(key) else np.zeros(0, np.uint8)
-        return rows, runs, ids, of_run
+        of_key = np.empty(len(key), np.uint8)
+        of_key[in_shard_order(key, shards)[0]] = code
+        return runs, ids, of_key[of]
 
     @frugal_group
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        _, runs, ids, code = open_block(table)
-        texts, keys, least, _ = segments(runs, ids, code)
+        runs, ids, code = open_block(table)
+        texts, keys, least, (of, _, start, n) = segments(runs, ids, code)
         shard = dealt(keys, shards)
         order = np.argsort(shard, kind="stable")
+        place = np.empty(len(texts), np.int64)
+        place[order] = np.arange(len(texts))
+        mark = xxhash.xxh3_64_digest(runs.data)
+        by_start = np.argsort(start, kind="stable")
+        own = pack([mark, pack_numbers(place[of][by_start].astype(np.uint32)),
+                    pack_numbers(np.diff(start[by_start], prepend=0)), pack_numbers(n[by_start].astype(np.uint16))])
         used, at, ends = stretches(shard[order])
         parts = [order[a:b] for a, b in zip(at, ends, strict=True)]
-        return pa.table({
-            "block": pa.array([block] * len(used), pa.int64()), "shard": pa.array(used, pa.int32()),
-            "keys": pa.array([pack_numbers(keys[x]) for x in parts], pa.binary()),
-            "least": pa.array([pack_numbers(least[x]) for x in parts], pa.binary()),
-            "sizes": pa.array([pack_numbers(np.fromiter((len(texts[i]) for i in x.tolist()), np.uint16, len(x)))
-                               for x in parts], pa.binary()),
-            "texts": pa.array([compressed(b"".join(texts[i] for i in x.tolist())) for x in parts], pa.binary())})
+        return pa.table({       # the last row is the block's own and takes no shard's place
+            "block": pa.array([block] * (len(used) + 1), pa.int64()),
+            "shard": pa.array([*used.tolist(), -1 - block], pa.int64()),
+            "keys": pa.array([*(pack_numbers(keys[x]) for x in parts), None], pa.binary()),
+            "least": pa.array([*(pack_numbers(least[x]) for x in parts), None], pa.binary()),
+            "sizes": pa.array([*(pack_numbers(np.fromiter((len(texts[i]) for i in x.tolist()), np.uint16, len(x)))
+                                 for x in parts), None], pa.binary()),
+            "texts": pa.array([*(compressed(b"".join(texts[i] for i in x.tolist())) for x in parts), None], pa.binary()),
+            "own": pa.array([*[None] * len(used), own], pa.binary())})
 
     @frugal_group
     def solve(table: pa.Table) -> pa.Table:
+        if table.column("shard")[0].as_py() < 0:        # passes through to its block
+            return table.select(["block", "shard", "texts", "own"]).rename_columns(["block", "shard", "gain", "own"])
         column = lambda name, kind: [unpack_numbers(x.as_py(), kind) for x in table.column(name)]
         sizes = [x.astype(np.int64) for x in column("sizes", np.uint16)]
         blob = np.frombuffer(b"".join(expanded(x.as_py()) for x in table.column("texts")), np.uint8)
@@ -404,35 +424,50 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
         gain = np.repeat(least, every - length + 1) - found
         per = np.cumsum([int((x - length + 1).sum()) for x in sizes])[:-1]
         return pa.table({"block": table.column("block"), "shard": table.column("shard"),
-                         "gain": pa.array([pack_numbers(x) for x in np.split(gain, per)], pa.binary())})
+                         "gain": pa.array([pack_numbers(x) for x in np.split(gain, per)], pa.binary()),
+                         "own": pa.nulls(table.num_rows, pa.binary())})
 
     @frugal_pair
     def cut(held: pa.Table, answers: pa.Table) -> pa.Table:
-        rows, runs, ids, code = open_block(held)
-        texts, keys, least, (of, doc, start, n) = segments(runs, ids, code)
-        shard = dealt(keys, shards)
-        order = np.argsort(shard, kind="stable")
         got = dict(zip(answers.column("shard").to_pylist(), answers.column("gain").to_pylist(), strict=True))
-        windows = np.fromiter(map(len, texts), np.int64, len(texts)) - length + 1
-        gain = np.concatenate([unpack_numbers(got[s], np.int64) for s in np.unique(shard).tolist()]
-                              or [np.zeros(0, np.int64)])
-        if len(gain) != int(windows.sum()):
+        own = answers.column("own").drop_null()
+        at = pa.compute.index(held.column("kind"), -1).as_py()
+        if at < 0 or len(own) != 1:
             raise RuntimeError("the input's rows differ between scans; write it as a table first")
-        low = np.repeat(least[order], windows[order]) - gain
-        place = np.empty(len(texts), np.int64)
-        place[order] = np.cumsum(windows[order]) - windows[order]
-        gone = low[ragged(place[of], n)] < np.repeat(ids[doc], n)
+        rows = from_bytes(held.column("rows")[at].as_py())
+        texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        mark, of, start, n = unpack(own[0].as_py())
+        of, start, n = (unpack_numbers(x, k).astype(np.int64) for x, k in ((of, np.uint32), (start, np.int64), (n, np.uint16)))
+        start = np.cumsum(start)
+        ids = rows.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        # the segments as they were sent, by shard: their windows and smallest doc_ids
+        windows = np.zeros(int(of.max()) + 1 if len(of) else 0, np.int64)
+        windows[of] = n
+        gain = np.concatenate([unpack_numbers(got[s], np.int64) for s in sorted(got) if s >= 0] or [np.zeros(0, np.int64)])
+        if mark != xxhash.xxh3_64_digest(data) or len(gain) != int(windows.sum()):
+            raise RuntimeError("the input's rows differ between scans; write it as a table first")
+        id_of = ids[np.searchsorted(ends, start, side="right")]
+        least = np.full(len(windows), LAST)
+        np.minimum.at(least, of, id_of)
+        low = np.repeat(least, windows) - gain
+        place = np.cumsum(windows) - windows
+        gone = low[ragged(place[of], n)] < np.repeat(id_of, n)
         at = ragged(start, n)[gone]
-        step = np.zeros(len(runs.data) + 1, np.int32)
-        np.add.at(step, at, 1)
-        np.add.at(step, at + length, -1)
+        step = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + length, minlength=len(data) + 1)
         covered = np.cumsum(step[:-1]) > 0
         removed, kept = [], []
-        for a, b in zip(runs.starts.tolist(), runs.ends.tolist(), strict=True):
+        for t, b in zip(texts, ends.tolist(), strict=True):
+            a = b - len(t)
             own = covered[a:b]
+            if not own.any():
+                removed.append([])
+                kept.append(t)
+                continue
             edges = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
             removed.append(edges.reshape(-1, 2).tolist())
-            kept.append(runs.data[a:b][~own].tobytes())
+            kept.append(data[a:b][~own].tobytes())
         return (rows.append_column(names["removed"], pa.array(removed, pa.list_(pa.list_(pa.int64()))))
                 .append_column(names["kept"], pa.array(kept, pa.binary())))
 
@@ -441,10 +476,11 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
              .groupBy("shard").applyInArrow(count, "block long, kind int, rows binary").checkpoint())
     slim = docs.select("doc_id", "text").mapInArrow(put, "block long, kind int, rows binary")
     sent = slim.unionByName(codes).groupBy("block").applyInArrow(
-        send, "block long, shard int, keys binary, least binary, sizes binary, texts binary")
-    solved = sent.groupBy("shard").applyInArrow(solve, "block long, shard int, gain binary")
+        send, "block long, shard long, keys binary, least binary, sizes binary, texts binary, own binary")
+    solved = sent.groupBy("shard").applyInArrow(solve, "block long, shard long, gain binary, own binary")
     schema = (StructType(list(docs.schema)).add(names["removed"], ArrayType(ArrayType(LongType())))
               .add(names["kept"], BinaryType()))
+    # with the codes, though only the documents are read here: of plain ``docs`` this is send's exchange again
     return (held.unionByName(codes).groupBy("block").cogroup(solved.groupBy("block"))
             .applyInArrow(cut, schema))
 

@@ -109,6 +109,29 @@ REPEATS = [(1, None), (2, ""), (3, "a" * 500), (4, "a" * 60 + "b" * 70), (4, "a"
            (6, "é" * 300 + "b" * 55), (None, "b" * 80), (None, "b" * 80), (7, "q" + "a" * 50 + "q")]
 
 
+@pytest.mark.parametrize("ids", [[1, 2, 3, 4], [9, 2, 9, 1], [5, 5, 5, 5]])
+def test_anchors_count_documents(ids):
+    texts = [b"the same passage of sixty bytes and more, which comes again and again here" * k for k in (1, 2, 1)]
+    runs = substrings.Runs([*texts, bytes(range(120))], 50, 24)
+    key, count, shard = substrings.anchors(runs, np.array(ids), 5)
+    want = {}
+    for k, d in zip(runs.key.tolist(), runs.doc.tolist(), strict=True):
+        want.setdefault(k, set()).add(ids[d])
+    assert dict(zip(key.tolist(), count.tolist(), strict=True)) == {k: len(v) for k, v in want.items()}
+    again, _ = substrings.in_shard_order(np.sort(key), 5)
+    assert np.sort(key)[again].tolist() == key.tolist() and (np.diff(shard) >= 0).all()
+    none = substrings.anchors(substrings.Runs([b"", b"short"], 50, 24), np.array([1, 2]), 5)
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
+def test_the_last_step_reuses_the_blocks_and_their_places(spark):
+    docs = spark.createDataFrame([(i, f"{i} " + "z" * 60) for i in range(20)], "doc_id long, text string")
+    out = substrings.mark_repeats(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "own#" in plan       # a block's places of segments come back with its answers
+    assert sum(len(r.removed) for r in out.collect()) == 19
+
+
 @pytest.mark.parametrize("block,hot,string", [(8_000_000, 2000, 4096), (100_000, 10, 4096), (300_000, 40, 100)])
 def test_removed_passages(spark, monkeypatch, block, hot, string):
     monkeypatch.setattr(substrings, "SHARD_BYTES", block)
